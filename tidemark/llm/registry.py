@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import quality_classifier, quality_rules, simhash
+from tidemark.llm import mixing, quality_classifier, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
+    "op3_mixing": mixing.op3_mixing,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": mixing.OP3_SQL,
+}

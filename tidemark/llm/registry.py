@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, quality_classifier, quality_rules, simhash
+from tidemark.llm import mixing, packing, quality_classifier, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op3_mixing": mixing.op3_mixing,
+    "op5_packing": packing.op5_packing,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
 }

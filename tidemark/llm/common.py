@@ -28,6 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         at = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", at)
+    if ":" not in at.split("/")[0]:  # a bare path lies in Spark's default file system
+        context = spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(at)
+        at = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if at.startswith("file:/") and not at.startswith("file://"):
+        at = f"file://{at.removeprefix('file:')}"
     return at.rstrip("/")
 
 

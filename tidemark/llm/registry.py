@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import html_extract, mixing, packing, quality_classifier, quality_rules, simhash, url_filters, warc
+from tidemark.llm import html_extract, media, mixing, packing, quality_classifier, quality_rules, simhash, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op2_warc": warc.op2_warc,
     "op3_mixing": mixing.op3_mixing,
+    "op4_media": media.op4_media,
     "op5_packing": packing.op5_packing,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op8_html_extraction": html_extract.op8_html_extraction,

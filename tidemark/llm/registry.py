@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import html_extract, media, mixing, packing, quality_classifier, quality_rules, simhash, url_filters, warc
+from tidemark.llm import html_extract, media, mixing, packing, quality_classifier, quality_rules, simhash, toxicity, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_media": media.op4_media,
     "op5_packing": packing.op5_packing,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_html_extraction": html_extract.op8_html_extraction,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_url_filters": url_filters.op10_url_filters,

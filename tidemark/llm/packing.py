@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import base64
 import importlib.util
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,7 +73,8 @@ def binary_lengths(n: int, most: int = MAX_LENGTH) -> list[int]:
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LENGTH, end: int = END) -> DataFrame:
-    """(id, start, length, doc_tokens, ids): the pieces of each row's ids with the end id appended; ids as little-endian unsigned 32-bit numbers.
+    """(id, start, length, doc_tokens, ids, part, nth): the pieces of each row's ids with the end id appended; ids as
+    little-endian unsigned 32-bit numbers; nth counts a task's (part's) pieces of one length.
 
     Null and empty texts are the end id alone. Null ids and repeated rows are cut like any other row; other columns are ignored.
     """
@@ -79,9 +82,10 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         raise ValueError("most must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "start", "length", "doc_tokens", "ids"]
+        names = ["id", "start", "length", "doc_tokens", "ids", "part", "nth"]
+        part, seen = TaskContext.get().partitionId(), Counter()
         for b in batches:
-            row, start, length, total, data = [], [], [], [], []
+            row, start, length, total, data, nth = [], [], [], [], [], []
             for i, ids in enumerate(encode(path, [t.decode() for t in texts(b)])):
                 ids.append(end)
                 raw, at = np.array(ids, "<u4").tobytes(), 0
@@ -91,28 +95,27 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     length.append(n)
                     total.append(len(ids))
                     data.append(raw[4 * at : 4 * (at + n)])
+                    nth.append(seen[n])
+                    seen[n] += 1
                     at += n
             longs = (pa.array(x, pa.int64()) for x in (start, length, total))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), *longs, pa.array(data, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), *longs, pa.array(data, pa.binary()), pa.array([part] * len(row), pa.int64()), pa.array(nth, pa.int64())], names=names)
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, start long, length long, doc_tokens long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, start long, length long, doc_tokens long, ids binary, part long, nth long")
 
 
 def number(rows: DataFrame) -> DataFrame:
-    """Adds sequence_id: rows numbered from 0, bucket by bucket of equal length, and offset 0: each piece fills its sequence.
+    """Adds sequence_id: rows numbered from 0, bucket by bucket of equal length (longest first), and offset 0: each piece fills its sequence.
 
-    Rows are dealt by ranges of (length, id, start), so that a length that most pieces have spreads over many tasks. The
-    numbers within tasks are stored with the rows; one sum a task (their number is bounded by the partitions) then
-    shifts them. The stored rows fix the numbers, so lost executors don't change them.
+    Nothing is sorted or dealt anew. Each task stores its pieces with their number within task and bucket; a sum for each
+    task and bucket (a few rows a task) then shifts them. The stored rows fix the numbers, so lost executors don't change them.
     """
-    spark = rows.sparkSession
-    dealt = rows.repartitionByRange(F.col("length").desc(), "id", "start", F.xxhash64(*rows.columns)).sortWithinPartitions(F.col("length").desc(), "id", "start")
-    dealt = materialise(spark, dealt.withColumn("_at", F.monotonically_increasing_id()), "pieces")
-    part, shift = F.shiftright("_at", 33), Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(shift), F.lit(0)))
-    out = dealt.withColumn("_part", part).join(F.broadcast(sums.drop("_n")), "_part")
-    return out.withColumn("sequence_id", F.col("_before") + F.col("_at") - F.shiftleft("_part", 33)).withColumn("offset", F.lit(0).cast("long")).drop("_part", "_at", "_before")
+    stored = materialise(rows.sparkSession, rows, "pieces")
+    order = Window.orderBy(F.col("length").desc(), "part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = stored.groupBy("part", "length").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0))).drop("_n")
+    out = stored.join(sums, ["part", "length"])
+    return out.withColumn("sequence_id", F.col("_before") + F.col("nth")).withColumn("offset", F.lit(0).cast("long")).drop("part", "nth", "_before")
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LENGTH) -> DataFrame:
@@ -122,7 +125,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pieces(table(spark, sf_dir, "documents"), vocabulary_path())
-    rows = rows.select(F.col("id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    rows = rows.select(F.col("id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "part", "nth")
     return number(rows).select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -114,6 +114,7 @@ def number(rows: DataFrame) -> DataFrame:
     stored = materialise(rows.sparkSession, rows, "pieces")
     order = Window.orderBy(F.col("length").desc(), "part").rowsBetween(Window.unboundedPreceding, -1)
     sums = stored.groupBy("part", "length").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0))).drop("_n")
+    sums = materialise(rows.sparkSession, sums, "sums")  # of known size: Spark then decides whether the pieces must move to meet them
     out = stored.join(sums, ["part", "length"])
     return out.withColumn("sequence_id", F.col("_before") + F.col("nth")).withColumn("offset", F.lit(0).cast("long")).drop("part", "nth", "_before")
 

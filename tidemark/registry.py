@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import baseline
+from tidemark.plans import baseline, catalogue
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (baseline,):
+for _module in (baseline, catalogue):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

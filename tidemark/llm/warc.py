@@ -24,6 +24,8 @@ CHUNK_BYTES = 1 << 16
 #: Payloads below this are never replaced by a revisit.
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 1 << 30
+#: Payload bytes to a writing task at least, once each core has three: archives are not to be many small files.
+TASK_BYTES = 1 << 27
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "record_id string, file string, offset long, length long"
@@ -62,11 +64,11 @@ def _header(record_id: str, refers_to: str | None, uri: str | None, n_bytes: int
     return ("\r\n".join(lines) + "\r\n\r\n").encode(), http
 
 
-def write_archives(records: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write_archives(records: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES, archive_bytes: int = ARCHIVE_BYTES, total_bytes: int | None = None) -> DataFrame:
     """Writes records (record_id, refers_to: null for a response, target_uri, digest, payload binary) and returns the index: record_id, file, offset, length.
 
     Each task writes files of its own names under the folder's URI and the stored index names the files of the tasks
-    that succeeded, so what a lost executor left behind is never read. The payload's digest is taken anew chunk by chunk and
+    that succeeded (total_bytes of payloads, if known, bounds their number), so what a lost executor left behind is never read. The payload's digest is taken anew chunk by chunk and
     a record that does not have the digest that its header states fails the task.
     """
     spark = records.sparkSession
@@ -110,6 +112,8 @@ def write_archives(records: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYT
             out.close()
 
     small_batches(spark, 200)  # of chunk rows
+    if total_bytes is not None:
+        records = records.coalesce(max(3 * spark.sparkContext.defaultParallelism, total_bytes // TASK_BYTES))
     rows = chunked(records, chunk_bytes).select("record_id", "refers_to", "target_uri", "digest", "n_bytes", "n_chunks", "chunk_no", "payload")
     return materialise(spark, rows.mapInArrow(run, INDEX), "index")
 
@@ -219,10 +223,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages through archives and back: what each page's record says after it has been read again."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("id"), F.col("url").alias("target_uri"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     pages = pages.withColumn("digest", F.sha2("payload", 256))
+    total = pages.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
     again = revisits(pages.select("id", "digest", F.octet_length("payload").alias("n_bytes")))
     again = again.select("id", "digest", _urn("refers_to").alias("refers_to"))
     records = pages.join(again, ["id", "digest"], "left").withColumn("record_id", F.coalesce(_urn("id"), F.lit("urn:page:null")))
-    rows = read_archives(write_archives(records, new_folder(spark, "warc")), with_payload=False).where("last")
+    rows = read_archives(write_archives(records, new_folder(spark, "warc"), total_bytes=total), with_payload=False).where("last")
     number = lambda c: F.try_element_at(F.split(c, ":"), F.lit(3)).try_cast("long")
     return rows.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 

@@ -88,10 +88,14 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint(text: bytes, k: int = 3, bits: int = 64) -> bytes:
-    """SimHash of a text; all zero without words. Bits beyond the first 64 come from remixed hashes."""
+def fingerprint(text: bytes, k: int = 3, bits: int = 64, distinct: bool = False) -> bytes:
+    """SimHash of a text; all zero without words. Bits beyond the first 64 come from remixed hashes. distinct counts each shingle once, as sets do."""
     total, counts = 0, np.zeros(bits, np.int64)
-    for h in shingle_hashes(text, k):
+    found = shingle_hashes(text, k)
+    if distinct:
+        whole = list(found)
+        found = [np.unique(np.concatenate(whole))] if whole else []
+    for h in found:
         total += len(h)
         for j in range(bits // 64):
             x = h if j == 0 else _mix(h.astype(np.uint64) + np.uint64(j * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).astype(">u8")
@@ -99,12 +103,12 @@ def fingerprint(text: bytes, k: int = 3, bits: int = 64) -> bytes:
     return np.packbits(2 * counts > total).tobytes() if total else bytes(bits // 8)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, bits: int = 64) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, bits: int = 64, distinct: bool = False) -> DataFrame:
     """(id, fp binary) of every row. A null or empty text has the zero fingerprint; other columns are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, k, bits) for t in texts(b)], pa.binary())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, k, bits, distinct) for t in texts(b)], pa.binary())], names=["id", "fp"])
 
     small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp binary")
@@ -295,7 +299,7 @@ def _with_free(rows: DataFrame, bits: int, words: int, word_bits: int, radius: i
     return rows.select("id", "fp", "key").mapInArrow(run, "id long, fp binary, key long, free binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, bits: int = 64, distance: int = 3, radius: int = 3, words: int = 1, word_bits: int = 64, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, bits: int = 64, distance: int = 3, radius: int = 3, words: int = 1, word_bits: int = 64, bucket: int = BUCKET, distinct: bool = False) -> DataFrame:
     """One row (id, fp binary, component_id) per row of docs; component_id is the least id reachable over links, the row's own included.
 
     Null or empty text: the zero fingerprint, which links like any other. Rows with a null id get their fingerprint and
@@ -303,7 +307,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     back as often as they came. An empty table gives no rows. Other columns of docs are ignored.
     """
     spark = docs.sparkSession
-    fps = materialise(spark, fingerprints(docs, id_col, text_col, k, bits), "fingerprints")
+    fps = materialise(spark, fingerprints(docs, id_col, text_col, k, bits, distinct), "fingerprints")
     nodes = materialise(spark, fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("id")), "nodes")
     found = link_components(nodes, bits, distance, radius, words, word_bits, bucket)
     known = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
@@ -316,8 +320,9 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-#: The pipeline's setting: five-word shingles, a fine fingerprint, and the distance that two sets of similarity 0.8 are expected to show and a little more.
-WIDE = {"k": 5, "bits": 256, "distance": 46, "radius": 3, "words": 6, "word_bits": 40}
+#: The pipeline's setting: sets of five-word shingles and a fine fingerprint. Sets of similarity 0.8 are expected to differ in
+#: 77 of 512 bits (acos(2s / (1 + s)) / pi of them), give or take 8.
+WIDE = {"k": 5, "bits": 512, "distinct": True, "distance": 88, "radius": 3, "words": 6, "word_bits": 36}
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 SEED = "mix-1"
 #: Slices of the key's range that a source's prefix sums are first taken over. Only documents of the slice in which the
 #: budget ends are sorted, so no task gets a whole source.
-SLICES = 1 << 14
+SLICES = 1 << 10
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>!"
 

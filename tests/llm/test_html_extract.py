@@ -22,6 +22,9 @@ CASES = [
     ("<div hidden>h</div><p style='display: none'>h</p><p>t</p>", "t"),
     ("<P>A</P><ARTICLE><P>B</P></ARTICLE>", "B"),
     ("<article>1</article>x<article>2</article>", "1\n\n2"),
+    ("<div class='content-sidebar-wrap'><div class='sidebar'>s</div><main class='has-sidebar'><p>t</p></main>x</div>", "t"),
+    ("<article class='post comments-open'><p>t</p></article><article class='comment'>c</article>", "t"),
+    ("<div class=sidebar><article>s</article></div><form><article>f</article></form>", "s"),
     ("<p>l&eacute;&#233;&#x41;&bogus;</p>", "léé" + "A&bogus;"),
 ]
 

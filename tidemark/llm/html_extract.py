@@ -31,6 +31,7 @@ SKIPPED = frozenset("head nav footer aside form script style textarea title nosc
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup popover modal overlay newsletter subscribe subscription signup login sidebar aside nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer masthead comment comments commentlist disqus reply replies respond share sharing social related recommended widget widgets toolbar skip hidden".split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Inside an article only these may be left out as template: a paragraph that many pages quote is still text.
 CONTAINERS = frozenset("div section ul ol dl table menu details figure header".split())
@@ -43,28 +44,32 @@ _MARK = re.compile(r"""(?:^|[\s"'/])(class|id|role|aria-hidden|style|hidden)(?:\
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _marked(tag: str, in_article: bool) -> bool:
-    """Whether an element's attributes say that it is no part of the article."""
+def _marked(tag: str, in_article: bool, whole: bool = False) -> int:
+    """Whether an element's attributes say that it is no part of the article: 2 surely, 1 by a word of its class or id, which a wrapper
+    around the article may bear as well. whole compares whole class names, not their words."""
     if "=" not in tag and "hidden" not in tag.lower():
-        return False
+        return 0
+    found = 0
     for name, value in _MARK.findall(tag):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDING.search(value):
-            return True
+            return 2
         if name == "role" and value in ROLES:
-            return True
+            return 2
         if name in ("class", "id"):
-            words = set(re.split(r"[^a-z0-9]+", value))
+            words = set(re.split(r"\s+" if whole else r"[^a-z0-9]+", value))
+            if words & COMMENTS:
+                return 2
             if words & MARKS or not in_article and "header" in words:
-                return True
-    return False
+                found = 1
+    return found
 
 
 class _Element:
-    __slots__ = ("name", "skipped", "first", "parts", "article")
+    __slots__ = ("name", "skipped", "first", "parts", "article", "held")
 
-    def __init__(self, name: str, skipped: bool, first: int, article: bool):
-        self.name, self.skipped, self.first, self.article = name, skipped, first, article
+    def __init__(self, name: str, skipped: int, first: int, article: bool, held: tuple[int, int] | None = None):
+        self.name, self.skipped, self.first, self.article, self.held = name, skipped, first, article, held
         self.parts: list[bytes] = []
 
 
@@ -87,9 +92,9 @@ def parse(page: str, template: frozenset[int] | set[int] = frozenset(), hashes:
     blocks: list[tuple[str, str]] = []  # (scope, text): a for article, m for main, empty for the rest
     scopes: Counter[str] = Counter()
     inline: list[str] = []
-    stack = [_Element("", False, 0, False)]
+    stack = [_Element("", 0, 0, False)]
     opened: Counter[str] = Counter()
-    skipping = 0
+    skipping = surely = 0  # open elements that are left out; those of them that are so beyond doubt
     at, n = 0, len(page)
     scope = ""
 
@@ -110,7 +115,7 @@ def parse(page: str, template: frozenset[int] | set[int] = frozenset(), hashes:
                 inline.append(raw)
 
     def close() -> None:
-        nonlocal skipping, scope
+        nonlocal skipping, surely, scope
         e = stack.pop()
         opened[e.name] -= 1
         if e.name in BLOCKS:
@@ -124,8 +129,11 @@ def parse(page: str, template: frozenset[int] | set[int] = frozenset(), hashes:
                     hashes.add(number)
                 if number in template and (not e.article or e.name in CONTAINERS):
                     del blocks[e.first :]
-        if e.skipped:
+        if e.held is not None:
+            skipping, surely = e.held
+        elif e.skipped:
             skipping -= 1
+            surely -= e.skipped > 1
         if e.name in ("article", "main"):
             scope = "a" if opened["article"] else "m" if opened["main"] else ""
 
@@ -186,10 +194,19 @@ def parse(page: str, template: frozenset[int] | set[int] = frozenset(), hashes:
         if name in VOID or tag.endswith("/") and name in ("svg", "math"):
             continue
         in_article = opened["article"] + opened["main"] > 0
-        skipped = name in SKIPPED or name == "header" and not in_article or name not in ("html", "body", "article", "main") and _marked(tag, in_article) or name == "article" and _marked(tag, in_article)
-        stack.append(_Element(name, skipped, len(blocks), in_article))
+        if name in ("html", "body", "main"):
+            skipped = 0
+        elif name in SKIPPED or name == "header" and not in_article:
+            skipped = 2
+        else:
+            skipped = _marked(tag, in_article, name == "article")
+        landmark = name in ("article", "main") and not skipped and skipping and not surely
+        stack.append(_Element(name, skipped, len(blocks), in_article, (skipping, surely) if landmark else None))
         opened[name] += 1
-        skipping += skipped
+        if landmark:  # what is around it bears a suspicious name only
+            skipping = 0
+        skipping += skipped > 0
+        surely += skipped > 1
         if name in ("article", "main") and not skipping:
             scopes["a" if name == "article" else "m"] += 1
         if name in ("article", "main"):

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch that goes to a Python worker. Texts can be long, so a batch must stay small.
-BATCH_ROWS = 500
+#: Rows and bytes in an Arrow batch that goes to a Python worker. Texts can be long, so a batch must stay small.
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds what a Python worker holds at once: rows of whole texts, not Spark's default of 10,000."""
+    """Bounds what a Python worker holds at once: 16 MB or one row of whole texts, not Spark's default of 10,000 rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -69,6 +69,30 @@ def test_audit(dev):
     assert out["d_mae"]["ci_low"] <= out["d_mae"]["point"] <= out["d_mae"]["ci_high"] and len(out["months"]) == 12
 
 
+def test_verdict():
+    window = lambda point, pct, sure: {"d_mae": {"point": point, "better_pct": pct, "excludes_zero": sure, "ci_low": 0.0, "ci_high": 1.0}, "months": [1, 2], "months_won": 1}
+    assert X.verdict(window(1.0, 99.0, True), [window(1.0, 60.0, False), window(-1.0, 40.0, False)]) == {
+        "final": "better", "interval": [0.0, 1.0], "point": 1.0, "months": "1/2", "windows_better": 1, "n_windows": 2, "all_windows_agree": False,
+    }
+    assert X.verdict(window(0.1, 60.0, False), [])["final"] == "probably_better" and X.verdict(window(-0.1, 40.0, False), [])["final"] == "not_better"
+
+
+def test_folders(monkeypatch, tmp_path):
+    from tidemark.config import folder
+
+    assert folder("models", "x").as_posix() == "x/models"
+    monkeypatch.setenv("TIDEMARK_MODELS_DIR", str(tmp_path))
+    assert folder("models") == tmp_path
+    with pytest.raises(KeyError):
+        folder("other")
+
+
+def test_baseline_table_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(0, 1, 2.5), (23, 6, 7.0)], "hour int, day_of_week int, baseline_pred double")
+    raw.write_csv(df, str(tmp_path / "b"))
+    assert sorted(raw.load_baseline(spark, str(tmp_path / "b")).collect()) == sorted(df.collect())
+
+
 def test_every_experiment_refuses_the_final_test(spark, dev):
     late = dev.limit(1).withColumn("date_time", F.lit("2018-01-01").cast("timestamp_ntz"))
     bad = dev.unionByName(late)

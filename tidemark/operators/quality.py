@@ -106,6 +106,11 @@ def coverage(df: DataFrame, time_col: str, step: str = "HOUR", by: list[str] = (
     return out.withColumn("missing_ratio", F.round(F.col("missing") / F.col("expected"), 6))
 
 
+def first_missing(df: DataFrame, time_col: str, step: str = "HOUR", n: int = 10) -> DataFrame:
+    """One row: the first n missing steps in order, and how many these are. A report, so the limit is the feature."""
+    return missing_steps(df, time_col, step).orderBy("missing").limit(n).agg(F.array_join(F.array_sort(F.collect_list(F.date_format("missing", "yyyy-MM-dd HH:mm"))), ",").alias("first"), F.count("*").alias("n_shown"))
+
+
 def reconcile(left: DataFrame, right: DataFrame, key: str, name: str) -> DataFrame:
     """One row that compares two lists of (key, name): matched, named otherwise, only left, only right. The four counts don't overlap."""
     a, b = left.select(key, F.col(name).alias("_a")), right.select(key, F.col(name).alias("_b"))

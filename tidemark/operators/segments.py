@@ -72,6 +72,39 @@ def window_bias(df: DataFrame, month: str, y: str, pred: str, last_month: int =
     return out.withColumn("delta", F.round(F.col("mae_first") - F.col("mae_all"), 5))
 
 
+def flag_effect(df: DataFrame, flag: str, time_col: str, y: str, a: str, b: str) -> DataFrame:
+    """One row: both models' MAE with and without a 0/1 flag, how many rows and distinct days bear it, and by how much a's MAE grows."""
+    mae = lambda p, v: F.round(F.avg(F.when(F.col(flag) == v, F.abs(F.col(y) - F.col(p)))), 6)
+    out = df.agg(
+        F.count_if(F.col(flag) == 1).alias("n_flagged"), F.count_if(F.col(flag) == 0).alias("n_rest"), F.count_distinct(F.when(F.col(flag) == 1, F.to_date(time_col))).alias("n_days"),
+        mae(a, 1).alias("mae_a_flagged"), mae(a, 0).alias("mae_a_rest"), mae(b, 1).alias("mae_b_flagged"), mae(b, 0).alias("mae_b_rest"),
+    )
+    return out.withColumn("delta", F.round(F.col("mae_a_flagged") - F.col("mae_a_rest"), 5))
+
+
+def by_day_of_flag(df: DataFrame, flag: str, name: str, time_col: str, y: str, a: str, b: str) -> DataFrame:
+    """(day, name, n, mae_a, mae_b) of the flagged days."""
+    mae = lambda p: F.round(F.avg(F.abs(F.col(y) - F.col(p))), 6)
+    return df.where(F.col(flag) == 1).groupBy(F.to_date(time_col).alias("day")).agg(F.array_join(F.sort_array(F.collect_set(name)), ", ").alias("name"), F.count("*").alias("n"), mae(a).alias("mae_a"), mae(b).alias("mae_b"))
+
+
+def categories_without_rows(df: DataFrame, labels: str, categories: list[str]) -> DataFrame:
+    """The listed categories that no row's label array holds: not to be judged, rather than errors of zero."""
+    listed = df.sparkSession.createDataFrame([(c,) for c in categories], "label string")
+    return listed.join(df.select(F.explode(labels).alias("label")), "label", "left_anti")
+
+
+def clipped_where(df: DataFrame, pred: str, hour: str, flag: str) -> DataFrame:
+    """Of the rows with a negative prediction: their distinct hours in order, and how many bear a 0/1 flag."""
+    neg = F.col(pred) < 0
+    return df.agg(F.array_join(F.array_sort(F.collect_set(F.when(neg, F.col(hour)))), ",").alias("hours"), F.count_if(neg & (F.col(flag) == 1)).alias("n_flagged"))
+
+
+def top_segments(df: DataFrame, by: str, y: str, pred: str, n: int = 3) -> DataFrame:
+    """The n segments of the greatest MAE, the least key first among equals."""
+    return report(df, [by], y, pred).orderBy(F.col("mae").desc(), by).limit(n)
+
+
 def clip_audit(df: DataFrame, y: str, pred: str) -> DataFrame:
     """What setting negative predictions to zero does: counts, shares, metrics before and after, and whether an error grows anywhere."""
     raw, fixed = F.col(pred), F.greatest(F.lit(0.0), F.col(pred))

@@ -381,6 +381,52 @@ def worst_and_best_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.report(scored_hours(spark, sf_dir), ["hour"], digits=12).agg(F.max_by("hour", "mae").alias("worst"), F.min_by("hour", "mae").alias("best"))
 
 
+_HOLIDAYS = f"f AS (SELECT *, {C.holiday_sql('day')} AS holiday_name, ({C.holiday_sql('day')} <> 'None')::INT AS is_holiday, (SELECT avg(y) FROM tr) AS base FROM s)"
+
+
+def _holiday_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = splits.time_split(days(spark, sf_dir), "day", TRAIN_UNTIL, VALIDATION_UNTIL)[0]
+    return C.add_holiday_flag(scored_days(spark, sf_dir), "day").join(F.broadcast(train.agg(F.avg("y").alias("base"))))
+
+
+def _mae(p: str, v: int) -> str:
+    return f"round(avg(abs(y - {p})) FILTER (is_holiday = {v}), 6)"
+
+
+@query(
+    "holiday_effect",
+    f"""WITH {SCORED_DAYS}, {_HOLIDAYS}, r AS (SELECT count(*) FILTER (is_holiday = 1) AS n_flagged, count(*) FILTER (is_holiday = 0) AS n_rest, count(DISTINCT day::DATE) FILTER (is_holiday = 1) AS n_days,
+  {_mae("pred", 1)} AS mae_a_flagged, {_mae("pred", 0)} AS mae_a_rest, {_mae("base", 1)} AS mae_b_flagged, {_mae("base", 0)} AS mae_b_rest FROM f)
+SELECT *, round(mae_a_flagged - mae_a_rest, 5) AS delta FROM r""",
+)
+def holiday_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.flag_effect(_holiday_days(spark, sf_dir), "is_holiday", "day", "y", "pred", "base")
+
+
+@query("holiday_days", f"WITH {SCORED_DAYS}, {_HOLIDAYS} SELECT day::DATE AS day, any_value(holiday_name) AS name, count(*) AS n, round(avg(abs(y - pred)), 6) AS mae_a, round(avg(abs(y - base)), 6) AS mae_b FROM f WHERE is_holiday = 1 GROUP BY 1")
+def holiday_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.by_day_of_flag(_holiday_days(spark, sf_dir), "is_holiday", "holiday_name", "day", "y", "pred", "base")
+
+
+@query("categories_without_rows", f"WITH {DAYS} SELECT label FROM (SELECT unnest(['1-URGENT', '0-NEVER', '5-LOW', '6-NONE']) AS label) WHERE label NOT IN (SELECT unnest(labels) FROM days)")
+def categories_without_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.categories_without_rows(days(spark, sf_dir), "labels", ["1-URGENT", "0-NEVER", "5-LOW", "6-NONE"])
+
+
+@query("worst_months", f"WITH {SCORED_DAYS} SELECT month, {REPORT} FROM s GROUP BY 1 ORDER BY mae DESC, month LIMIT 3")
+def worst_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.top_segments(scored_days(spark, sf_dir), "month", "y", "pred")
+
+
+@query(
+    "first_missing_days",
+    """WITH p AS (SELECT DISTINCT date_trunc('day', o_orderdate)::TIMESTAMP AS t FROM orders WHERE o_orderdate IS NOT NULL), m AS (SELECT g.t FROM (SELECT unnest(generate_series((SELECT min(t) FROM p), (SELECT max(t) FROM p), INTERVAL 1 DAY)) AS t) g ANTI JOIN p ON g.t = p.t ORDER BY 1 LIMIT 10)
+SELECT coalesce(string_agg(strftime(t, '%Y-%m-%d %H:%M'), ',' ORDER BY t), '') AS first, count(*) AS n_shown FROM m""",
+)
+def first_missing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.first_missing(orders(spark, sf_dir), "o_orderdate", "DAY")
+
+
 # --- exploration ----------------------------------------------------------------------------------------------------
 
 
@@ -501,6 +547,16 @@ def clip_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.clip_audit(_centred(spark, sf_dir), "y", "pred")
 
 
+@query(
+    "clipped_where",
+    f"""WITH {_CENTRED}, e AS (SELECT *, month(o_orderdate)::INT AS m, ({C.holiday_sql("o_orderdate")} <> 'None')::INT AS h FROM c)
+SELECT (SELECT string_agg(m::VARCHAR, ',' ORDER BY m) FROM (SELECT DISTINCT m FROM e WHERE pred < 0)) AS hours, (SELECT count(*) FROM e WHERE pred < 0 AND h = 1) AS n_flagged""",
+)
+def clipped_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = C.add_holiday_flag(_centred(spark, sf_dir), "o_orderdate").withColumn("m", F.month("o_orderdate"))
+    return segments.clipped_where(df, "pred", "m", "is_holiday")
+
+
 @query(
     "policy_decision",
     f"""WITH {_CENTRED}, t AS (SELECT * FROM c WHERE o_orderdate < TIMESTAMP '{TRAIN_UNTIL}'), v AS (SELECT * FROM c WHERE o_orderdate >= TIMESTAMP '{TRAIN_UNTIL}' AND o_orderdate < TIMESTAMP '{VALIDATION_UNTIL}'),

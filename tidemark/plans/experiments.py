@@ -207,6 +207,17 @@ def audit_window(s: Setup, scored: DataFrame, n_draws: int = DRAWS, seed: int =
     return out
 
 
+def verdict(final: dict, development: list[dict]) -> dict:
+    """What audits allow to say: whether a is better for sure, probably, or not, on the final window; and how many others agree."""
+    f = final["d_mae"]
+    better = f["better_pct"] > 50
+    return {
+        "final": "better" if better and f["excludes_zero"] else "probably_better" if better else "not_better", "interval": [f["ci_low"], f["ci_high"]], "point": f["point"],
+        "months": f"{final['months_won']}/{len(final['months'])}", "windows_better": sum(w["d_mae"]["point"] > 0 for w in development), "n_windows": len(development),
+        "all_windows_agree": all(w["d_mae"]["better_pct"] > 50 for w in development),
+    }
+
+
 def run_all(s: Setup, dev: DataFrame, older: str, cut: str, year_start: str, cuts: list[str], until: list[str], drift_columns: list[str], reference_year: int) -> dict:
     """Every experiment on one development frame."""
     s.guard(dev, "run_all")

@@ -40,3 +40,13 @@ def load_clean(spark: SparkSession, path: str) -> DataFrame:
     if not df.groupBy("date_time").count().where("count > 1").limit(1).isEmpty():
         raise ValueError("the clean table has several rows of one time")
     return df
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header, one file a task."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def load_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """A table of group means: (hour, day_of_week, baseline_pred)."""
+    return spark.read.schema("hour int, day_of_week int, baseline_pred double").option("header", True).csv(path)

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -79,13 +80,30 @@ def test_every_pair_within_the_radius_shares_a_mask():
         assert any(not m[at].any() for m in masks)
 
 
+@pytest.mark.parametrize("positions", [4, 5, 7, 8, 15, 16, 30, 64])
+def test_masks_cover_few_positions_too(positions):
+    masks = [np.unpackbits(np.frombuffer(m, np.uint8)) for m in S.covering_masks(list(range(positions)), 3, 64)]
+    assert all(m.any() for m in masks)
+    for at in itertools.islice(itertools.combinations(range(positions), 3), 3000):
+        assert any(not m[list(at)].any() for m in masks)
+
+
 def test_split_buckets_keep_every_link(spark):
     rng = random.Random(5)
-    fps = sorted({rng.getrandbits(64) & 0xFF | 0xABCD00 for _ in range(150)} | {rng.getrandbits(64) for _ in range(50)})
+    sparse = [v for v in (rng.getrandbits(16) for _ in range(400)) if v.bit_count() % 2]  # neighbours differ in two bits at least
+    fps = sorted({v << 20 | 0xABCD for v in sparse} | {rng.getrandbits(64) for _ in range(50)} | {0xF << 60 | v for v in range(200)})
     nodes = spark.createDataFrame([(i, f.to_bytes(8, "big")) for i, f in enumerate(fps)], "id long, fp binary")
-    want = {tuple(sorted(r)) for r in S.link_components(nodes).collect()}
-    for bucket in (3, 20):
-        assert {tuple(sorted(r)) for r in S.link_components(nodes, bucket=bucket).collect()} == want
+    for distance in (1, 2, 3):
+        group = list(range(len(fps)))
+        for i, a in enumerate(fps):
+            for j in range(i):
+                if (a ^ fps[j]).bit_count() <= distance and group[i] != group[j]:
+                    x, y = max(group[i], group[j]), min(group[i], group[j])
+                    group = [y if g == x else g for g in group]
+        want = {i: g for i, g in enumerate(group) if group.count(g) > 1}
+        for bucket in (8192, 8, 40):
+            got = {r.node: r.component for r in S.link_components(nodes, distance=distance, radius=3, bucket=bucket).collect()}
+            assert got == want
 
 
 def test_stage_keeps_one_of_each_group(spark):

@@ -31,15 +31,18 @@ CHUNK = 1 << 16
 
 
 def covering_masks(positions: list[int], radius: int, bits: int) -> list[bytes]:
-    """The masks over positions of a fingerprint of so many bits (bit 0 is the first of byte 0)."""
+    """The masks over positions of a fingerprint of so many bits (bit 0 is the first of byte 0).
+
+    The unit vectors are dealt first: with more positions than the radius every mask keeps some position, so none is void.
+    """
     n = 1 << (radius + 1)
-    vectors = [(i % (n - 1)) + 1 for i in range(len(positions))]
+    vectors = sorted(range(1, n), key=lambda v: (v.bit_count() > 1, v))
+    vectors = [vectors[i % (n - 1)] for i in range(len(positions))]
     masks = []
     for v in range(1, n):
         keep = np.zeros(bits, np.uint8)
         keep[[p for p, m in zip(positions, vectors, strict=True) if (m & v).bit_count() & 1]] = 1
-        if keep.any():
-            masks.append(np.packbits(keep).tobytes())
+        masks.append(np.packbits(keep).tobytes())
     return masks
 
 
@@ -266,6 +269,7 @@ def link_components(nodes: DataFrame, bits: int = 64, distance: int = 3, radius:
     position is open, when all fingerprints would be equal.
     """
     spark = nodes.sparkSession
+    bucket = max(bucket, 1 << radius)  # as many fingerprints differ in no more positions than the radius: such keys are never split
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")  # short rows
     edges, level, left = None, 0, nodes
     while True:

@@ -247,7 +247,7 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     small_batches(pages.sparkSession)
     counts = pages.select("host", "html").mapInArrow(run, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n")).where(F.col("hash").isNull() | (F.col("n") >= min_pages))
     counts = materialise(pages.sparkSession, counts, "subtrees")
-    total = counts.where("hash is null").select("host", F.col("n").alias("total"))
+    total = materialise(pages.sparkSession, counts.where("hash is null").select("host", F.col("n").alias("total")), "hosts")  # of known size, so that few hosts meet the counts without a shuffle
     often = counts.where("hash is not null").join(total, "host").where(F.col("n") >= min_share * F.col("total"))
     return often.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
 

@@ -106,6 +106,29 @@ def test_split_buckets_keep_every_link(spark):
             assert got == want
 
 
+def test_coarse_links_are_confirmed_by_the_whole(spark):
+    rows = [(1, 0xABC << 64), (2, 0xABC << 64 | 1), (3, 0xABC << 64 | 0xFFFF), (4, 0xABD << 64)]
+    nodes = spark.createDataFrame([(i, f.to_bytes(16, "big")) for i, f in rows], "id long, fp binary")
+    first = nodes.select("id", F.substring("fp", 1, 8).alias("fp"))
+    links = S.link(first, bits=64, distance=3)
+    assert {n for r in links.collect() for n in r} == {1, 2, 3, 4}
+    every = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (2, 3), (1, 2)], "a long, b long")
+    assert sorted(tuple(r) for r in S.confirm(every, nodes, 128, 2).collect()) == [(1, 2), (1, 4)]
+
+
+def test_near_links_are_joined_before_far_ones():
+    key, ids = np.zeros(4, np.int64), np.array([10, 11, 12, 13])
+    fp = np.array([[0b0], [0b111], [0b1], [0b11]], np.uint64)  # a path 10, 12, 13, 11 of steps of one bit
+    assert sorted(map(tuple, S._linked(key, ids, fp, 3).tolist())) == [(10, 12), (11, 13), (12, 13)]
+
+
+def test_distinct_shingles_count_once():
+    a, b = b"a b c d e f", b"a b c d e f a b c d e f a b c d e f"
+    assert S.fingerprint(a, 1, 256, distinct=True) == S.fingerprint(b, 1, 256, distinct=True)
+    assert S.fingerprint(a, 1, 64) == S.fingerprint(b, 1, 64) and S.fingerprint(a, 3, 64, True) != S.fingerprint(b, 3, 64)
+    assert S.fingerprint(b"", 5, 2048, distinct=True) == bytes(256)
+
+
 def test_stage_keeps_one_of_each_group(spark):
     rng = random.Random(2)
     base = [f"w{rng.randrange(5000)}" for _ in range(300)]

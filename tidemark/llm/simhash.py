@@ -79,7 +79,7 @@ def shingle_hashes(text: bytes, k: int) -> Iterator[np.ndarray]:
 
 
 def _bit_counts(h: np.ndarray) -> np.ndarray:
-    """How many of the big-endian 64-bit hashes have each bit set, first bit first."""
+    """How many of the 64-bit hashes have each bit set, in the order of their bytes in memory."""
     n = len(h)
     bits = np.unpackbits(h.view(np.uint8).reshape(n, 8), axis=1).view(np.uint64)  # eight counters to a word
     whole = n // 255 * 255
@@ -100,9 +100,11 @@ def fingerprint(text: bytes, k: int = 3, bits: int = 64, distinct: bool = False)
         found = [np.unique(np.concatenate(whole))] if whole else []
     for h in found:
         total += len(h)
-        for j in range(bits // 64):
-            x = h if j == 0 else _mix(h.astype(np.uint64) + np.uint64(j * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).astype(">u8")
-            counts[64 * j : 64 * j + 64] += _bit_counts(x)
+        counts[:64] += _bit_counts(h)
+        x = h.astype(np.uint64) if bits > 64 else h
+        for j in range(1, bits // 64):
+            y = _mix(x + np.uint64(j * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+            counts[64 * j : 64 * j + 64] += _bit_counts(y.astype("<u8", copy=False))
     return np.packbits(2 * counts > total).tobytes() if total else bytes(bits // 8)
 
 
@@ -171,11 +173,21 @@ def _masked(nodes: DataFrame, bits: int, words: int, word_bits: int, radius: int
     return out if deeper else out.drop("free")
 
 
+#: Near pairs of a batch that are held before they are joined, least distance first.
+HELD_PAIRS = 1 << 20
+
+
 def _linked(key: np.ndarray, ids: np.ndarray, fp: np.ndarray, distance: int) -> np.ndarray:
-    """Links (a, b) that span the graph of the rows with equal keys within the distance: sorted rows, at most one link a row."""
+    """Links (a, b) that span the graph of the rows with equal keys within the distance: sorted rows, fewer links than rows.
+
+    Of a batch's near pairs (up to HELD_PAIRS at once) the nearest are joined first, so that a path of near links is not
+    given up for a far one.
+    """
     n = len(key)
     root = np.arange(n)
     rows, lag = np.arange(n - 1), 1
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    links: list[tuple[int, int]] = []
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -183,6 +195,27 @@ def _linked(key: np.ndarray, ids: np.ndarray, fp: np.ndarray, distance: int) ->
             i = root[i]
         return i
 
+    def join() -> None:
+        nonlocal root
+        if not held:
+            return
+        i, j, far = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.argsort(far, kind="stable")
+        i, j = i[order], j[order]
+        while len(i):
+            some = slice(0, 4096)  # pairs that earlier ones have joined fall out in between
+            for a, b in zip(i[some].tolist(), j[some].tolist(), strict=True):
+                x, y = find(a), find(b)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    links.append((a, b))
+            while (up := root[root]).tobytes() != root.tobytes():
+                root = up
+            i, j = i[4096:], j[4096:]
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
+
     while True:
         rows = rows[rows + lag < n]
         rows = rows[key[rows] == key[rows + lag]]
@@ -191,19 +224,17 @@ def _linked(key: np.ndarray, ids: np.ndarray, fp: np.ndarray, distance: int) ->
         far = np.zeros(len(rows), np.int64)
         for j in range(fp.shape[1]):
             far += np.bitwise_count(fp[rows, j] ^ fp[rows + lag, j])
-        near = rows[far <= distance]
-        if len(near):
-            near = near[root[near] != root[near + lag]]
-            for i in near.tolist():
-                a, b = find(i), find(i + lag)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-            while (up := root[root]).tobytes() != root.tobytes():
-                root = up
+        near = (far <= distance) & (root[rows] != root[rows + lag])
+        if near.any():
+            held.append((rows[near], rows[near] + lag, far[near]))
+            if sum(len(x[0]) for x in held) > HELD_PAIRS:
+                join()
         lag += 1
-    moved = np.flatnonzero(root != np.arange(n))
-    a, b = ids[moved], ids[root[moved]]
-    return np.stack([np.minimum(a, b), np.maximum(a, b)], 1) if len(moved) else np.zeros((0, 2), np.int64)
+    join()
+    if not links:
+        return np.zeros((0, 2), np.int64)
+    at = np.array(links)
+    return np.sort(ids[at], 1)
 
 
 def _bucket_links(rows: DataFrame, bits: int, distance: int, bucket: int) -> DataFrame:
@@ -260,13 +291,12 @@ def _bucket_links(rows: DataFrame, bits: int, distance: int, bucket: int) -> Dat
     return parts.mapInArrow(run, "a long, b long, key long, fp binary, free binary")
 
 
-def link_components(nodes: DataFrame, bits: int = 64, distance: int = 3, radius: int = 3, words: int = 1, word_bits: int = 64, bucket: int = BUCKET) -> DataFrame:
-    """Components over nodes (id unique and not null, fp distinct): (node, component) for nodes that have a link.
+def link(nodes: DataFrame, bits: int = 64, distance: int = 3, radius: int = 3, words: int = 1, word_bits: int = 64, bucket: int = BUCKET) -> DataFrame:
+    """Links (a, b) between nodes (id unique and not null, fp) within the distance that share a key; they span each key's graph.
 
-    Copies must have been made one node before. In each key's rows only links that span their graph leave the task.
-    A key with more than `bucket` fingerprints is not gathered: its rows stream out and are masked anew over the
-    positions that its mask left open, which keeps the guarantee (the pairs differ only there), until keys are small or no
-    position is open, when all fingerprints would be equal.
+    Copies must have been made one node before. A key with more than `bucket` fingerprints is not gathered: its rows
+    stream out and are masked anew over the positions that its mask left open, which keeps the guarantee (the pairs differ only
+    there), until keys are small or no position is open, when all fingerprints would be equal.
     """
     spark = nodes.sparkSession
     bucket = max(bucket, 1 << radius)  # as many fingerprints differ in no more positions than the radius: such keys are never split
@@ -283,7 +313,27 @@ def link_components(nodes: DataFrame, bits: int = 64, distance: int = 3, radius:
             left = _with_free(left, bits, words, word_bits, radius)
         level += 1
     small_batches(spark)
-    return components(spark, edges, "simhash")
+    return edges
+
+
+def link_components(nodes: DataFrame, **how) -> DataFrame:
+    """Components over link(): (node, component) for nodes that have a link."""
+    return components(nodes.sparkSession, link(nodes, **how), "simhash")
+
+
+def confirm(links: DataFrame, nodes: DataFrame, bits: int, distance: int) -> DataFrame:
+    """The links whose whole fingerprints, of nodes, lie within the distance. A node with many links meets them in joins that AQE can split."""
+    width = bits // 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            far = np.bitwise_count(_fp_matrix(b.column(2), width) ^ _fp_matrix(b.column(3), width)).sum(1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(far <= distance))
+
+    known = links.distinct()
+    for c in ("a", "b"):
+        known = known.join(nodes.select(F.col("id").alias(c), F.col("fp").alias(f"fp_{c}")), c)
+    return known.select("a", "b", "fp_a", "fp_b").mapInArrow(run, "a long, b long")
 
 
 def _with_free(rows: DataFrame, bits: int, words: int, word_bits: int, radius: int) -> DataFrame:
@@ -303,9 +353,15 @@ def _with_free(rows: DataFrame, bits: int, words: int, word_bits: int, radius: i
     return rows.select("id", "fp", "key").mapInArrow(run, "id long, fp binary, key long, free binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, bits: int = 64, distance: int = 3, radius: int = 3, words: int = 1, word_bits: int = 64, bucket: int = BUCKET, distinct: bool = False) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, bits: int = 64, distance: int = 3, distinct: bool = False,
+    radius: int = 3, words: int = 1, word_bits: int = 64, bucket: int = BUCKET, coarse: tuple[int, int] | None = None,
+) -> DataFrame:
     """One row (id, fp binary, component_id) per row of docs; component_id is the least id reachable over links, the row's own included.
 
+    coarse = (bits, distance): the tables hold only so many first bits, which must lie within that distance; the whole
+    fingerprints of the pairs found are compared afterwards.
+
     Null or empty text: the zero fingerprint, which links like any other. Rows with a null id get their fingerprint and
     the component of other rows with that same fingerprint (null without any), but join no groups themselves. Repeated rows come
     back as often as they came. An empty table gives no rows. Other columns of docs are ignored.
@@ -313,7 +369,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     fps = materialise(spark, fingerprints(docs, id_col, text_col, k, bits, distinct), "fingerprints")
     nodes = materialise(spark, fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("id")), "nodes")
-    found = link_components(nodes, bits, distance, radius, words, word_bits, bucket)
+    tables = {"radius": radius, "words": words, "word_bits": word_bits, "bucket": bucket}
+    if coarse is None:
+        links = link(nodes, bits=bits, distance=distance, **tables)
+    else:
+        first = nodes.select("id", F.substring("fp", 1, coarse[0] // 8).alias("fp"))
+        links = confirm(link(first, bits=coarse[0], distance=coarse[1], **tables), nodes, bits, distance)
+    found = components(spark, links, "simhash")
     known = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return fps.join(known, "fp", "left").select("id", "fp", "component_id")
 
@@ -324,9 +386,9 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-#: The pipeline's setting: sets of five-word shingles and a fine fingerprint. Sets of similarity 0.8 are expected to differ in
-#: 77 of 512 bits (acos(2s / (1 + s)) / pi of them), give or take 8.
-WIDE = {"k": 5, "bits": 512, "distinct": True, "distance": 88, "radius": 3, "words": 6, "word_bits": 36}
+#: The pipeline's setting: sets of five-word shingles. Sets of similarity 0.8 are expected to differ in acos(2s / (1 + s)) / pi of
+#: the bits: in 29 of the 192 that the tables hold, give or take 5, and in 155 of all 1,024, give or take 11.
+WIDE = {"k": 5, "bits": 1024, "distance": 161, "distinct": True, "radius": 3, "words": 9, "word_bits": 36, "coarse": (192, 46)}
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

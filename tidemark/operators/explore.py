@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def describe(df: DataFrame, column: str, by: list[str] = ()) -> DataFrame:
-    """n, min, max, mean, sample standard deviation, 5th, 50th and 95th percentile (interpolated) and zeros."""
+def describe(df: DataFrame, column: str, by: list[str] = (), exact: bool = True) -> DataFrame:
+    """n, min, max, mean, sample standard deviation, 5th, 50th and 95th percentile (interpolated) and zeros.
+
+    Exact percentiles hold a group's distinct values in a buffer; exact=False takes sketches of bounded size, without interpolation.
+    """
     r = lambda c: F.round(c, 6)
-    p = lambda q: r(F.percentile(column, F.lit(q)))
+    p = lambda q: r(F.percentile(column, F.lit(q)) if exact else F.percentile_approx(column, q, 100_000))
     return df.groupBy(*by).agg(
         F.count(column).alias("n"), r(F.min(column)).alias("least"), r(F.max(column)).alias("greatest"), r(F.avg(column)).alias("mean"), r(F.stddev_samp(column)).alias("sd"),
         p(0.05).alias("p05"), p(0.5).alias("median"), p(0.95).alias("p95"), F.count_if(F.col(column) == 0).alias("n_zero"),

@@ -31,7 +31,7 @@ def query(name: str, sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = f
         if sql is not None:
-            ORACLE_SQL[name] = sql
+            ORACLE_SQL[name] = N.rounded_sql(sql)
         return f
 
     return add
@@ -192,7 +192,7 @@ FROM orders o JOIN m ON m.o_orderdate = o.o_orderdate AND k = 1 GROUP BY 1""",
 )
 def collapse_orders_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = collapse.collapse(orders(spark, sf_dir), ["o_orderdate"], [], ["o_totalprice"], collapse.label_aggregates("o_orderpriority", "label"))
-    return out.select("o_orderdate", F.round("o_totalprice", 4).alias("price"), "n_obs", "label_mode", "label_set", "label_n")
+    return out.select("o_orderdate", N.rounded("o_totalprice", 4).alias("price"), "n_obs", "label_mode", "label_set", "label_n")
 
 
 @query(
@@ -324,12 +324,12 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("baseline_table", f"WITH {HOURS} SELECT hour, day_of_week, round(avg(y), 6) AS baseline_pred FROM hours WHERE hour_ts < TIMESTAMP '{CUT}' GROUP BY ALL")
 def baseline_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = hours(spark, sf_dir).where(F.col("hour_ts") < F.lit(CUT).cast("timestamp_ntz"))
-    return fit_group_mean(train, ["hour", "day_of_week"]).withColumn("baseline_pred", F.round("baseline_pred", 6))
+    return fit_group_mean(train, ["hour", "day_of_week"]).withColumn("baseline_pred", N.rounded("baseline_pred", 6))
 
 
 @query("baseline_predict", f"WITH {SCORED_HOURS} SELECT hour_ts, round(y, 6) AS y, round(pred, 6) AS pred FROM s")
 def baseline_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored_hours(spark, sf_dir).select("hour_ts", F.round("y", 6).alias("y"), F.round("pred", 6).alias("pred"))
+    return scored_hours(spark, sf_dir).select("hour_ts", N.rounded("y", 6).alias("y"), N.rounded("pred", 6).alias("pred"))
 
 
 @query("segment_by_hour", f"WITH {SCORED_HOURS} SELECT hour, {REPORT} FROM s GROUP BY 1")
@@ -449,7 +449,7 @@ def pivot_hour_dow(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT year, month, mean, coalesce(n, 0) AS n FROM g LEFT JOIN v USING (year, month)""",
 )
 def month_year_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explore.month_year_mean(orders(spark, sf_dir), "o_orderdate", "o_totalprice").withColumn("mean", F.round("mean", 4))
+    return explore.month_year_mean(orders(spark, sf_dir), "o_orderdate", "o_totalprice").withColumn("mean", N.rounded("mean", 4))
 
 
 @query("null_counts", "SELECT count(*) FILTER (o_totalprice IS NULL) AS null_o_totalprice, count(*) FILTER (o_orderdate IS NULL) AS null_o_orderdate FROM orders")
@@ -472,7 +472,7 @@ def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("yearly_stats", "SELECT year(o_orderdate)::INT AS year, round(avg(o_totalprice), 4) AS mean, round(quantile_cont(o_totalprice, 0.5), 4) AS median, round(stddev_samp(o_totalprice), 4) AS sd, count(o_totalprice) AS n FROM orders GROUP BY 1")
 def yearly_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explore.yearly_stats(orders(spark, sf_dir), "o_orderdate", "o_totalprice").withColumns({c: F.round(c, 4) for c in ("mean", "median", "sd")})
+    return explore.yearly_stats(orders(spark, sf_dir), "o_orderdate", "o_totalprice").withColumns({c: N.rounded(c, 4) for c in ("mean", "median", "sd")})
 
 
 @query(
@@ -589,7 +589,7 @@ def _user_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rounded_lags(df: DataFrame) -> DataFrame:
-    return df.select("user_id", "t", *(F.round(f"lag_{k}h", 6).alias(f"lag_{k}h") for k in (1, 24, 168)))
+    return df.select("user_id", "t", *(N.rounded(f"lag_{k}h", 6).alias(f"lag_{k}h") for k in (1, 24, 168)))
 
 
 @query("lag_timestamp", _LAG_SQL)
@@ -608,7 +608,7 @@ def lag_range_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def lag_row_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lags.lag_by_row(_user_hours(spark, sf_dir), "t", "v", [1, 24], ["user_id"])
-    return out.select("user_id", "t", *(F.round(f"shift_{k}", 6).alias(f"shift_{k}") for k in (1, 24)))
+    return out.select("user_id", "t", *(N.rounded(f"shift_{k}", 6).alias(f"shift_{k}") for k in (1, 24)))
 
 
 @query(
@@ -684,7 +684,7 @@ def _xy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ridge_1d_closed_form", f"WITH {_XY}, {_RIDGE_1D} SELECT alpha, round(slope, 6) AS slope, round(my - slope * mx, 6) AS intercept FROM r")
 def ridge_1d_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ridge.closed_form(_xy(spark, sf_dir).where(F.col("l_shipdate") < F.lit("1999-01-01").cast("timestamp_ntz")), "x", "y", ALPHAS_1D)
-    return out.select("alpha", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
+    return out.select("alpha", N.rounded("slope", 6).alias("slope"), N.rounded("intercept", 6).alias("intercept"))
 
 
 @query(
@@ -694,7 +694,7 @@ def ridge_1d_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alpha_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, validation, _ = splits.time_split(_xy(spark, sf_dir), "l_shipdate", TRAIN_UNTIL, VALIDATION_UNTIL)
     fits = ridge.closed_form(train, "x", "y", ALPHAS_1D)
-    return validation.join(F.broadcast(fits)).groupBy("alpha").agg(F.round(F.avg(F.abs(F.col("y") - (F.col("intercept") + F.col("slope") * F.col("x")))), 6).alias("mae"))
+    return validation.join(F.broadcast(fits)).groupBy("alpha").agg(N.rounded(F.avg(F.abs(F.col("y") - (F.col("intercept") + F.col("slope") * F.col("x")))), 6).alias("mae"))
 
 
 @query("ridge_pipeline_metrics")
@@ -707,7 +707,7 @@ def ridge_pipeline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("log_target_probe", "SELECT event_type, round(exp(avg(ln(1 + value))) - 1, 6) AS back FROM events WHERE value > -1 GROUP BY 1")
 def log_target_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).where("value > -1").groupBy("event_type").agg(F.round(F.expm1(F.avg(F.log1p("value"))), 6).alias("back"))
+    return events(spark, sf_dir).where("value > -1").groupBy("event_type").agg(N.rounded(F.expm1(F.avg(F.log1p("value"))), 6).alias("back"))
 
 
 @query(
@@ -746,7 +746,7 @@ def score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = scoring.warnings(scoring.features(scoring.validate(_requests(spark, sf_dir))), "2024-01-05 00:00:00", "2024-01-25 00:00:00")
     out = scoring.respond(df.withColumn("raw_prediction", 3 * F.col("temperature_celsius") + F.coalesce("rain_1h_mm", F.lit(0.0))), {"policy_id": "non_negative_projection"})
     errors = F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e["field"], e["code"])), ",")
-    return out.select("request_id", errors.alias("errors"), F.array_join("warnings", ",").alias("warnings"), "holiday_name", "weather_family", F.round("prediction", 6).alias("prediction"), "clipped")
+    return out.select("request_id", errors.alias("errors"), F.array_join("warnings", ",").alias("warnings"), "holiday_name", "weather_family", N.rounded("prediction", 6).alias("prediction"), "clipped")
 
 
 # --- windows (batch side of the streaming operators) ----------------------------------------------------------------

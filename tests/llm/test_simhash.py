@@ -151,3 +151,17 @@ def test_sets_of_similarity_08_mostly_meet(spark):
         rows += [(2 * p, " ".join(base)), (2 * p + 1, " ".join(near))]
     out = S.near_duplicates(frame(spark, rows), **S.WIDE)
     assert out.where(F.col("component_id") < F.col("id")).count() >= 0.85 * pairs
+
+
+def stored(monkeypatch, spark, fps, bits):
+    """near_duplicates() finds these fingerprints instead of those of texts."""
+    frame = spark.createDataFrame([(i, f.to_bytes(bits // 8, "big")) for i, f in enumerate(fps)], "id long, fp binary")
+    monkeypatch.setattr(S, "fingerprints", lambda *a, **b: frame)
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_a_pair_that_false_coarse_links_join_is_still_compared(spark, monkeypatch):
+    far = (1 << 64) - 1
+    docs = stored(monkeypatch, spark, [0, 0b1 << 64 | far, 0b11 << 64, 0b111 << 64 | far << 32 & far], 128)  # 0 and 2 are near; 1 lies between them in the first bits only
+    out = S.near_duplicates(docs, bits=128, distance=3, coarse=(64, 3))
+    assert sorted((r.id, r.component_id) for r in out.collect()) == [(0, 0), (1, 1), (2, 0), (3, 3)]

@@ -177,8 +177,8 @@ def _masked(nodes: DataFrame, bits: int, words: int, word_bits: int, radius: int
 HELD_PAIRS = 1 << 20
 
 
-def _linked(key: np.ndarray, ids: np.ndarray, fp: np.ndarray, distance: int) -> np.ndarray:
-    """Links (a, b) that span the graph of the rows with equal keys within the distance: sorted rows, fewer links than rows.
+def _forest(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (rows i, j) that span the graph of the rows with equal keys within the distance, fewer than rows; the least row of each row's component.
 
     Of a batch's near pairs (up to HELD_PAIRS at once) the nearest are joined first, so that a path of near links is not
     given up for a far one.
@@ -221,25 +221,39 @@ def _linked(key: np.ndarray, ids: np.ndarray, fp: np.ndarray, distance: int) ->
         rows = rows[key[rows] == key[rows + lag]]
         if not len(rows):
             break
-        far = np.zeros(len(rows), np.int64)
+        apart = rows[root[rows] != root[rows + lag]]
+        far = np.zeros(len(apart), np.int64)
         for j in range(fp.shape[1]):
-            far += np.bitwise_count(fp[rows, j] ^ fp[rows + lag, j])
-        near = (far <= distance) & (root[rows] != root[rows + lag])
+            far += np.bitwise_count(fp[apart, j] ^ fp[apart + lag, j])
+        near = far <= distance
         if near.any():
-            held.append((rows[near], rows[near] + lag, far[near]))
+            held.append((apart[near], apart[near] + lag, far[near]))
             if sum(len(x[0]) for x in held) > HELD_PAIRS:
                 join()
         lag += 1
     join()
-    if not links:
-        return np.zeros((0, 2), np.int64)
-    at = np.array(links)
-    return np.sort(ids[at], 1)
+    return np.array(links, np.int64).reshape(-1, 2), root
 
 
-def _bucket_links(rows: DataFrame, bits: int, distance: int, bucket: int) -> DataFrame:
-    """(a, b, key, fp, free): links inside each key; of keys with more than `bucket` rows the rows instead, with b null."""
-    width = bits // 8
+def _linked(key: np.ndarray, ids: np.ndarray, fp: np.ndarray, distance: int) -> np.ndarray:
+    """The links of _forest as sorted pairs of ids."""
+    return np.sort(ids[_forest(key, fp, distance)[0]], 1)
+
+
+def _grouped(key: np.ndarray, ids: np.ndarray, fp: np.ndarray, distance: int) -> np.ndarray:
+    """(group, id) for the components of the graph of the rows with equal keys. A group is named by its ids, so that the same rows have the same name under every key."""
+    root = _forest(key, fp, distance)[1]
+    rows = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
+    rows = rows[np.argsort(root[rows], kind="stable")]
+    first = np.flatnonzero(np.diff(root[rows], prepend=-1))
+    size = np.diff(first, append=len(rows))
+    total = np.add.reduceat(_mix(ids[rows].view(np.uint64)), first) if len(rows) else np.zeros(0, np.uint64)
+    return np.stack([np.repeat(_mix(total + size.astype(np.uint64)).view(np.int64), size), ids[rows]], 1)
+
+
+def _bucket_links(rows: DataFrame, bits: int, distance: int, bucket: float, groups: bool = False) -> DataFrame:
+    """(a, b, key, fp, free): links inside each key, or (group, id) of its components; of keys with more than `bucket` rows the rows instead, with b null."""
+    width, inside = bits // 8, _grouped if groups else _linked
     has_free = "free" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +269,7 @@ def _bucket_links(rows: DataFrame, bits: int, distance: int, bucket: int) -> Dat
         def links(t: pa.Table) -> pa.RecordBatch:
             t = t.combine_chunks()
             fp = _fp_matrix(t.column("fp").combine_chunks(), width)
-            e = _linked(t.column("key").to_numpy(), t.column("id").to_numpy(), fp, distance)
+            e = inside(t.column("key").to_numpy(), t.column("id").to_numpy(), fp, distance)
             return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), pa.nulls(len(e), pa.int64()), pa.nulls(len(e), pa.binary()), pa.nulls(len(e), pa.binary())], names=names)
 
         for b in batches:
@@ -291,8 +305,9 @@ def _bucket_links(rows: DataFrame, bits: int, distance: int, bucket: int) -> Dat
     return parts.mapInArrow(run, "a long, b long, key long, fp binary, free binary")
 
 
-def link(nodes: DataFrame, bits: int = 64, distance: int = 3, radius: int = 3, words: int = 1, word_bits: int = 64, bucket: int = BUCKET) -> DataFrame:
+def link(nodes: DataFrame, bits: int = 64, distance: int = 3, radius: int = 3, words: int = 1, word_bits: int = 64, bucket: int = BUCKET, groups: bool = False) -> DataFrame:
     """Links (a, b) between nodes (id unique and not null, fp) within the distance that share a key; they span each key's graph.
+    groups: instead (a, b) is a group and a node of it, the groups being the components of each key's graph.
 
     Copies must have been made one node before. A key with more than `bucket` fingerprints is not gathered: its rows
     stream out and are masked anew over the positions that its mask left open, which keeps the guarantee (the pairs differ only
@@ -303,7 +318,7 @@ def link(nodes: DataFrame, bits: int = 64, distance: int = 3, radius: int = 3, w
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")  # short rows
     edges, level, left = None, 0, nodes
     while True:
-        found = materialise(spark, _bucket_links(_masked(left, bits, words, word_bits, radius), bits, distance, bucket), f"links-{level}")
+        found = materialise(spark, _bucket_links(_masked(left, bits, words, word_bits, radius), bits, distance, bucket, groups), f"links-{level}")
         some = found.where("b is not null").select("a", "b")
         edges = some if edges is None else edges.unionByName(some)
         left = found.where("b is null").select(F.col("a").alias("id"), "fp", "key", "free")
@@ -336,6 +351,12 @@ def confirm(links: DataFrame, nodes: DataFrame, bits: int, distance: int) -> Dat
     return known.select("a", "b", "fp_a", "fp_b").mapInArrow(run, "a long, b long")
 
 
+def full_links(groups: DataFrame, nodes: DataFrame, bits: int, distance: int) -> DataFrame:
+    """Links (a, b) that span, by the whole fingerprints of nodes, the graph of each group's nodes (a group, b node): every two that are not joined by such links are compared."""
+    rows = groups.select(F.col("a").alias("key"), F.col("b").alias("id")).distinct().join(nodes.select("id", "fp"), "id")
+    return _bucket_links(rows.select("key", "id", "fp"), bits, distance, float("inf")).select("a", "b")
+
+
 def _with_free(rows: DataFrame, bits: int, words: int, word_bits: int, radius: int) -> DataFrame:
     width = bits // 8
     masks = [m for p in word_positions(bits, words, word_bits) for m in covering_masks(p, radius, bits)]
@@ -359,8 +380,8 @@ def near_duplicates(
 ) -> DataFrame:
     """One row (id, fp binary, component_id) per row of docs; component_id is the least id reachable over links, the row's own included.
 
-    coarse = (bits, distance): the tables hold only so many first bits, which must lie within that distance; the whole
-    fingerprints of the pairs found are compared afterwards.
+    coarse = (bits, distance): the tables hold only so many first bits. Rows that links within that distance join under a
+    key are a group, and inside a group the whole fingerprints decide: only links that are final make others needless.
 
     Null or empty text: the zero fingerprint, which links like any other. Rows with a null id get their fingerprint and
     the component of other rows with that same fingerprint (null without any), but join no groups themselves. Repeated rows come
@@ -374,7 +395,7 @@ def near_duplicates(
         links = link(nodes, bits=bits, distance=distance, **tables)
     else:
         first = nodes.select("id", F.substring("fp", 1, coarse[0] // 8).alias("fp"))
-        links = confirm(link(first, bits=coarse[0], distance=coarse[1], **tables), nodes, bits, distance)
+        links = full_links(link(first, bits=coarse[0], distance=coarse[1], groups=True, **tables), nodes, bits, distance)
     found = components(spark, links, "simhash")
     known = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return fps.join(known, "fp", "left").select("id", "fp", "component_id")

@@ -165,3 +165,19 @@ def test_a_pair_that_false_coarse_links_join_is_still_compared(spark, monkeypatc
     docs = stored(monkeypatch, spark, [0, 0b1 << 64 | far, 0b11 << 64, 0b111 << 64 | far << 32 & far], 128)  # 0 and 2 are near; 1 lies between them in the first bits only
     out = S.near_duplicates(docs, bits=128, distance=3, coarse=(64, 3))
     assert sorted((r.id, r.component_id) for r in out.collect()) == [(0, 0), (1, 1), (2, 0), (3, 3)]
+
+
+def test_split_wide_buckets_keep_every_link(spark, monkeypatch):
+    rng = random.Random(8)
+    flipped = lambda fp, at: fp ^ sum(1 << 1023 - p for p in at)
+    fps, families = [], 25
+    for _ in range(families):  # two near rows and others that share their keys, but only the first bits
+        a, apart = rng.getrandbits(1024), rng.sample(range(192), 32)
+        fps += [a, flipped(a, apart + rng.sample(range(192, 1024), 100))]
+        fps += [flipped(a, [p for p in apart if rng.random() < 0.5] + rng.sample(range(192, 1024), 400)) for _ in range(12)]
+    put = type(spark.conf).set  # a key is split where it outlasts an Arrow batch
+    monkeypatch.setattr(type(spark.conf), "set", lambda self, k, v: put(self, k, "4" if k.endswith("maxRecordsPerBatch") else v))
+    docs = stored(monkeypatch, spark, fps, 1024)
+    whole = {r.id: r.component_id for r in S.near_duplicates(docs, **S.WIDE).collect()}
+    assert sum(whole[14 * f + 1] == 14 * f for f in range(families)) >= 0.8 * families
+    assert {r.id: r.component_id for r in S.near_duplicates(docs, **S.WIDE, bucket=8).collect()} == whole

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, materialise, small_batches, table, texts
 
-#: Distinct fingerprints of one key that a task compares at once. A key with more is split by further masks.
+#: Distinct fingerprints of one key that a task compares at once. A key with more is split.
 BUCKET = 8192
 #: Shingles hashed at once: bounds memory for very long texts.
 CHUNK = 1 << 16
@@ -149,9 +149,7 @@ def _masked(nodes: DataFrame, bits: int, words: int, word_bits: int, radius: int
     as_words = lambda m: np.frombuffer(m, ">u8").astype(np.uint64)
 
     def masks_of(free: bytes) -> list[bytes]:
-        open_at = np.flatnonzero(np.unpackbits(np.frombuffer(free, np.uint8))).tolist()
-        step = max(1, len(open_at) // word_bits)
-        return covering_masks(open_at[::step][:word_bits], radius, bits)
+        return covering_masks(np.flatnonzero(np.unpackbits(np.frombuffer(free, np.uint8))).tolist(), radius, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -177,8 +175,9 @@ def _masked(nodes: DataFrame, bits: int, words: int, word_bits: int, radius: int
 HELD_PAIRS = 1 << 20
 
 
-def _forest(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def _forest(key: np.ndarray, fp: np.ndarray, distance: int, first: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (rows i, j) that span the graph of the rows with equal keys within the distance, fewer than rows; the least row of each row's component.
+    first = (bits, distance) must hold as well for so many first bits.
 
     Of a batch's near pairs (up to HELD_PAIRS at once) the nearest are joined first, so that a path of near links is not
     given up for a far one.
@@ -224,6 +223,8 @@ def _forest(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray,
         apart = rows[root[rows] != root[rows + lag]]
         far = np.zeros(len(apart), np.int64)
         for j in range(fp.shape[1]):
+            if first and 64 * j == first[0]:
+                apart, far = apart[far <= first[1]], far[far <= first[1]]
             far += np.bitwise_count(fp[apart, j] ^ fp[apart + lag, j])
         near = far <= distance
         if near.any():
@@ -235,23 +236,23 @@ def _forest(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray,
     return np.array(links, np.int64).reshape(-1, 2), root
 
 
-def _linked(key: np.ndarray, ids: np.ndarray, fp: np.ndarray, distance: int) -> np.ndarray:
+def _linked(key: np.ndarray, ids: np.ndarray, fp: np.ndarray, distance: int, first: tuple[int, int] | None = None) -> np.ndarray:
     """The links of _forest as sorted pairs of ids."""
-    return np.sort(ids[_forest(key, fp, distance)[0]], 1)
+    return np.sort(ids[_forest(key, fp, distance, first)[0]], 1)
 
 
-def _grouped(key: np.ndarray, ids: np.ndarray, fp: np.ndarray, distance: int) -> np.ndarray:
+def _grouped(key: np.ndarray, ids: np.ndarray, fp: np.ndarray, distance: int, first: tuple[int, int] | None = None) -> np.ndarray:
     """(group, id) for the components of the graph of the rows with equal keys. A group is named by its ids, so that the same rows have the same name under every key."""
-    root = _forest(key, fp, distance)[1]
+    root = _forest(key, fp, distance, first)[1]
     rows = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
     rows = rows[np.argsort(root[rows], kind="stable")]
-    first = np.flatnonzero(np.diff(root[rows], prepend=-1))
-    size = np.diff(first, append=len(rows))
-    total = np.add.reduceat(_mix(ids[rows].view(np.uint64)), first) if len(rows) else np.zeros(0, np.uint64)
+    begin = np.flatnonzero(np.diff(root[rows], prepend=-1))
+    size = np.diff(begin, append=len(rows))
+    total = np.add.reduceat(_mix(ids[rows].view(np.uint64)), begin) if len(rows) else np.zeros(0, np.uint64)
     return np.stack([np.repeat(_mix(total + size.astype(np.uint64)).view(np.int64), size), ids[rows]], 1)
 
 
-def _bucket_links(rows: DataFrame, bits: int, distance: int, bucket: float, groups: bool = False) -> DataFrame:
+def _bucket_links(rows: DataFrame, bits: int, distance: int, bucket: float, groups: bool = False, first: tuple[int, int] | None = None) -> DataFrame:
     """(a, b, key, fp, free): links inside each key, or (group, id) of its components; of keys with more than `bucket` rows the rows instead, with b null."""
     width, inside = bits // 8, _grouped if groups else _linked
     has_free = "free" in rows.columns
@@ -269,7 +270,7 @@ def _bucket_links(rows: DataFrame, bits: int, distance: int, bucket: float, grou
         def links(t: pa.Table) -> pa.RecordBatch:
             t = t.combine_chunks()
             fp = _fp_matrix(t.column("fp").combine_chunks(), width)
-            e = inside(t.column("key").to_numpy(), t.column("id").to_numpy(), fp, distance)
+            e = inside(t.column("key").to_numpy(), t.column("id").to_numpy(), fp, distance, first)
             return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), pa.nulls(len(e), pa.int64()), pa.nulls(len(e), pa.binary()), pa.nulls(len(e), pa.binary())], names=names)
 
         for b in batches:
@@ -305,26 +306,37 @@ def _bucket_links(rows: DataFrame, bits: int, distance: int, bucket: float, grou
     return parts.mapInArrow(run, "a long, b long, key long, fp binary, free binary")
 
 
+def _blocks(rows: DataFrame, bucket: int, level: int) -> DataFrame:
+    """(key, id, fp): the rows of each key, which are more than bucket, dealt into three blocks or more; every two blocks are a key of mostly fewer than bucket rows."""
+    sizes = rows.groupBy("key").agg(F.ceil(2.25 * F.count("id") / bucket).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64(F.lit(level), "id"), "blocks").cast("int"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> other")
+    return pairs.select(F.xxhash64(F.lit(level), "key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "id", "fp")
+
+
 def link(nodes: DataFrame, bits: int = 64, distance: int = 3, radius: int = 3, words: int = 1, word_bits: int = 64, bucket: int = BUCKET, groups: bool = False) -> DataFrame:
     """Links (a, b) between nodes (id unique and not null, fp) within the distance that share a key; they span each key's graph.
     groups: instead (a, b) is a group and a node of it, the groups being the components of each key's graph.
 
     Copies must have been made one node before. A key with more than `bucket` fingerprints is not gathered: its rows
-    stream out and are masked anew over the positions that its mask left open, which keeps the guarantee (the pairs differ only
-    there), until keys are small or no position is open, when all fingerprints would be equal.
+    stream out. Where masks cover the distance they are masked anew over the positions that the key's mask left open, which keeps the
+    guarantee (the pairs differ only there), until keys are small or no position is open, when all fingerprints would be
+    equal. Elsewhere further masks would lose pairs that have met, so the rows are dealt into blocks of which every two meet.
     """
+    covering = words == 1 and word_bits >= bits and radius >= distance
     spark = nodes.sparkSession
     bucket = max(bucket, 1 << radius)  # as many fingerprints differ in no more positions than the radius: such keys are never split
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")  # short rows
     edges, level, left = None, 0, nodes
     while True:
-        found = materialise(spark, _bucket_links(_masked(left, bits, words, word_bits, radius), bits, distance, bucket, groups), f"links-{level}")
+        keyed = _blocks(left, bucket, level) if level and not covering else _masked(left, bits, words, word_bits, radius)
+        found = materialise(spark, _bucket_links(keyed, bits, distance, bucket, groups), f"links-{level}")
         some = found.where("b is not null").select("a", "b")
         edges = some if edges is None else edges.unionByName(some)
         left = found.where("b is null").select(F.col("a").alias("id"), "fp", "key", "free")
         if left.isEmpty():
             break
-        if level == 0:  # the first tables do not carry which positions are open: the mask is found again from the key
+        if level == 0 and covering:  # the first tables do not carry which positions are open: the mask is found again from the key
             left = _with_free(left, bits, words, word_bits, radius)
         level += 1
     small_batches(spark)
@@ -351,10 +363,11 @@ def confirm(links: DataFrame, nodes: DataFrame, bits: int, distance: int) -> Dat
     return known.select("a", "b", "fp_a", "fp_b").mapInArrow(run, "a long, b long")
 
 
-def full_links(groups: DataFrame, nodes: DataFrame, bits: int, distance: int) -> DataFrame:
-    """Links (a, b) that span, by the whole fingerprints of nodes, the graph of each group's nodes (a group, b node): every two that are not joined by such links are compared."""
+def full_links(groups: DataFrame, nodes: DataFrame, bits: int, distance: int, coarse: tuple[int, int]) -> DataFrame:
+    """Links (a, b) within the distance by the whole fingerprints of nodes, and by the coarse ones, that span the graph of each
+    group's nodes (a group, b node): every two that are not joined by such links are compared."""
     rows = groups.select(F.col("a").alias("key"), F.col("b").alias("id")).distinct().join(nodes.select("id", "fp"), "id")
-    return _bucket_links(rows.select("key", "id", "fp"), bits, distance, float("inf")).select("a", "b")
+    return _bucket_links(rows.select("key", "id", "fp"), bits, distance, float("inf"), first=coarse).select("a", "b")
 
 
 def _with_free(rows: DataFrame, bits: int, words: int, word_bits: int, radius: int) -> DataFrame:
@@ -395,7 +408,7 @@ def near_duplicates(
         links = link(nodes, bits=bits, distance=distance, **tables)
     else:
         first = nodes.select("id", F.substring("fp", 1, coarse[0] // 8).alias("fp"))
-        links = full_links(link(first, bits=coarse[0], distance=coarse[1], groups=True, **tables), nodes, bits, distance)
+        links = full_links(link(first, bits=coarse[0], distance=coarse[1], groups=True, **tables), nodes, bits, distance, coarse)
     found = components(spark, links, "simhash")
     known = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return fps.join(known, "fp", "left").select("id", "fp", "component_id")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing as M
+from tidemark.llm import packing
 
 SCHEMA = "doc_id long, text string, source string, size string, target int, id string, key double, slice int"
 
@@ -97,3 +98,17 @@ def test_stage_repeats_rows(spark):
     assert out.schema.names == docs.schema.names
     counts = collections.Counter(r.doc_id for r in out.collect())
     assert max(counts.values()) <= 2 and sum(counts.values()) == 15
+
+
+def test_stage_keeps_rows_without_an_id(spark):
+    rows = [(None if i % 2 else i, f"w{i} " * (20 + i % 7), "en", s, 60) for i, s in enumerate("aabbbbbbbbb" * 4 + "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = M.stage_mixing(spark, docs, "")
+    assert out.schema.names == docs.schema.names
+    got, want = collections.Counter(), collections.Counter()
+    for r in out.collect():
+        got[r.doc_id is None, r.source] += len(r.text.split())
+    for r in M.mix(docs).collect():
+        want[r.id is None, r.source] += r.taken
+    assert got == +want and got[True, "b"] > 0
+    assert packing.stage_packing(spark, out, "").where("doc_id is null").count() > 0

@@ -58,7 +58,7 @@ def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights:
     return df.select("source", "source_size", F.when(free, F.col("first.multiple") * F.col("weight")).otherwise(F.col("limit")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED, slices: int = SLICES) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED, slices: int = SLICES, carry: bool = False) -> DataFrame:
     """(id, source, size, source_size, target, epochs, taken) for every row: taken is size times the copies that the mix takes.
 
     A source's target in words is met by whole documents: as many complete epochs as fit, then a part of one more epoch, a
@@ -68,13 +68,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     The keys' ranges are cut into slices; words are summed per source and slice before the shuffle, the slice where the budget ends
     follows from prefix sums, and only its documents are sorted. Null source is a source of its own, in last place; null text
     has size 0 and is never taken; null ids share one random number, and ties of keys go by id, size and source row hash,
-    copies of one row being taken in turn. An empty table gives no rows; other columns of docs are ignored.
+    copies of one row being taken in turn. An empty table gives no rows; other columns of docs are ignored, or
+    with carry follow in a struct _row, so that no id is needed to find them again.
     """
-    spark = docs.sparkSession
+    spark, whole = docs.sparkSession, ["_row"] if carry else []
     key = -F.log(uniform_of("id", seed)) / F.col("quality")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size_of(text_col).alias("size"), quality_of(text_col).alias("quality"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size_of(text_col).alias("size"), quality_of(text_col).alias("quality"), *([F.struct(*docs.columns).alias("_row")] if carry else []))
     rows = rows.withColumn("key", key).withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * slices).cast("int"))
-    rows = materialise(spark, rows.select("id", "source", "size", "key", "slice"), "sizes")
+    rows = materialise(spark, rows.select("id", "source", "size", "key", "slice", *whole), "sizes")
     by_slice = materialise(spark, rows.groupBy("source", "slice").agg(F.sum("size").alias("words")), "slices")
     goal = targets(by_slice.groupBy("source").agg(F.sum("words").alias("source_size")), share, most, weights)
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -91,7 +92,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     last = last.withColumn("before", F.col("end_before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     last = last.withColumn("extra", (F.col("before") + F.col("size") / 2.0 <= F.col("part")).cast("int"))
     rest = joined.where("end_slice is null or slice <> end_slice").withColumn("extra", F.coalesce((F.col("slice") < F.col("end_slice")).cast("int"), F.lit(0)))
-    cols = ["id", "source", "size", "source_size", "target", "epochs", "extra"]
+    cols = ["id", "source", "size", "source_size", "target", "epochs", "extra", *whole]
     out = rest.select(*cols).unionByName(last.select(*cols))
     return out.withColumn("taken", F.col("size") * (F.col("epochs") + F.col("extra")))
 
@@ -102,9 +103,9 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with its columns."""
-    copies = mix(docs).groupBy(F.col("id").alias("doc_id")).agg(F.max(F.col("epochs") + F.col("extra")).cast("int").alias("_copies")).where("_copies > 0")
-    return docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    """The mix itself: each row as often as it is taken, with its columns; rows without an id as well."""
+    copies = mix(docs, carry=True).withColumn("_copies", (F.col("epochs") + F.col("extra")).cast("int")).where("_copies > 0")
+    return copies.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 _SYMBOLS_SQL = SYMBOLS

@@ -71,3 +71,18 @@ def test_a_count_does_not_depend_on_partitions(spark):
     a = sorted(H.extract(frame(spark, rows).repartition(5)).collect())
     assert a == sorted(H.extract(frame(spark, rows).coalesce(1)).collect())
     assert a[4].text == "Page 4"
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    copy = "<head><title>{}</title></head><body><h1>Title</h1><div><p>The whole text</p></div></body>"
+    rows = [(i, f"http://a.com/p?utm={i}", copy.format(i)) for i in range(8)] + [(10 + i, f"http://a.com/{i}", f"<p>Page {i}</p>") for i in range(8)]
+    rows += [(20 + i, None, "<article><div><p>Lost and found</p></div></article>") for i in range(6)]
+    rows += [(30 + i, f"http://b.com/{i % 6}", f"<div>Menu</div><article>Story {i % 6}</article>") for i in range(12)]
+    out = {r.id: r.text for r in H.extract(frame(spark, rows)).collect()}
+    assert out[3] == "Title\n\nThe whole text" and out[11] == "Page 1" and out[22] == "Lost and found"
+    assert out[37] == "Story 1"
+
+
+def test_a_menu_on_pages_that_differ_in_bare_text_is_a_template(spark):
+    rows = [(i, "http://a.com/", f"<body><div>Menu</div>Story {i}</body>") for i in range(6)]
+    assert sorted(r.text for r in H.extract(frame(spark, rows)).collect()) == [f"Story {i}" for i in range(6)]

@@ -1,7 +1,7 @@
 """Main text of web pages: site templates are found by hashing element subtrees and counting them per host, then left out.
 
-A page is parsed twice, and never shuffled for the counting: the first pass sends only (host, subtree hash, pages), summed
-batch by batch; the second leaves out the subtrees that recur, and what tags, roles and class names mark as no article.
+A page is parsed twice, and never shuffled for the counting: the first pass sends only (host, hash of the content, subtree
+hash), made distinct so that copies of a page count as one; the second leaves out the subtrees that recur, and what tags, roles and class names mark as no article.
 """
 
 from __future__ import annotations
@@ -87,8 +87,8 @@ def _tag_end(page: str, at: int) -> int:
     return end
 
 
-def parse(page: str, template: frozenset[int] | set[int] = frozenset(), hashes: set[int] | None = None) -> str:
-    """The text of a page's article without the subtrees whose hashes are in template; hashes, if given, gets those of all its block elements."""
+def parse(page: str, template: frozenset[int] | set[int] = frozenset(), hashes: set[int] | None = None, bodies: list[bytes] | None = None) -> str:
+    """The text of a page's article without the subtrees whose hashes are in template; hashes, if given, gets those of all its block elements, and bodies that of the body, or of the page if it has none."""
     blocks: list[tuple[str, str]] = []  # (scope, text): a for article, m for main, empty for the rest
     scopes: Counter[str] = Counter()
     inline: list[str] = []
@@ -123,6 +123,8 @@ def parse(page: str, template: frozenset[int] | set[int] = frozenset(), hashes:
         if hashes is not None or template:
             digest = xxhash.xxh64_digest(e.name.encode() + b"\0" + b"\1".join(e.parts))
             stack[-1].parts.append(digest)
+            if bodies is not None and e.name == "body":
+                bodies.append(digest)
             if e.name in BLOCKS and e.parts and e.name not in ("html", "body", "article", "main"):
                 number = int.from_bytes(digest, "big", signed=True)
                 if hashes is not None:
@@ -217,6 +219,8 @@ def parse(page: str, template: frozenset[int] | set[int] = frozenset(), hashes:
     while len(stack) > 1:
         close()
     flush()
+    if bodies is not None and not bodies:
+        bodies.append(xxhash.xxh64_digest(b"\1".join(stack[0].parts)))
     keep = "a" if scopes["a"] else "m" if scopes["m"] else ""
     return "\n\n".join(t for s, t in blocks if s == keep or not keep or keep == "m" and s == "a")
 
@@ -229,23 +233,28 @@ def host_of(url_col: str) -> Column:
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, hashes): the subtrees of pages (host, html) that stand on min_pages pages of the host and on min_share of them.
 
-    A page counts once for a subtree. A host's list is bounded: if pages have e elements on average, at most e / min_share
-    can be that frequent.
+    Pages with equal bodies and blocks are copies and count as one; a page counts once for a subtree. A host's list is
+    bounded: if pages have e elements on average, at most e / min_share can be that frequent.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts: Counter[tuple[str, int | None]] = Counter()
+            seen: set[tuple[str, int]] = set()
+            rows: list[tuple[str, int, int | None]] = []
             for host, raw in zip(b.column(0).to_pylist(), texts(b, "html"), strict=True):
                 found: set[int] = set()
-                parse(raw.decode(), hashes=found)
-                counts[(host, None)] += 1
-                for h in found:
-                    counts[(host, h)] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["host", "hash", "n"])
+                bodies: list[bytes] = []
+                parse(raw.decode(), hashes=found, bodies=bodies)
+                blocks = b"".join(h.to_bytes(8, "big", signed=True) for h in sorted(found))
+                content = int.from_bytes(xxhash.xxh64_digest(b"".join(bodies) + blocks), "big", signed=True)
+                if (host, content) not in seen:
+                    seen.add((host, content))
+                    rows += [(host, content, h) for h in (None, *found)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["host", "content", "hash"])
 
     small_batches(pages.sparkSession)
-    counts = pages.select("host", "html").mapInArrow(run, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n")).where(F.col("hash").isNull() | (F.col("n") >= min_pages))
+    counts = pages.select("host", "html").mapInArrow(run, "host string, content long, hash long").distinct()
+    counts = counts.groupBy("host", "hash").agg(F.count("content").alias("n")).where(F.col("hash").isNull() | (F.col("n") >= min_pages))
     counts = materialise(pages.sparkSession, counts, "subtrees")
     total = materialise(pages.sparkSession, counts.where("hash is null").select("host", F.col("n").alias("total")), "hosts")  # of known size, so that few hosts meet the counts without a shuffle
     often = counts.where("hash is not null").join(total, "host").where(F.col("n") >= min_share * F.col("total"))

@@ -86,3 +86,17 @@ def test_copies_of_a_page_are_no_template(spark):
 def test_a_menu_on_pages_that_differ_in_bare_text_is_a_template(spark):
     rows = [(i, "http://a.com/", f"<body><div>Menu</div>Story {i}</body>") for i in range(6)]
     assert sorted(r.text for r in H.extract(frame(spark, rows)).collect()) == [f"Story {i}" for i in range(6)]
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<body><form action='x.aspx'><nav>n</nav><p>out</p><article><p>t</p><select><option>o</select><button>b</button></article></form></body>", "t"),
+        ("<form><div class=sidebar><main><p>t</p></main></div></form>", "t"),
+        ("<article><p>t</p></article><form><article>f</article></form>", "t"),
+        ("<form><p>Name</p><input><button>Log in</button></form>", ""),
+        ("<form><div hidden><article>h</article></div></form>", ""),
+    ],
+)
+def test_a_form_that_wraps_the_article(page, text):
+    assert H.parse(page) == text

@@ -87,8 +87,11 @@ def _tag_end(page: str, at: int) -> int:
     return end
 
 
-def parse(page: str, template: frozenset[int] | set[int] = frozenset(), hashes: set[int] | None = None, bodies: list[bytes] | None = None) -> str:
-    """The text of a page's article without the subtrees whose hashes are in template; hashes, if given, gets those of all its block elements, and bodies that of the body, or of the page if it has none."""
+def parse(page: str, template: frozenset[int] | set[int] = frozenset(), hashes: set[int] | None = None, bodies: list[bytes] | None = None, forms: bool = False) -> str:
+    """The text of a page's article without the subtrees whose hashes are in template; hashes, if given, gets those of all its block elements, and bodies that of the body, or of the page if it has none.
+
+    forms: article and main are read inside a form too. Where a page has no text otherwise, it is parsed again so.
+    """
     blocks: list[tuple[str, str]] = []  # (scope, text): a for article, m for main, empty for the rest
     scopes: Counter[str] = Counter()
     inline: list[str] = []
@@ -199,7 +202,7 @@ def parse(page: str, template: frozenset[int] | set[int] = frozenset(), hashes:
         if name in ("html", "body", "main"):
             skipped = 0
         elif name in SKIPPED or name == "header" and not in_article:
-            skipped = 2
+            skipped = 1 if forms and name == "form" else 2
         else:
             skipped = _marked(tag, in_article, name == "article")
         landmark = name in ("article", "main") and not skipped and skipping and not surely
@@ -222,7 +225,10 @@ def parse(page: str, template: frozenset[int] | set[int] = frozenset(), hashes:
     if bodies is not None and not bodies:
         bodies.append(xxhash.xxh64_digest(b"\1".join(stack[0].parts)))
     keep = "a" if scopes["a"] else "m" if scopes["m"] else ""
-    return "\n\n".join(t for s, t in blocks if s == keep or not keep or keep == "m" and s == "a")
+    text = "\n\n".join(t for s, t in blocks if s == keep or not keep or keep == "m" and s == "a")
+    if not text and not forms and hashes is None and "form" in opened:  # a form may wrap the whole body
+        return parse(page, template, forms=True)
+    return text
 
 
 def host_of(url_col: str) -> Column:

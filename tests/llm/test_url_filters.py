@@ -36,9 +36,13 @@ URLS = [
 ]
 
 
+def judged(df, labels=None, **how):
+    st = U.suffix_statistics(df)
+    return U.filter_urls(df, U.fit(U.rule_labels(df) if labels is None else labels, st), st, **how)
+
+
 def test_parts_rules_and_verdicts(spark):
-    df = frame(spark, URLS)
-    out = sorted(U.filter_urls(df, U.fit(U.rule_labels(df))).collect())
+    out = sorted(judged(frame(spark, URLS)).collect())
     assert len(out) == len(URLS)
     for u, r in zip(URLS, out, strict=True):
         assert (r.host, r.path) == parts(u), u
@@ -47,14 +51,47 @@ def test_parts_rules_and_verdicts(spark):
         assert r.verdict == verdict if want else r.verdict in ("allow", "block")
 
 
-def test_features(spark):
-    url = "https://a-b.example.com/x1/yy22?k=1&l=2#f"
-    r = U.with_features(U.with_parts(frame(spark, [url]))).first()
-    n = len(url)
-    assert r.entropy == pytest.approx(-sum(c / n * math.log2(c / n) for c in Counter(url).values()))
-    assert (r.url_length, r.depth, r.parameters, r.host_length, r.host_labels, r.hyphens, r.longest_segment) == (n, 2, 2, 15, 3, 1, 4)
-    assert r.digit_ratio == pytest.approx(5 / n)
-    assert r.suffix == "com"
+def test_other_columns_stay(spark):
+    df = spark.createDataFrame([(1, "http://a.com/x", 7, 8.0, "s", "_", 1)], "page_id int, url string, depth int, entropy double, suffix string, _f string, probability int")
+    out = judged(df)
+    assert {"page_id", "url", "depth", "entropy", "suffix", "host", "path", "rule", "probability", "verdict"} <= set(out.columns)
+    r = out.first()
+    assert (r.depth, r.entropy, r.suffix, r.host) == (7, 8.0, "s", "a.com") and 0 <= r.probability <= 1
+
+
+def entropy(text):
+    return -sum(c / len(text) * math.log2(c / len(text)) for c in Counter(text).values()) if text else 0.0
+
+
+def brute(url):
+    """The features by plain Python."""
+    host, path = parts(url)
+    url = url or ""
+    segments = [s for s in path.split("/") if s]
+    tail = segments[1:] if len(segments) > 1 else segments
+    at = min([url.index(c) for c in "?#" if c in url] or [len(url)])
+    rest = "/".join(tail) + url[at:].split("\n")[0]
+    query = url.partition("?")[2].split("#")[0] if "?" in url else ""
+    return {
+        "rest_length": len(rest), "depth": len(segments), "digit_ratio": sum(c in "0123456789" for c in rest) / max(1, len(rest)), "entropy": entropy(rest), "parameters": query.count("&") + 1 if query else 0,
+        "hyphens": rest.count("-"), "longest_segment": max(map(len, tail), default=0), "escapes": rest.count("%"), "suffix_length": len(host.rsplit(".", 1)[-1]),
+        "host_length": len(host), "host_labels": host.count(".") + 1, "host_entropy": entropy(host),
+    }
+
+
+def test_features_equal_brute_force(spark):
+    urls = ["https://a-b.example.com/x1/yy22?k=1&l=2#f", "http://a.com/en/q-1/%20/z?a", "http://h/only", "x#y?z=1&k", *(u for u in URLS if u is None or len(u) < 100 and "\n" not in u)]
+    every = [*U.FEATURES, *U.HOST_FEATURES]
+    df = frame(spark, urls)
+    for r in U.featured(df, U.suffix_statistics(df), features=every).collect():
+        for name, value in brute(urls[r.page_id]).items():
+            assert r._f[name] == pytest.approx(value), (urls[r.page_id], name)
+
+
+def test_rarity_counts_every_suffix(spark):
+    urls = [f"http://h.s{i}/" for i in range(300)] + ["http://a.com/"] * 700
+    st = {r._suffix: r._rarity for r in U.suffix_statistics(frame(spark, urls)).collect()}
+    assert len(st) == 301 and st["com"] == 0 and st["s7"] == 3
 
 
 def labelled(spark, n=1500):
@@ -72,29 +109,44 @@ def labelled(spark, n=1500):
 def test_held_out_accuracy(spark):
     rows = labelled(spark)
     train = spark.createDataFrame([(u, b) for u, b, held in rows if not held], "url string, blocked int")
-    model = U.fit(train)
     test = [(u, b) for u, b, held in rows if held]
-    out = {r.url: r.verdict for r in U.filter_urls(frame(spark, [u for u, _ in test]), model, rules=()).collect()}
+    out = {r.url: r.verdict for r in judged(frame(spark, [u for u, _ in test]), train, rules=()).collect()}
     assert np.mean([(out[u] == "block") == bool(b) for u, b in test]) > 0.95
 
 
 def test_sql_scores_equal_numpy(spark):
     rows = labelled(spark, 300)
-    model = U.fit(spark.createDataFrame([(u, b) for u, b, _ in rows], "url string, blocked int"))
-    out = model.score(U.with_features(U.with_parts(frame(spark, [u for u, _, _ in rows[:40]])))).collect()
-    x = np.array([[r[f] for f in U.FEATURES] for r in out])
-    assert np.allclose(model.trees.probability(x), [r.probability for r in out])
+    df = frame(spark, [u for u, _, _ in rows[:40]])
+    st = U.suffix_statistics(df)
+    model = U.fit(spark.createDataFrame([(u, b) for u, b, _ in rows], "url string, blocked int"), st)
+    x = {r.page_id: [r._f[f] for f in U.FEATURES] for r in U.featured(df, st).collect()}
+    out = model.score(df, st).collect()
+    assert np.allclose(model.trees.probability(np.array([x[r.page_id] for r in out])), [r.probability for r in out])
+
+
+def test_rules_do_not_make_verdicts_by_suffix(spark):
+    rng = random.Random(4)
+    hosts = [("".join(rng.choice("abcdefghi") for _ in range(rng.randrange(3, 9))) + ".example." + s) for s in ("com", "net", "org") for _ in range(20)]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'fr'])}/{rng.randrange(10 ** rng.randrange(1, 6))}{rng.choice(['', '.html', '?p=1', '/x-y'])}" for _ in range(3000)]
+    df = frame(spark, urls)
+    share = {}
+    for r in judged(df).where("rule is null").collect():
+        k = (r.host.rsplit(".", 1)[1], r.verdict)
+        share[k] = share.get(k, 0) + 1
+    blocked = {s: share.get((s, "block"), 0) / (share.get((s, "block"), 0) + share.get((s, "allow"), 0)) for s in ("com", "org")}
+    assert abs(blocked["com"] - blocked["org"]) < 0.1 and blocked["com"] < 1 and blocked["org"] < 1
+    out = U.leave_one_rule_out(df)
+    assert [r[0] for r in out] == ["net/", "example.net/en/", "example.com/de/", "org/fr/"] and all(0 <= r[2] <= 1 and r[1] > 0 for r in out)
 
 
 def test_empty_and_unlabelled(spark):
-    none = U.fit(U.rule_labels(frame(spark, [])))
-    assert U.filter_urls(frame(spark, []), none).collect() == []
-    assert U.filter_urls(frame(spark, ["http://a.com/"]), none).first().verdict in ("allow", "block")
-    one = U.fit(U.rule_labels(frame(spark, ["http://a.net/", "http://b.net/", None])))
-    assert U.filter_urls(frame(spark, ["http://a.com/"]), one).first().verdict == "block"
+    empty = frame(spark, [])
+    assert judged(empty).collect() == []
+    assert judged(frame(spark, ["http://a.com/"])).first().verdict in ("allow", "block")
+    one = U.rule_labels(frame(spark, ["http://a.net/", "http://b.net/", None]))
+    assert judged(frame(spark, ["http://a.com/"]), one).first().verdict == "block"
 
 
 def test_no_python_in_the_plan(spark):
-    df = frame(spark, URLS)
-    plan = U.filter_urls(df, U.fit(U.rule_labels(df)))._jdf.queryExecution().executedPlan().toString()
+    plan = judged(frame(spark, URLS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -5,7 +5,6 @@ Features, rules and scores are DataFrame expressions; only the bounded training
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,25 +12,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import trees
-from tidemark.llm.common import table
+from tidemark.llm.common import materialise, table
 
 #: The contract's rules: verdict, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Distinct labelled URLs that the trees are trained on, and host suffixes that have statistics of their own, at most.
-MAX_ROWS, MAX_SUFFIXES = 20_000, 200
+#: Distinct labelled URLs that the trees are trained on, at most.
+MAX_ROWS = 20_000
 BLOCK_AT = 0.5
-FEATURES = ["url_length", "depth", "digit_ratio", "entropy", "parameters", "host_length", "host_labels", "hyphens", "longest_segment", "escapes", "suffix_rate", "suffix_seen"]
+#: Lexical features of what the rules do not look at, and statistics of the suffix that hold no label: its length and how rare it is.
+FEATURES = ["rest_length", "depth", "digit_ratio", "entropy", "parameters", "hyphens", "longest_segment", "escapes", "suffix_length", "suffix_rarity"]
+#: Features that tell hosts and suffixes apart. Where rules give the labels these repeat the rules (leave_one_rule_out() measures it); with labels of another origin they may serve.
+HOST_FEATURES = ["host_length", "host_labels", "host_entropy"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def with_parts(df: DataFrame, url_col: str = "url") -> DataFrame:
-    """Adds host and path: null URLs and those without :// have neither (empty)."""
-    url = F.coalesce(F.col(url_col), F.lit(""))
+def _parts(url: Column) -> tuple[Column, Column]:
+    url = F.coalesce(url, F.lit(""))
     at = F.instr(url, "://")
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
     raw = F.regexp_extract(rest, "^[^/?#]*", 0)
     path = F.regexp_extract(F.substring(rest, F.length(raw) + 1, F.length(rest) + 1), "^[^?#]*", 0)
-    return df.withColumn("host", F.translate(raw, UPPER, LOWER)).withColumn("path", path)
+    return F.translate(raw, UPPER, LOWER), path
+
+
+def with_parts(df: DataFrame, url_col: str = "url") -> DataFrame:
+    """Adds host and path: null URLs and those without :// have neither (empty). Columns of these names are replaced."""
+    host, path = _parts(F.col(url_col))
+    return df.withColumns({"host": host, "path": path})
 
 
 def rule_of(rules: tuple[tuple[str, str, str], ...] = RULES) -> tuple[Column, Column]:
@@ -48,93 +55,110 @@ def rule_of(rules: tuple[tuple[str, str, str], ...] = RULES) -> tuple[Column, Co
     return rule, verdict
 
 
-def with_features(df: DataFrame, url_col: str = "url") -> DataFrame:
-    """Adds the lexical features but the suffix's statistics, and the suffix: the host's last label."""
-    url = F.coalesce(F.col(url_col), F.lit(""))
-    n = F.length(url)
+def suffix_of(host: Column) -> Column:
+    return F.regexp_extract(host, r"[^.]*$", 0)
+
+
+def _entropy(text: Column) -> Column:
+    """Shannon entropy of the characters, in bits; 0 for an empty text."""
+    n = F.length(text)
+    shares = F.transform(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")), lambda c: (n - F.length(F.replace(text, c))) / n)
+    return -F.aggregate(shares, F.lit(0.0), lambda a, p: a + p * F.log2(p))
+
+
+def lexical(url: Column) -> dict[str, Column]:
+    """FEATURES and HOST_FEATURES, but for the suffix's rarity, as columns of doubles.
+
+    Rules judge by the ends of hosts and the starts of paths. So the lexical features are those of the rest: the path from its second segment on (or
+    its only one), query and fragment.
+    """
+    host, path = _parts(url)
+    whole = F.coalesce(url, F.lit(""))
+    query, after = F.regexp_extract(whole, r"\?([^#]*)", 1), F.regexp_extract(whole, r"[?#].*$", 0)
+    segments = F.filter(F.split(path, "/"), lambda s: s != "")
+    tail = F.when(F.size(segments) > 1, F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 1, F.lit(0)))).otherwise(segments)
+    rest = F.concat(F.array_join(tail, "/"), after)
+    n = F.length(rest)
     count = lambda c, part: F.length(c) - F.length(F.replace(c, F.lit(part)))
-    shares = F.transform(F.array_distinct(F.filter(F.split(url, ""), lambda c: c != "")), lambda c: (n - F.length(F.replace(url, c))) / n)
-    query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    segments = F.filter(F.split("path", "/"), lambda s: s != "")
     columns = {
-        "url_length": n, "depth": F.size(segments), "digit_ratio": F.regexp_count(url, F.lit("[0-9]")) / F.greatest(n, F.lit(1)),
-        "entropy": -F.aggregate(shares, F.lit(0.0), lambda a, p: a + p * F.log2(p)),
-        "parameters": F.when(query == "", 0).otherwise(count(query, "&") + 1),
-        "host_length": F.length("host"), "host_labels": F.size(F.split("host", r"\.")), "hyphens": count(url, "-"),
-        "longest_segment": F.coalesce(F.array_max(F.transform(segments, F.length)), F.lit(0)), "escapes": count(url, "%"),
+        "rest_length": n, "depth": F.size(segments), "digit_ratio": F.regexp_count(rest, F.lit("[0-9]")) / F.greatest(n, F.lit(1)), "entropy": _entropy(rest),
+        "parameters": F.when(query == "", 0).otherwise(count(query, "&") + 1), "hyphens": count(rest, "-"),
+        "longest_segment": F.coalesce(F.array_max(F.transform(tail, F.length)), F.lit(0)), "escapes": count(rest, "%"), "suffix_length": F.length(suffix_of(host)),
+        "host_length": F.length(host), "host_labels": F.size(F.split(host, r"\.")), "host_entropy": _entropy(host),
     }
-    return df.withColumns({k: c.cast("double") for k, c in columns.items()} | {"suffix": F.regexp_extract("host", r"[^.]*$", 0)})
+    return {k: c.cast("double") for k, c in columns.items()}
 
 
-@dataclass
-class Model:
-    trees: trees.Trees
-    rate: dict[str, float]  # by suffix: the share of its labelled URLs that are blocked, drawn towards that of all
-    seen: dict[str, float]  # by suffix: log of 1 + labelled URLs
-    prior: float
-
-    def score(self, df: DataFrame) -> DataFrame:
-        """Adds the probability of block. Suffixes beyond the statistics count as not seen."""
+def suffix_statistics(df: DataFrame, url_col: str = "url") -> DataFrame:
+    """(_suffix, _rarity): for every suffix of the table, without a cap, how many powers of ten it is rarer than all rows together. One row a suffix, aggregated before the shuffle."""
+    counts = df.groupBy(suffix_of(_parts(F.col(url_col))[0]).alias("_suffix")).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_all"))
+    return counts.join(F.broadcast(total)).select("_suffix", F.floor(F.log10(F.col("_all") / F.col("_n"))).cast("double").alias("_rarity"))
 
-        def lookup(values: dict[str, float], other: float) -> Column:
-            if not values:
-                return F.lit(other)
-            table = F.create_map(*(F.lit(x) for kv in sorted(values.items()) for x in kv))
-            return F.coalesce(F.try_element_at(table, F.col("suffix")), F.lit(other))
 
-        df = df.withColumn("suffix_rate", lookup(self.rate, self.prior)).withColumn("suffix_seen", lookup(self.seen, 0.0))
-        return df.withColumn("probability", 1 / (1 + F.exp(-F.expr(self.trees.sql(FEATURES)))))
+def featured(df: DataFrame, statistics: DataFrame, url_col: str = "url", features: list[str] = FEATURES) -> DataFrame:
+    """Adds a struct _f of the features, beside whatever columns df has. A suffix that the statistics lack is as rare as can be told: 9."""
+    found = df.join(statistics, suffix_of(_parts(F.col(url_col))[0]) == F.col("_suffix"), "left")
+    known = lexical(F.col(url_col)) | {"suffix_rarity": F.coalesce("_rarity", F.lit(9.0))}
+    return found.withColumn("_f", F.struct(*(known[f].alias(f) for f in features))).drop("_suffix", "_rarity")
 
 
-def _suffix_rates(suffix: list[str], y: np.ndarray, prior: float, weight: float = 10.0) -> tuple[dict[str, float], dict[str, float]]:
-    n, bad = Counter(suffix), Counter()
-    for s, v in zip(suffix, y.tolist(), strict=True):
-        bad[s] += v
-    top = sorted(n, key=lambda s: (-n[s], s))[:MAX_SUFFIXES]
-    return {s: (bad[s] + weight * prior) / (n[s] + weight) for s in top}, {s: float(np.log1p(n[s])) for s in top}
+@dataclass
+class Model:
+    trees: trees.Trees
+    features: list[str]
 
+    def score(self, df: DataFrame, statistics: DataFrame, url_col: str = "url") -> DataFrame:
+        """Adds the probability of block."""
+        out = featured(df, statistics, url_col, self.features)
+        return out.withColumn("probability", 1 / (1 + F.exp(-F.expr(self.trees.sql([f"_f.{f}" for f in self.features]))))).drop("_f")
 
-def fit(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked", max_rows: int = MAX_ROWS) -> Model:
-    """Trains on at most max_rows distinct URLs, those of the least hashes; a URL with both labels counts as blocked.
 
-    A suffix's rate is computed, for a training row, without the rows of its own fold, so the trees don't learn to trust
-    a label that they will not have. No rows, or one label only: the prior.
-    """
+def fit(labelled: DataFrame, statistics: DataFrame, url_col: str = "url", label_col: str = "blocked", max_rows: int = MAX_ROWS, features: list[str] = FEATURES) -> Model:
+    """Trains on at most max_rows distinct URLs, those of the least hashes; a URL with both labels counts as blocked. No rows, or one label only: the prior."""
     rows = labelled.where(F.col(url_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(url_col).alias("url")).agg(F.max(label_col).alias("blocked"))
     rows = rows.orderBy(F.xxhash64("url"), "url").limit(max_rows)
-    rows = with_features(with_parts(rows)).select("blocked", "suffix", *FEATURES[:-2]).collect()
+    rows = featured(rows, statistics, "url", features).select("blocked", "_f.*").collect()
     if not rows:
-        return Model(trees.fit(np.zeros((0, len(FEATURES))), np.zeros(0)), {}, {}, 0.5)
-    y = np.array([r.blocked for r in rows], float)
-    suffix = [r.suffix for r in rows]
-    x = np.array([[r[f] for f in FEATURES[:-2]] + [0.0, 0.0] for r in rows])
-    prior = float(y.mean())
-    fold = np.arange(len(y)) % 5
-    for k in range(5):
-        rate, seen = _suffix_rates([s for s, f in zip(suffix, fold, strict=True) if f != k], y[fold != k], prior)
-        for i in np.flatnonzero(fold == k):
-            x[i, -2:] = rate.get(suffix[i], prior), seen.get(suffix[i], 0.0) and np.log1p(np.expm1(seen[suffix[i]]) * 1.25)
-    return Model(trees.fit(x, y, n_trees=30, depth=3, rate=0.3), *_suffix_rates(suffix, y, prior), prior)
-
-
-def filter_urls(df: DataFrame, model: Model, url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
+        return Model(trees.fit(np.zeros((0, len(features))), np.zeros(0)), features)
+    return Model(trees.fit(np.array([[r[f] for f in features] for r in rows]), np.array([r.blocked for r in rows], float), n_trees=30, depth=3, rate=0.3), features)
+
+
+def filter_urls(df: DataFrame, model: Model, statistics: DataFrame, url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
     """df with host, path, rule, probability and verdict (allow or block) for every row.
 
     Null, empty and malformed URLs have an empty host and path, no rule, and the trees' verdict on their features. Repeated
-    rows are judged alike; an empty table gives no rows. Columns of df that bear a new column's name are replaced.
+    rows are judged alike; an empty table gives no rows. Columns of df that bear one of the five names are replaced, all others stay.
     """
     rule, verdict = rule_of(rules)
-    out = model.score(with_features(with_parts(df, url_col), url_col)).withColumn("rule", rule)
+    out = with_parts(model.score(df, statistics, url_col), url_col).withColumn("rule", rule)
     judged = F.when(F.col("probability") >= BLOCK_AT, "block").otherwise("allow")
-    return out.withColumn("verdict", F.coalesce(verdict, judged)).drop("suffix", *FEATURES)
+    return out.withColumn("verdict", F.coalesce(verdict, judged))
 
 
 def rule_labels(df: DataFrame, url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
-    """(url, blocked) of the URLs that a rule judges: the labelled URLs."""
-    _, verdict = rule_of(rules)
-    return with_parts(df.select(F.col(url_col).alias("url"))).select("url", (verdict == "block").cast("int").alias("blocked")).where("blocked is not null")
+    """(url, rule, blocked) of the URLs that a rule judges: the labelled URLs."""
+    rule, verdict = rule_of(rules)
+    parts = with_parts(df.select(F.col(url_col).alias("url")))
+    return parts.select("url", rule.alias("rule"), (verdict == "block").cast("int").alias("blocked")).where("blocked is not null")
+
+
+def leave_one_rule_out(df: DataFrame, url_col: str = "url", features: list[str] = FEATURES, rules: tuple[tuple[str, str, str], ...] = RULES) -> list[tuple[str, int, float, float]]:
+    """(rule, its URLs, share of them judged as it says by trees that never saw it, share of the URLs without a rule that are blocked): what features learn beyond the rules themselves."""
+    labels, statistics = rule_labels(df, url_col, rules), suffix_statistics(df, url_col)
+    free = with_parts(df.select(F.col(url_col).alias("url"))).where(rule_of(rules)[0].isNull()).select("url")
+    out = []
+    for verdict, host, path in rules:
+        model = fit(labels.where(F.col("rule") != host + path), statistics, features=features)
+        right = ((F.col("probability") >= BLOCK_AT) == F.lit(verdict == "block")).cast("int")
+        r = model.score(labels.where(F.col("rule") == host + path), statistics).agg(F.count("*").alias("n"), F.avg(right).alias("share")).first()
+        blocked = model.score(free, statistics).agg(F.avg((F.col("probability") >= BLOCK_AT).cast("int"))).first()[0]
+        out.append((host + path, r.n, r.share, blocked))
+    return out
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged: by its rule, else by trees trained on the URLs that have one."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return filter_urls(pages, fit(rule_labels(pages))).select("page_id", "host", "path", "rule", "verdict")
+    statistics = materialise(spark, suffix_statistics(pages), "suffixes")
+    return filter_urls(pages, fit(rule_labels(pages), statistics), statistics).select("page_id", "host", "path", "rule", "verdict")

@@ -25,6 +25,9 @@ CASES = [
     ("<div class='content-sidebar-wrap'><div class='sidebar'>s</div><main class='has-sidebar'><p>t</p></main>x</div>", "t"),
     ("<article class='post comments-open'><p>t</p></article><article class='comment'>c</article>", "t"),
     ("<div class=sidebar><article>s</article></div><form><article>f</article></form>", "s"),
+    ("<article><p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><button>More</button><object><p>old</p></object></article>", "a x=1\n\nMore\n\nold"),
+    ("<article class='post related'><p>t</p></article>", "t"),
+    ("<article class='post'><p>t</p></article><article class='related'><p>r</p></article>", "t"),
     ("<p>l&eacute;&#233;&#x41;&bogus;</p>", "léé" + "A&bogus;"),
 ]
 
@@ -100,3 +103,67 @@ def test_a_menu_on_pages_that_differ_in_bare_text_is_a_template(spark):
 )
 def test_a_form_that_wraps_the_article(page, text):
     assert H.parse(page) == text
+
+
+def bare(i, words):
+    """A page without article or main: two site boxes and its own words."""
+    return f"<html><body><div><p>Shop {i % 2}</p><ul><li>Home</li><li>About us</li></ul></div><div><p>{words}</p></div><div><p>All rights</p></div></body></html>"
+
+
+def test_two_probes_of_copied_pages(spark):
+    copy = "<article><h1>Title</h1><div class='body'><p>Body text</p></div></article>"
+    rows = [(i, f"http://a.com/{i}", copy) for i in range(5)] + [(10 + i, f"http://a.com/x{i}", f"<article><p>Own {i}</p></article>") for i in range(10)]
+    rows += [(30 + i, f"http://b.com/{i}", "<body><div><p>Plain body text.</p></div></body>") for i in range(6)]
+    out = {r.id: r.text for r in H.extract(frame(spark, rows)).collect()}
+    assert out[2] == "Title\n\nBody text" and out[14] == "Own 4" and out[33] == "Plain body text."
+
+
+def test_main_text_that_many_pages_share_stays(spark):
+    rows = [(i, f"http://a.com/{i}", f"<article><div><p>{'The whole story is long. ' * 20}</p></div><p>Note {i}</p><div><p>Read more</p></div></article>") for i in range(20)]
+    out = {r.id: r.text for r in H.extract(frame(spark, rows)).collect()}
+    assert out[3] == " ".join(["The whole story is long."] * 20) + "\n\nNote 3"
+    same = [(i, f"http://b.com/{i}", f"<body><!-- {i} --><div><p>Plain</p></div><p>text</p>{'<hr>' * i}</body>") for i in range(8)]  # all blocks recur, though the pages differ
+    assert {r.text for r in H.extract(frame(spark, same)).collect()} == {"Plain\n\ntext"}
+
+
+def test_templates_decide_pages_without_landmarks(spark):
+    """Subtrees, counts and texts by brute force: another parser, whole subtrees as text, distinct pages per host."""
+    import random
+    from collections import Counter, defaultdict
+    from xml.etree import ElementTree as E
+
+    rng = random.Random(6)
+    pages = [(i, f"http://{'ab'[i % 3 == 0]}.com/{i}", bare(i, " ".join(rng.choice("lorem ipsum dolor sit amet".split()) for _ in range(12)))) for i in range(30)]
+    pages += [(100 + i, f"http://a.com/copy{i}", pages[1][2]) for i in range(9)]
+    pages += [(200 + i, "http://small.com/", bare(i, f"few pages {i}")) for i in range(4)]
+    seen, n = defaultdict(Counter), defaultdict(set)
+    blocks = lambda p: [e for e in E.fromstring(p).iter() if e.tag in H.BLOCKS and e.tag not in ("html", "body")]
+    for _, url, page in pages:
+        host = url.split("/")[2]
+        if page not in n[host]:
+            n[host].add(page)
+            seen[host].update({E.tostring(e) for e in blocks(page)})
+    want = {h: {s for s, c in seen[h].items() if c >= H.MIN_PAGES and c >= H.MIN_SHARE * len(n[h])} for h in seen}
+    rows = frame(spark, pages)
+    got = {r.host: len(r.hashes) for r in H.templates(rows.withColumn("host", H.host_of("url"))).collect()}
+    assert got == {h: len(w) for h, w in want.items() if w}
+
+    def brute(url, page):
+        host, out = url.split("/")[2], []
+
+        def walk(e):
+            if E.tostring(e) in want[host]:
+                return
+            if e.tag in ("p", "li") and e.text:
+                out.append(e.text)
+            for child in e:
+                walk(child)
+
+        walk(E.fromstring(page))
+        return "\n\n".join(out)
+
+    out = H.extract(rows).collect()
+    assert {r.id: r.text for r in out} == {i: brute(u, p) for i, u, p in pages}
+    changed = sum(r.template_chars > 0 for r in out) / len(out)
+    print(f"pages that templates change: {changed:.2f}")
+    assert changed > 0.9

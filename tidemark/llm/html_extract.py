@@ -20,13 +20,15 @@ from tidemark.llm.common import materialise, small_batches, table, texts
 
 #: A subtree is template if it stands on so many pages of its host, and on this share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.25
+#: A subtree of more than this share of an article's text is that text, however often it recurs.
+MAIN_SHARE = 0.6
 #: Elements that hold blocks of text apart. The fixed values are HTML's own names.
 BLOCKS = frozenset(
     "address article aside blockquote body center details dd dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody tfoot thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noframes noembed".split())
-SKIPPED = frozenset("head nav footer aside form script style textarea title noscript iframe xmp noframes noembed template svg math button select option dialog menu search object canvas audio video".split())
+SKIPPED = frozenset("head nav footer aside form script style textarea title noscript iframe xmp noframes noembed template svg select option dialog menu search canvas audio video".split())
 #: Words of class and id, and roles, that mark menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup popover modal overlay newsletter subscribe subscription signup login sidebar aside nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer masthead comment comments commentlist disqus reply replies respond share sharing social related recommended widget widgets toolbar skip hidden".split()
@@ -87,12 +89,35 @@ def _tag_end(page: str, at: int) -> int:
     return end
 
 
-def parse(page: str, template: frozenset[int] | set[int] = frozenset(), hashes: set[int] | None = None, bodies: list[bytes] | None = None, forms: bool = False) -> str:
-    """The text of a page's article without the subtrees whose hashes are in template; hashes, if given, gets those of all its block elements, and bodies that of the body, or of the page if it has none.
+def parse(page: str, template: frozenset[int] | set[int] = frozenset(), hashes: set[int] | None = None, bodies: list[bytes] | None = None, again: bool = False) -> str:
+    """The text of a page's article, as parsed() finds it."""
+    return parsed(page, template, hashes, bodies, again)[0]
 
-    forms: article and main are read inside a form too. Where a page has no text otherwise, it is parsed again so.
+
+def _without(blocks: list[tuple[str, str]], cuts: list[tuple[int, int]], keep: str) -> list[bool]:
+    """Which blocks stay once the template subtrees (ranges of blocks) are cut.
+
+    In an article or main a subtree of more than MAIN_SHARE of its text is no template but the text; on other pages
+    the cuts are left undone where they would leave nothing.
+    """
+    wanted = [s == keep or not keep or keep == "m" and s == "a" for s, _ in blocks]
+    sizes = [len(t) if w else 0 for (_, t), w in zip(blocks, wanted, strict=True)]
+    total, stays = sum(sizes), list(wanted)
+    for a, b in cuts:
+        if not keep or sum(sizes[a:b]) <= MAIN_SHARE * total:
+            stays[a:b] = [False] * (b - a)
+    return stays if keep or any(stays) else wanted
+
+
+def parsed(page: str, template: frozenset[int] | set[int] = frozenset(), hashes: set[int] | None = None, bodies: list[bytes] | None = None, again: bool = False) -> tuple[str, int]:
+    """(text of a page's article without the subtrees whose hashes are in template, characters of the blocks that these took away); hashes, if given, gets those of all its block elements, and bodies that of the body, or of the page if it has none.
+
+    again: article and main are read inside a form too, and an article whose class only bears a suspicious word is read. Where a page
+    has no text otherwise, it is parsed again so.
     """
     blocks: list[tuple[str, str]] = []  # (scope, text): a for article, m for main, empty for the rest
+    cuts: list[tuple[int, int]] = []  # the blocks of template subtrees
+    passed_over = False  # an article that only its class keeps out
     scopes: Counter[str] = Counter()
     inline: list[str] = []
     stack = [_Element("", 0, 0, False)]
@@ -133,7 +158,7 @@ def parse(page: str, template: frozenset[int] | set[int] = frozenset(), hashes:
                 if hashes is not None:
                     hashes.add(number)
                 if number in template and (not e.article or e.name in CONTAINERS):
-                    del blocks[e.first :]
+                    cuts.append((e.first, len(blocks)))
         if e.held is not None:
             skipping, surely = e.held
         elif e.skipped:
@@ -201,10 +226,12 @@ def parse(page: str, template: frozenset[int] | set[int] = frozenset(), hashes:
         in_article = opened["article"] + opened["main"] > 0
         if name in ("html", "body", "main"):
             skipped = 0
-        elif name in SKIPPED or name == "header" and not in_article:
-            skipped = 1 if forms and name == "form" else 2
+        elif name in SKIPPED or name == "header" and not in_article or name == "button" and opened["form"]:
+            skipped = 1 if again and name == "form" else 2
         else:
             skipped = _marked(tag, in_article, name == "article")
+            if name == "article" and skipped == 1:
+                passed_over, skipped = True, 0 if again else 1
         landmark = name in ("article", "main") and not skipped and skipping and not surely
         stack.append(_Element(name, skipped, len(blocks), in_article, (skipping, surely) if landmark else None))
         opened[name] += 1
@@ -225,10 +252,11 @@ def parse(page: str, template: frozenset[int] | set[int] = frozenset(), hashes:
     if bodies is not None and not bodies:
         bodies.append(xxhash.xxh64_digest(b"\1".join(stack[0].parts)))
     keep = "a" if scopes["a"] else "m" if scopes["m"] else ""
-    text = "\n\n".join(t for s, t in blocks if s == keep or not keep or keep == "m" and s == "a")
-    if not text and not forms and hashes is None and "form" in opened:  # a form may wrap the whole body
-        return parse(page, template, forms=True)
-    return text
+    stays, all_of = (_without(blocks, some, keep) for some in (cuts, []))
+    text = "\n\n".join(t for (_, t), s in zip(blocks, stays, strict=True) if s)
+    if not text and not again and hashes is None and ("form" in opened or passed_over):  # a form may wrap the whole body, a class may be unlucky
+        return parsed(page, template, again=True)
+    return text, sum(len(t) for (_, t), s, w in zip(blocks, stays, all_of, strict=True) if w and not s)
 
 
 def host_of(url_col: str) -> Column:
@@ -268,7 +296,9 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(id, url, text) for every page. Where a page has article elements its text is theirs, else that of main, else of the whole page.
+    """(id, url, text, template_chars) for every page; template_chars counts the characters of the blocks that templates took away.
+
+    Where a page has article elements its text is theirs, else that of main, else of the whole page but for what tags, roles, class names and templates keep out.
 
     Null and empty html give an empty text. Null ids and repeated rows keep their rows; pages with a null URL share
     one host; an empty table gives no rows; other columns are ignored. Text is cut nowhere.
@@ -280,12 +310,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             known = b.column(3).to_pylist()
-            out = [parse(raw.decode(), frozenset(t or ())) for raw, t in zip(texts(b, "html"), known, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["id", "url", "text"])
+            out = [parsed(raw.decode(), frozenset(t or ())) for raw, t in zip(texts(b, "html"), known, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t for t, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], names=["id", "url", "text", "template_chars"])
 
-    return rows.join(found, "host", "left").select("id", "url", "html", "hashes").mapInArrow(run, "id long, url string, text string")
+    return rows.join(found, "host", "left").select("id", "url", "html", "hashes").mapInArrow(run, "id long, url string, text string, template_chars long")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, and how much of the page its host's templates took away."""
     out = extract(table(spark, sf_dir, "pages"))
-    return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"), "template_chars")

@@ -134,3 +134,30 @@ def test_stages_keep_whole_rows(spark):
     good = {i for i, q, _ in y[:300] if q}
     assert len(good - {r.doc_id for r in kept.collect()}) <= 5
     assert model.roots.size
+
+
+def test_all_pairs_are_ranked_as_brute_force_does():
+    rng = np.random.default_rng(2)
+    good, bad = rng.normal(0.3, 1, (700, 4)), rng.normal(-0.3, 1, (90, 4))
+    w = rng.normal(0, 1, 4)
+    diff = (good[:, None, :] - bad[None, :, :]).reshape(-1, 4)
+    p = 1 / (1 + np.exp(diff @ w))
+    grad, hess = C.pair_sums(good, bad, w)
+    assert np.allclose(grad, diff.T @ p / len(diff)) and np.allclose(hess, (diff * (p * (1 - p))[:, None]).T @ diff / len(diff))
+
+
+def test_the_ranking_is_where_the_loss_of_all_pairs_is_least():
+    rng = np.random.default_rng(3)
+    y = np.r_[np.ones(150), np.zeros(50)]
+    x = rng.random((200, 15)) + 0.2 * y[:, None] * (np.arange(15) < 3)
+    m = C.fit_ranking(x, y)
+    z = (C.expand(x) - m.mean) / m.scale
+    diff = (z[y == 1][:, None, :] - z[y == 0][None, :, :]).reshape(-1, z.shape[1])
+    assert np.allclose(diff.T @ (1 / (1 + np.exp(diff @ m.weights))) / len(diff), C.L2 * m.weights, atol=1e-4)
+
+
+def test_stage_rows_with_odd_columns(spark):
+    docs = spark.createDataFrame([(None, None, 1, "a"), (None, None, 1, "a"), (1, "word " * 90, None, None), (2, "", 2, "b")], "doc_id long, text string, features int, id string")
+    kept = C.keep_rows(docs, lambda base, x: np.array([b[0] != 90 for b in base]))
+    assert kept.schema == docs.schema and sorted(map(str, kept.collect())) == sorted(map(str, docs.where("doc_id is null or doc_id <> 1").collect()))
+    assert C.keep_rows(docs.limit(0), lambda base, x: np.ones(len(base))).collect() == []

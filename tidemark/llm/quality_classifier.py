@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import table
 from tidemark.llm.textstats import FEATURES, keep_rows, labelled_sample, with_statistics
 
-#: Labelled documents and preference pairs that the ranking is learned from, at most.
-MAX_ROWS, MAX_PAIRS = 20_000, 40_000
+#: Labelled documents that the ranking is learned from, at most. Every pair of a good and a bad one of them counts.
+MAX_ROWS = 20_000
+#: Good documents whose pairs are in memory at once.
+BLOCK = 512
 #: Documents of at least this score are predicted good.
 THRESHOLD = 0.3
 L2 = 1e-3
@@ -42,8 +44,31 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit_ranking(x: np.ndarray, y: np.ndarray, max_pairs: int = MAX_PAIRS, seed: int = 17) -> Ranking:
-    """Newton's method on pairs of one good and one bad document, drawn evenly by a seeded generator.
+def pair_sums(good: np.ndarray, bad: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(gradient, negative Hessian) of the mean log-likelihood of all pairs, block by block of good rows.
+
+    A pair's probability to be ordered wrongly is p = 1 / (1 + exp(s_good - s_bad)). The sums over pairs of p (g - b) and of p (1 - p) (g - b)(g - b)'
+    fall into products of the rows with p's sums by row and by column, so no difference of features is ever made.
+    """
+    d, n = good.shape[1], len(good) * len(bad)
+    grad, hess = np.zeros(d), np.zeros((d, d))
+    sb, by_bad, by_bad2 = np.exp(np.clip(bad @ w, -300, 300)), np.zeros(len(bad)), np.zeros(len(bad))
+    for at in range(0, len(good), BLOCK):
+        g = good[at : at + BLOCK]
+        p = sb / (sb + np.exp(np.clip(g @ w, -300, 300))[:, None])
+        q = p * (1 - p)
+        by_bad += p.sum(0)
+        by_bad2 += q.sum(0)
+        grad += p.sum(1) @ g
+        cross = g.T @ (q @ bad)
+        hess += (g * q.sum(1)[:, None]).T @ g - cross - cross.T
+    grad -= by_bad @ bad
+    hess += (bad * by_bad2[:, None]).T @ bad
+    return grad / n, hess / n
+
+
+def fit_ranking(x: np.ndarray, y: np.ndarray) -> Ranking:
+    """Newton's method on the logistic loss of all pairs of one good and one bad document, up to BLOCK good ones by all bad ones at once.
 
     The cut lies half-way between the scores on either side of the quantile that the share of bad documents gives. Without
     documents of both labels nothing can be ranked: every document scores 0.5.
@@ -56,15 +81,12 @@ def fit_ranking(x: np.ndarray, y: np.ndarray, max_pairs: int = MAX_PAIRS, seed:
     mean, scale = e.mean(0), e.std(0)
     scale[scale < 1e-9] = 1.0
     z = (e - mean) / scale
-    rng = np.random.default_rng(seed)
-    n = min(max_pairs, len(good) * len(bad))
-    diff = z[np.resize(rng.permutation(good), n)] - z[rng.choice(bad, n)] if n > len(bad) else z[rng.choice(good, n)] - z[bad[:n]]
     w = np.zeros(z.shape[1])
     for _ in range(12):
-        p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))
-        step = np.linalg.solve((diff * (p * (1 - p))[:, None]).T @ diff / n + L2 * np.eye(len(w)), diff.T @ p / n - L2 * w)
+        grad, hess = pair_sums(z[good], z[bad], w)
+        step = np.linalg.solve(hess + L2 * np.eye(len(w)), grad - L2 * w)
         w += step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     s = z @ w
     ordered = np.sort(s)
@@ -99,12 +121,17 @@ def quality_scores(docs: DataFrame, model: Ranking, id_col: str = "doc_id", text
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score and verdict, by a ranking that never saw the held-out labels."""
     docs = table(spark, sf_dir, "documents")
     out = quality_scores(docs, fit(docs, table(spark, sf_dir, "labels")))
     return out.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def stage_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that score below the threshold. The ranking is learned from the labelled documents of the whole input."""
+    """Drops the documents that score below the threshold; rows that stay are whole, whatever their columns.
+
+    The ranking is learned from the labelled documents of the whole input. A null or empty text is scored as one without words,
+    a null id changes nothing, repeated rows share one fate, an empty table stays empty.
+    """
     model = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return keep_rows(docs, lambda _, x: model.score(x) >= THRESHOLD)

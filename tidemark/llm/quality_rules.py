@@ -58,13 +58,17 @@ def quality_rules(docs: DataFrame, model: trees.Trees, id_col: str = "doc_id", t
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base statistics, what the base rules say, and whether it is kept."""
     docs = table(spark, sf_dir, "documents")
     out = quality_rules(docs, fit(docs, table(spark, sf_dir, "labels")))
     return out.select(F.col("id").alias("doc_id"), *BASE, "base_failed", "kept")
 
 
 def stage_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the rules keep. The trees are trained on the labelled documents of the whole input."""
+    """Keeps the documents that the rules keep, as whole rows with all their columns. The trees are trained on the labelled documents of the whole input.
+
+    Null and empty texts go, since the base rules fail them; null ids change nothing, repeated rows share one fate, an empty table stays empty.
+    """
     model = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
     def keep(base: list[list[int]], x: np.ndarray) -> np.ndarray:

@@ -73,7 +73,11 @@ def with_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_rows(docs: DataFrame, keep: Callable[[list[list[int]], np.ndarray], np.ndarray], text_col: str = "text") -> DataFrame:
-    """The rows, whole and in their columns, for which keep says so, given the BASE statistics and the features of a batch's texts. One pass: texts are not shuffled."""
+    """The rows, whole and in their columns, for which keep says so, given the BASE statistics and the features of a batch's texts. One pass: texts are not shuffled.
+
+    Any columns pass through, whatever their names and nulls; a null text has the statistics of an empty one. Repeated rows
+    are judged alike, an empty table stays empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

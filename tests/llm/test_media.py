@@ -128,7 +128,7 @@ def test_documents(spark, tmp_path):
         stored = jpeg.store(payload)
         want.append({
             "doc_id": i, "n_bytes": len(raw), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]),
-            "media_bytes": len(stored), "media_sha256": hashlib.sha256(stored).hexdigest(), "feature": media.feature_of(jpeg.decode(stored)),
+            "media_bytes": len(stored), "media_sha256": hashlib.sha256(stored).hexdigest(), "feature": media.feature_of(jpeg.decode(stored))[0], "rgb_sha256": hashlib.sha256(jpeg.decode(stored).rgb().tobytes()).hexdigest(),
         })
     assert out == sorted(want, key=str)
 
@@ -137,5 +137,10 @@ def test_tensor_column_and_nulls(spark):
     rows = spark.createDataFrame([(1, bytearray(jpeg.store(b"a" * 64))), (2, None)], "key int, media binary")
     out = {r.key: r for r in media.from_media(rows).collect()}
     assert len(out[1].rgb) == out[1].width * out[1].height * 3 and bytes(out[1].payload) == b"a" * 64
+    assert out[1].rgb_sha256 == hashlib.sha256(out[1].rgb).hexdigest()
     assert out[2].rgb is None and out[2].feature is None
+    clashing = rows.selectExpr("'w' as width", "media", "1 as height", "key", "2.0 as rgb", "3 as feature", "'p' as payload")
+    again = {r.key: r for r in media.from_media(clashing).collect()}
+    assert again[1].width == out[1].width and again[1].rgb == out[1].rgb and again[2].rgb is None
+    assert media.from_media(rows.limit(0)).collect() == []
     assert media.to_media(frame(spark, [])).collect() == []

@@ -44,7 +44,7 @@ def reshared(sizes, share=1.5, most=2.0):
 @pytest.mark.parametrize("seed", [0, 1, 2])
 def test_targets_and_taken(spark, seed):
     rows = corpus(seed=seed) + [(None, "q w e", "a"), (None, "q w e", "a"), (900, None, "a"), (901, "", "empty"), (902, "solo", None)]
-    out = M.mix(frame(spark, rows), slices=16).collect()
+    out = M.mix(frame(spark, rows), slice_bits=4, end_rows=5).collect()
     assert len(out) == len(rows)
     sizes = collections.Counter()
     for _, t, s in rows:
@@ -61,10 +61,11 @@ def test_targets_and_taken(spark, seed):
         assert abs(taken[s] - want[s]) <= largest[s] / 2 + 1e-6
 
 
-def test_equals_sql_and_does_not_depend_on_slices(spark):
+@pytest.mark.parametrize("slice_bits,end_rows", [(3, 2), (10, 1), (25, 10**9), (7, 1)])
+def test_equals_sql_and_does_not_depend_on_slices(spark, slice_bits, end_rows):
     rows = corpus(300, 5)
     a = sorted(M.mix(frame(spark, rows)).select("id", "size", "source_size", "target", "taken").collect())
-    b = sorted(M.mix(frame(spark, rows).repartition(7), slices=3).select("id", "size", "source_size", "target", "taken").collect())
+    b = sorted(M.mix(frame(spark, rows).repartition(7), slice_bits=slice_bits, end_rows=end_rows).select("id", "size", "source_size", "target", "taken").collect())
     assert a == b
     con = duckdb.connect()
     con.sql("create table documents (doc_id bigint, text varchar, source varchar)")
@@ -112,3 +113,32 @@ def test_stage_keeps_rows_without_an_id(spark):
         want[r.id is None, r.source] += r.taken
     assert got == +want and got[True, "b"] > 0
     assert packing.stage_packing(spark, out, "").where("doc_id is null").count() > 0
+
+
+def test_only_few_documents_are_sorted_however_keys_crowd(spark, monkeypatch):
+    """Documents of the least quality have keys ten times as far out: the slice where the budget ends is cut again."""
+    rows = [(i, "#### " * 10, "junk") for i in range(3000)] + [(10**6, "w " * 4000, "aa")]
+    seen = []
+    real = M.materialise
+    monkeypatch.setattr(M, "materialise", lambda spark, df, name, *a: (seen.append((name, real(spark, df, name, *a))), seen[-1][1])[1])
+    out = M.mix(frame(spark, rows), slice_bits=2, end_rows=40)
+    got = out.agg(F.count("*").alias("n"), F.sum("taken").alias("taken")).first()
+    assert got.n == len(rows)
+    last = [df for name, df in seen if name == "ends"][-1].collect()
+    assert all(r.end_rows <= 40 for r in last) and {r.left for r in last} != {48}
+    want = M.mix(frame(spark, rows), end_rows=10**9).agg(F.sum("taken").alias("taken")).first()
+    assert got.taken == want.taken
+
+
+def test_stage_decides_row_by_row(spark):
+    """Null ids, shared ids and columns that bear the names used inside: each row as often as mix() says of a row like it."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _copies string, _row int, key double, extra string"
+    rows = [(None, "a b c d", "en", "s", 1), (1, "a b c d e", "en", "s", 2), (1, "v w x y z q", "en", "s", 3), (2, "a b c d e f", None, None, None), (None, None, None, "s", 5), (3, "", "en", "t", 6)]
+    docs = spark.createDataFrame([(*r, "c", 1, 0.5, None) for r in rows], schema)
+    out = M.stage_mixing(spark, docs, "")
+    assert out.columns == docs.columns
+    got = collections.Counter((r.doc_id, r.text, r.source) for r in out.collect())
+    want = collections.Counter()
+    for r in M.mix(docs, carry=True).collect():
+        want[r._row.doc_id, r._row.text, r._row.source] += r.epochs + r.extra if r["size"] else 0
+    assert got == +want and sum(got.values()) > 3

@@ -10,9 +10,9 @@ from tidemark.llm.common import materialise, table
 #: Weights that sources get in order, the share of all words that the mix has, and how often a source may repeat.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 SEED = "mix-1"
-#: Slices of the key's range that a source's prefix sums are first taken over. Only documents of the slice in which the
-#: budget ends are sorted, so no task gets a whole source.
-SLICES = 1 << 10
+#: Keys become codes of so many bits. Prefix sums go over their first digits (of SLICE_BITS bits each), digit after digit of the slice in which
+#: a budget ends, until it holds at most END_ROWS rows of a source or no digit is left: only its documents are sorted.
+CODE_BITS, SLICE_BITS, END_ROWS = 50, 10, 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>!"
 
@@ -58,35 +58,56 @@ def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights:
     return df.select("source", "source_size", F.when(free, F.col("first.multiple") * F.col("weight")).otherwise(F.col("limit")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED, slices: int = SLICES, carry: bool = False) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED, slice_bits: int = SLICE_BITS, end_rows: int = END_ROWS, carry: bool = False) -> DataFrame:
     """(id, source, size, source_size, target, epochs, taken) for every row: taken is size times the copies that the mix takes.
 
     A source's target in words is met by whole documents: as many complete epochs as fit, then a part of one more epoch, a
     sample without replacement whose keys are exponential, -ln(u) / quality weight, least first. A document of that epoch
     is in while the middle of its words lies within the budget, so the source ends nearest to its target.
 
-    The keys' ranges are cut into slices; words are summed per source and slice before the shuffle, the slice where the budget ends
-    follows from prefix sums, and only its documents are sorted. Null source is a source of its own, in last place; null text
-    has size 0 and is never taken; null ids share one random number, and ties of keys go by id, size and source row hash,
-    copies of one row being taken in turn. An empty table gives no rows; other columns of docs are ignored, or
-    with carry follow in a struct _row, so that no id is needed to find them again.
+    The keys' range is cut into slices; words are summed per source and slice before the shuffle, and the slice where the budget ends
+    follows from prefix sums. However the keys crowd, that slice is cut again until it is small, and only its documents are sorted.
+    Null source is a source of its own, in last place; null text has size 0 and is never taken; null ids share one random
+    number; ties of keys go by id and size, and rows that agree in all of these are interchangeable: as many are taken as fit,
+    in any order. An empty table gives no rows; other columns of docs are ignored, or with carry follow in a struct _row, so that no id is needed to find them again.
     """
     spark, whole = docs.sparkSession, ["_row"] if carry else []
     key = -F.log(uniform_of("id", seed)) / F.col("quality")
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size_of(text_col).alias("size"), quality_of(text_col).alias("quality"), *([F.struct(*docs.columns).alias("_row")] if carry else []))
-    rows = rows.withColumn("key", key).withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * slices).cast("int"))
-    rows = materialise(spark, rows.select("id", "source", "size", "key", "slice", *whole), "sizes")
-    by_slice = materialise(spark, rows.groupBy("source", "slice").agg(F.sum("size").alias("words")), "slices")
-    goal = targets(by_slice.groupBy("source").agg(F.sum("words").alias("source_size")), share, most, weights)
-    goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    goal = goal.withColumn("part", F.col("target") - F.col("epochs") * F.col("source_size"))
+    code = F.floor(F.col("key") / (1 + F.col("key")) * (1 << CODE_BITS)).cast("long")
+    rows = materialise(spark, rows.withColumn("key", key).withColumn("code", code).select("id", "source", "size", "key", "code", *whole), "sizes")
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     upto = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = by_slice.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
-    renamed = goal.select(F.col("source").alias("s"), "part")
-    ends = sums.join(renamed, F.col("source").eqNullSafe(F.col("s"))).where("before < part").groupBy("source").agg(F.max(F.struct("slice", "before")).alias("end"))
-    ends = ends.select(F.col("source").alias("e"), F.col("end.slice").alias("end_slice"), F.col("end.before").alias("end_before"))
-    goal = materialise(spark, goal.join(ends, F.col("source").eqNullSafe(F.col("e")), "left").drop("e").withColumnRenamed("source", "goal_source"), "goals")
-    joined = rows.join(goal, F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
+
+    def summed(some: DataFrame, left: int) -> DataFrame:
+        """Words and rows by source and slice, a slice being what is above the lowest `left` bits of the code."""
+        sums = some.groupBy("source", F.shiftright("code", left).alias("slice")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+        return materialise(spark, sums, "slices")
+
+    def ends(sums: DataFrame, goal: DataFrame) -> DataFrame:
+        """(e, end_slice, end_before, end_rows): of each source the slice in which its part ends, the words before it and its rows."""
+        within = sums.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0))).join(goal.select(F.col("source").alias("g"), "part", "start"), same("source", "g"))
+        within = within.withColumn("before", F.col("before") + F.col("start")).where("before < part")
+        return within.groupBy("source").agg(F.max(F.struct("slice", "before", "n")).alias("end")).select(F.col("source").alias("e"), F.col("end.slice").alias("end_slice"), F.col("end.before").alias("end_before"), F.col("end.n").alias("end_rows"))
+
+    left = CODE_BITS - slice_bits
+    sums = summed(rows, left)
+    goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), share, most, weights)
+    goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    goal = materialise(spark, goal.withColumn("part", F.col("target") - F.col("epochs") * F.col("source_size")), "goals")
+    end = materialise(spark, ends(sums, goal.withColumn("start", F.lit(0))).withColumn("left", F.lit(left)), "ends")
+    while left > 0 and not end.where((F.col("end_rows") > end_rows) & (F.col("left") == left)).isEmpty():  # some source's slice is still large
+        deep = end.where((F.col("end_rows") > end_rows) & (F.col("left") == left))
+        inside = rows.select("source", "size", "code").join(deep, same("source", "e")).where(F.shiftright("code", left) == F.col("end_slice"))
+        more = max(0, left - slice_bits)
+        part = goal.join(deep, same("source", "e")).select("source", "part", F.col("end_before").alias("start"))
+        found = ends(summed(inside.select("source", "size", "code"), more), part).withColumn("left", F.lit(more))
+        end = materialise(spark, end.where((F.col("end_rows") <= end_rows) | (F.col("left") != left)).unionByName(found), "ends")
+        left = more
+    goal = goal.join(end, same("source", "e"), "left").drop("e", "end_rows").withColumnRenamed("source", "goal_source")
+    joined = rows.join(materialise(spark, goal, "goals"), same("source", "goal_source")).drop("goal_source")
+    slices = [F.when(F.col("left") == n, F.shiftright("code", n)) for n in range(CODE_BITS - slice_bits, -slice_bits, -slice_bits) if n > 0]  # shifts take a constant
+    joined = joined.withColumn("slice", F.coalesce(*slices, F.col("code")))
     last = joined.where("slice = end_slice")
     order = Window.partitionBy("source").orderBy("key", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     last = last.withColumn("before", F.col("end_before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
@@ -98,14 +119,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
     out = mix(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: each row as often as it is taken, with its columns; rows without an id as well."""
-    copies = mix(docs, carry=True).withColumn("_copies", (F.col("epochs") + F.col("extra")).cast("int")).where("_copies > 0")
-    return copies.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+    """The mix itself: each row as often as it is taken, with its columns.
+
+    Copies are decided row by row: rows without an id, or that share one, are each in the mix as often as mix() says of them. Columns
+    of any names and nulls pass through, null and empty texts are never taken, an empty table stays empty.
+    """
+    copies = mix(docs, carry=True).withColumn("_copies", F.when(F.col("size") > 0, F.col("epochs") + F.col("extra")).otherwise(0).cast("int")).where("_copies > 0")
+    return copies.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_nth")).select("_row.*")
 
 
 _SYMBOLS_SQL = SYMBOLS

@@ -26,6 +26,8 @@ MIN_REVISIT = 100
 ARCHIVE_BYTES = 1 << 30
 #: Payload bytes to a writing task at least, once each core has three: archives are not to be many small files.
 TASK_BYTES = 1 << 27
+#: Archive bytes that one task reads in a row, and reading tasks to a core at most: a task has several blocks of large inputs.
+READ_BYTES, READ_WAVES = 1 << 23, 64
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "record_id string, file string, offset long, length long"
@@ -185,9 +187,13 @@ def _records(source, length: int, chunk_bytes: int) -> Iterator[tuple]:
 
 
 def read_archives(index: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_payload: bool = True) -> DataFrame:
-    """The chunk rows (CHUNKS) of the indexed records; a revisit is one row without digests of its own. Without with_payload the chunks are checked and left out."""
+    """The chunk rows (CHUNKS) of the indexed records; a revisit is one row without digests of its own. Without with_payload the chunks are checked and left out.
+
+    Records of one block of a file are read by one task, in their order. Blocks are dealt out by hash, so no samples of the index
+    reach the driver, and the number of tasks is bounded.
+    """
     total = index.agg(F.sum("length")).first()[0] or 0
-    parts = max(1, -(-total // (8 << 20)))
+    parts = max(1, min(-(-total // READ_BYTES), READ_WAVES * index.sparkSession.sparkContext.defaultParallelism))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"payload_bytes": pa.int64(), "chunk_no": pa.int64(), "last": pa.bool_(), "bytes_so_far": pa.int64(), "crc32_so_far": pa.int64(), "chunk": pa.binary()}
@@ -216,15 +222,17 @@ def read_archives(index: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_payload
             if rows:
                 yield batch(rows)
 
-    return index.repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, CHUNKS)
+    blocks = index.repartition(parts, "file", F.floor(F.col("offset") / READ_BYTES))
+    return blocks.sortWithinPartitions("file", "offset").mapInArrow(run, CHUNKS)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages through archives and back: what each page's record says after it has been read again."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("id"), F.col("url").alias("target_uri"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     pages = pages.withColumn("digest", F.sha2("payload", 256))
-    total = pages.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
-    again = revisits(pages.select("id", "digest", F.octet_length("payload").alias("n_bytes")))
+    digests = materialise(spark, pages.select("id", "digest", F.octet_length("payload").alias("n_bytes")), "digests")  # payloads are scanned once for these, once to be written
+    total = digests.agg(F.sum("n_bytes")).first()[0] or 0
+    again = revisits(digests)
     again = again.select("id", "digest", _urn("refers_to").alias("refers_to"))
     records = pages.join(again, ["id", "digest"], "left").withColumn("record_id", F.coalesce(_urn("id"), F.lit("urn:page:null")))
     rows = read_archives(write_archives(records, new_folder(spark, "warc"), total_bytes=total), with_payload=False).where("last")

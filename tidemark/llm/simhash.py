@@ -8,18 +8,19 @@ is orthogonal to all of them, and its table keeps none of them: every pair withi
 
 The 64-bit default takes the whole fingerprint as the word that is masked, so radius == distance gives every link. Wide
 fingerprints (bits > 64) estimate similarity finely, and their tables are laid over several words, each of `word_bits`
-positions of the fingerprint: a pair within `radius` in any word becomes a candidate, then the distance over all bits decides.
+positions of the fingerprint: a pair within `radius` in any word becomes a candidate (one a little beyond may), then the distance over
+all bits and the shingle sets themselves decide.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, materialise, small_batches, table, texts
@@ -108,15 +109,15 @@ def fingerprint(text: bytes, k: int = 3, bits: int = 64, distinct: bool = False)
     return np.packbits(2 * counts > total).tobytes() if total else bytes(bits // 8)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, bits: int = 64, distinct: bool = False) -> DataFrame:
-    """(id, fp binary) of every row. A null or empty text has the zero fingerprint; other columns are left out."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, bits: int = 64, distinct: bool = False, carry: list[str] = ()) -> DataFrame:
+    """(id, fp binary) of every row, and the longs named in carry. A null or empty text has the zero fingerprint; other columns are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, k, bits, distinct) for t in texts(b)], pa.binary())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, k, bits, distinct) for t in texts(b)], pa.binary()), *(b.column(c) for c in carry)], names=["id", "fp", *carry])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *carry).mapInArrow(run, "id long, fp binary" + "".join(f", {c} long" for c in carry))
 
 
 def _fp_matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -175,52 +176,63 @@ def _masked(nodes: DataFrame, bits: int, words: int, word_bits: int, radius: int
 HELD_PAIRS = 1 << 20
 
 
-def _forest(key: np.ndarray, fp: np.ndarray, distance: int, first: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links (rows i, j) that span the graph of the rows with equal keys within the distance, fewer than rows; the least row of each row's component.
+def _forest(key: np.ndarray, fp: np.ndarray, distance: int, first: tuple[int, int] | None = None, label: np.ndarray | None = None, depth: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Links (rows i, j) that span the graph of the rows with equal keys within the distance, fewer than rows, and their distances; the least row of each row's component.
     first = (bits, distance) must hold as well for so many first bits.
 
     Of a batch's near pairs (up to HELD_PAIRS at once) the nearest are joined first, so that a path of near links is not
-    given up for a far one.
+    given up for a far one. With label only pairs of rows with different labels count, rows of one label being joined
+    before, and links come from `depth` forests, one after another, each made of pairs that those before have no use for; the last result says whether pairs are left over.
     """
     n = len(key)
-    root = np.arange(n)
-    rows, lag = np.arange(n - 1), 1
+    roots = [np.arange(n) for _ in range(depth)]
+    if label is not None:
+        for root in roots:
+            root[:] = np.unique(label, return_index=True)[1][np.unique(label, return_inverse=True)[1]]
+    rows, lag, more = np.arange(n - 1), 1, False
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    links: list[tuple[int, int]] = []
+    links: list[tuple[int, int, int]] = []
 
-    def find(i: int) -> int:
+    def find(root: np.ndarray, i: int) -> int:
         while root[i] != i:
             root[i] = root[root[i]]
             i = root[i]
         return i
 
     def join() -> None:
-        nonlocal root
+        nonlocal more
         if not held:
             return
         i, j, far = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        order = np.argsort(far, kind="stable")
-        i, j = i[order], j[order]
+        order = np.lexsort((j, i, far))
+        i, j, far = i[order], j[order], far[order]
         while len(i):
             some = slice(0, 4096)  # pairs that earlier ones have joined fall out in between
-            for a, b in zip(i[some].tolist(), j[some].tolist(), strict=True):
-                x, y = find(a), find(b)
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    links.append((a, b))
-            while (up := root[root]).tobytes() != root.tobytes():
-                root = up
-            i, j = i[4096:], j[4096:]
-            apart = root[i] != root[j]
-            i, j = i[apart], j[apart]
+            for a, b, d in zip(i[some].tolist(), j[some].tolist(), far[some].tolist(), strict=True):
+                for root in roots:
+                    x, y = find(root, a), find(root, b)
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        links.append((a, b, d))
+                        break
+                else:
+                    more = True
+            for k, root in enumerate(roots):
+                while (up := root[root]).tobytes() != root.tobytes():
+                    root = up
+                roots[k] = root
+            i, j, far = i[4096:], j[4096:], far[4096:]
+            apart = roots[-1][i] != roots[-1][j]
+            more = more or not apart.all()
+            i, j, far = i[apart], j[apart], far[apart]
 
     while True:
         rows = rows[rows + lag < n]
         rows = rows[key[rows] == key[rows + lag]]
         if not len(rows):
             break
-        apart = rows[root[rows] != root[rows + lag]]
+        apart = rows[roots[0][rows] != roots[0][rows + lag]] if label is None else rows[label[rows] != label[rows + lag]]
         far = np.zeros(len(apart), np.int64)
         for j in range(fp.shape[1]):
             if first and 64 * j == first[0]:
@@ -233,17 +245,12 @@ def _forest(key: np.ndarray, fp: np.ndarray, distance: int, first: tuple[int, in
                 join()
         lag += 1
     join()
-    return np.array(links, np.int64).reshape(-1, 2), root
+    found = np.array(links, np.int64).reshape(-1, 3)
+    return found[:, :2], found[:, 2], roots[0], more
 
 
-def _linked(key: np.ndarray, ids: np.ndarray, fp: np.ndarray, distance: int, first: tuple[int, int] | None = None) -> np.ndarray:
-    """The links of _forest as sorted pairs of ids."""
-    return np.sort(ids[_forest(key, fp, distance, first)[0]], 1)
-
-
-def _grouped(key: np.ndarray, ids: np.ndarray, fp: np.ndarray, distance: int, first: tuple[int, int] | None = None) -> np.ndarray:
-    """(group, id) for the components of the graph of the rows with equal keys. A group is named by its ids, so that the same rows have the same name under every key."""
-    root = _forest(key, fp, distance, first)[1]
+def _named(root: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """(group, id) for the components of more than one row. A group is named by its ids, so that the same rows have the same name under every key."""
     rows = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
     rows = rows[np.argsort(root[rows], kind="stable")]
     begin = np.flatnonzero(np.diff(root[rows], prepend=-1))
@@ -252,26 +259,32 @@ def _grouped(key: np.ndarray, ids: np.ndarray, fp: np.ndarray, distance: int, fi
     return np.stack([np.repeat(_mix(total + size.astype(np.uint64)).view(np.int64), size), ids[rows]], 1)
 
 
-def _bucket_links(rows: DataFrame, bits: int, distance: int, bucket: float, groups: bool = False, first: tuple[int, int] | None = None) -> DataFrame:
-    """(a, b, key, fp, free): links inside each key, or (group, id) of its components; of keys with more than `bucket` rows the rows instead, with b null."""
-    width, inside = bits // 8, _grouped if groups else _linked
+def _bucket_links(rows: DataFrame, bits: int, distance: int, bucket: float, groups: bool = False) -> DataFrame:
+    """(a, b, far, key, fp, free): links inside each key and their distance, with groups also (group, id) of its components, far null; of keys with more than `bucket` rows the rows instead, with b null."""
+    width = bits // 8
     has_free = "free" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "key", "fp", "free"]
+        names = ["a", "b", "far", "key", "fp", "free"]
         kept: list[pa.Table] = []
         held, over = 0, None  # rows kept back of the last key; a key that has proved too large
 
         def spill(t: pa.Table) -> pa.RecordBatch:
             t = t.combine_chunks()
-            cols = [t.column("id").combine_chunks(), pa.nulls(len(t), pa.int64()), t.column("key").combine_chunks(), t.column("fp").combine_chunks(), t.column("free").combine_chunks() if has_free else pa.nulls(len(t), pa.binary())]
+            cols = [t.column("id").combine_chunks(), pa.nulls(len(t), pa.int64()), pa.nulls(len(t), pa.int64()), t.column("key").combine_chunks(), t.column("fp").combine_chunks(), t.column("free").combine_chunks() if has_free else pa.nulls(len(t), pa.binary())]
             return pa.RecordBatch.from_arrays(cols, names=names)
 
         def links(t: pa.Table) -> pa.RecordBatch:
             t = t.combine_chunks()
             fp = _fp_matrix(t.column("fp").combine_chunks(), width)
-            e = inside(t.column("key").to_numpy(), t.column("id").to_numpy(), fp, distance, first)
-            return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), pa.nulls(len(e), pa.int64()), pa.nulls(len(e), pa.binary()), pa.nulls(len(e), pa.binary())], names=names)
+            ids = t.column("id").to_numpy()
+            e, far, root, _ = _forest(t.column("key").to_numpy(), fp, distance)
+            e, far = np.sort(ids[e], 1), pa.array(far)
+            if groups:
+                members = _named(root, ids)
+                e, far = np.concatenate([e, members]), pa.concat_arrays([far, pa.nulls(len(members), pa.int64())])
+            none = pa.nulls(len(e), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), far, pa.nulls(len(e), pa.int64()), none, none], names=names)
 
         for b in batches:
             t = pa.Table.from_batches([b])
@@ -302,8 +315,8 @@ def _bucket_links(rows: DataFrame, bits: int, distance: int, bucket: float, grou
         if kept:
             yield links(pa.concat_tables(kept))
 
-    parts = rows.repartition(F.col("key")).sortWithinPartitions("key")
-    return parts.mapInArrow(run, "a long, b long, key long, fp binary, free binary")
+    parts = rows.repartition(F.col("key")).sortWithinPartitions("key", "id")
+    return parts.mapInArrow(run, "a long, b long, far long, key long, fp binary, free binary")
 
 
 def _blocks(rows: DataFrame, bucket: int, level: int) -> DataFrame:
@@ -315,8 +328,8 @@ def _blocks(rows: DataFrame, bucket: int, level: int) -> DataFrame:
 
 
 def link(nodes: DataFrame, bits: int = 64, distance: int = 3, radius: int = 3, words: int = 1, word_bits: int = 64, bucket: int = BUCKET, groups: bool = False) -> DataFrame:
-    """Links (a, b) between nodes (id unique and not null, fp) within the distance that share a key; they span each key's graph.
-    groups: instead (a, b) is a group and a node of it, the groups being the components of each key's graph.
+    """Links (a, b, far) between nodes (id unique and not null, fp) within the distance that share a key; they span each key's graph.
+    groups: also rows whose far is null: a is a group and b a node of it, the groups being the components of each key's graph.
 
     Copies must have been made one node before. A key with more than `bucket` fingerprints is not gathered: its rows
     stream out. Where masks cover the distance they are masked anew over the positions that the key's mask left open, which keeps the
@@ -326,12 +339,13 @@ def link(nodes: DataFrame, bits: int = 64, distance: int = 3, radius: int = 3, w
     covering = words == 1 and word_bits >= bits and radius >= distance
     spark = nodes.sparkSession
     bucket = max(bucket, 1 << radius)  # as many fingerprints differ in no more positions than the radius: such keys are never split
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")  # short rows
     edges, level, left = None, 0, nodes
     while True:
         keyed = _blocks(left, bucket, level) if level and not covering else _masked(left, bits, words, word_bits, radius)
         found = materialise(spark, _bucket_links(keyed, bits, distance, bucket, groups), f"links-{level}")
-        some = found.where("b is not null").select("a", "b")
+        some = found.where("b is not null").select("a", "b", "far")
         edges = some if edges is None else edges.unionByName(some)
         left = found.where("b is null").select(F.col("a").alias("id"), "fp", "key", "free")
         if left.isEmpty():
@@ -339,7 +353,7 @@ def link(nodes: DataFrame, bits: int = 64, distance: int = 3, radius: int = 3, w
         if level == 0 and covering:  # the first tables do not carry which positions are open: the mask is found again from the key
             left = _with_free(left, bits, words, word_bits, radius)
         level += 1
-    small_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     return edges
 
 
@@ -348,26 +362,74 @@ def link_components(nodes: DataFrame, **how) -> DataFrame:
     return components(nodes.sparkSession, link(nodes, **how), "simhash")
 
 
-def confirm(links: DataFrame, nodes: DataFrame, bits: int, distance: int) -> DataFrame:
-    """The links whose whole fingerprints, of nodes, lie within the distance. A node with many links meets them in joins that AQE can split."""
-    width = bits // 8
+def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """(id, set) of rows (id, text): the distinct hashes of a text's k-word shingles, sorted, as little-endian 64-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            far = np.bitwise_count(_fp_matrix(b.column(2), width) ^ _fp_matrix(b.column(3), width)).sum(1, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(far <= distance))
+            sets = [np.unique(np.concatenate(h)).astype("<u8").tobytes() if (h := list(shingle_hashes(t, k))) else b"" for t in texts(b)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+
+    small_batches(docs.sparkSession)
+    return docs.select("id", "text").mapInArrow(run, "id long, set binary")
 
-    known = links.distinct()
+
+def confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets overlap by the similarity (Jaccard) or more, counted exactly. A node in many pairs meets them in joins that AQE can split."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for x, y in zip(*(b.column(c).to_pylist() for c in ("set_a", "set_b")), strict=True):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = np.concatenate([x, y])
+                both.sort()
+                same = int((both[1:] == both[:-1]).sum())
+                good.append(same > 0 and same >= similarity * (len(x) + len(y) - same) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    known = pairs.select("a", "b")
     for c in ("a", "b"):
-        known = known.join(nodes.select(F.col("id").alias(c), F.col("fp").alias(f"fp_{c}")), c)
-    return known.select("a", "b", "fp_a", "fp_b").mapInArrow(run, "a long, b long")
+        known = known.join(sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}")), c)
+    small_batches(pairs.sparkSession)
+    return known.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+
 
+def _open_pairs(rows: DataFrame, bits: int, distance: int, coarse: tuple[int, int], depth: int) -> DataFrame:
+    """Pairs (a, b, far, la, lb) of rows (key, id, fp, label) with equal keys and different labels, within the distance, from `depth` forests a key; a row of nulls if others are left over."""
+    width = bits // 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.Table] = []
+
+        def pairs(t: pa.Table) -> pa.RecordBatch:
+            t = t.combine_chunks()
+            key, ids, label = (t.column(c).to_numpy() for c in ("key", "id", "label"))
+            e, far, _, more = _forest(key, _fp_matrix(t.column("fp").combine_chunks(), width), distance, coarse, label, depth)
+            flip = label[e[:, 0]] > label[e[:, 1]]
+            e[flip] = e[flip][:, ::-1]
+            cols = [ids[e[:, 0]], ids[e[:, 1]], far, label[e[:, 0]], label[e[:, 1]]]
+            out = [pa.array(c, pa.int64()) for c in cols]
+            if more:
+                out = [pa.concat_arrays([c, pa.nulls(1, pa.int64())]) for c in out]
+            return pa.RecordBatch.from_arrays(out, names=["a", "b", "far", "la", "lb"])
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            key = t.column("key").to_numpy()
+            if kept and len(key) and kept[0].column("key")[0].as_py() != key[0]:
+                yield pairs(pa.concat_tables(kept))
+                kept = []
+            cut = int(np.searchsorted(key, key[-1], "left")) if len(key) else 0
+            if cut:  # the last key of the batch may go on in the next
+                yield pairs(pa.concat_tables([*kept, t.slice(0, cut)]))
+                kept = []
+            kept.append(t.slice(cut))
+        if kept:
+            yield pairs(pa.concat_tables(kept))
 
-def full_links(groups: DataFrame, nodes: DataFrame, bits: int, distance: int, coarse: tuple[int, int]) -> DataFrame:
-    """Links (a, b) within the distance by the whole fingerprints of nodes, and by the coarse ones, that span the graph of each
-    group's nodes (a group, b node): every two that are not joined by such links are compared."""
-    rows = groups.select(F.col("a").alias("key"), F.col("b").alias("id")).distinct().join(nodes.select("id", "fp"), "id")
-    return _bucket_links(rows.select("key", "id", "fp"), bits, distance, float("inf"), first=coarse).select("a", "b")
+    parts = rows.repartition(F.col("key")).sortWithinPartitions("key", "id")
+    return parts.mapInArrow(run, "a long, b long, far long, la long, lb long")
 
 
 def _with_free(rows: DataFrame, bits: int, words: int, word_bits: int, radius: int) -> DataFrame:
@@ -387,15 +449,9 @@ def _with_free(rows: DataFrame, bits: int, words: int, word_bits: int, radius: i
     return rows.select("id", "fp", "key").mapInArrow(run, "id long, fp binary, key long, free binary")
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, bits: int = 64, distance: int = 3, distinct: bool = False,
-    radius: int = 3, words: int = 1, word_bits: int = 64, bucket: int = BUCKET, coarse: tuple[int, int] | None = None,
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, bits: int = 64, distance: int = 3, distinct: bool = False, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
     """One row (id, fp binary, component_id) per row of docs; component_id is the least id reachable over links, the row's own included.
 
-    coarse = (bits, distance): the tables hold only so many first bits. Rows that links within that distance join under a
-    key are a group, and inside a group the whole fingerprints decide: only links that are final make others needless.
-
     Null or empty text: the zero fingerprint, which links like any other. Rows with a null id get their fingerprint and
     the component of other rows with that same fingerprint (null without any), but join no groups themselves. Repeated rows come
     back as often as they came. An empty table gives no rows. Other columns of docs are ignored.
@@ -403,29 +459,105 @@ def near_duplicates(
     spark = docs.sparkSession
     fps = materialise(spark, fingerprints(docs, id_col, text_col, k, bits, distinct), "fingerprints")
     nodes = materialise(spark, fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("id")), "nodes")
-    tables = {"radius": radius, "words": words, "word_bits": word_bits, "bucket": bucket}
-    if coarse is None:
-        links = link(nodes, bits=bits, distance=distance, **tables)
-    else:
-        first = nodes.select("id", F.substring("fp", 1, coarse[0] // 8).alias("fp"))
-        links = full_links(link(first, bits=coarse[0], distance=coarse[1], groups=True, **tables), nodes, bits, distance, coarse)
-    found = components(spark, links, "simhash")
+    found = components(spark, link(nodes, bits=bits, distance=distance, radius=radius, word_bits=bits, bucket=bucket), "simhash")
     known = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return fps.join(known, "fp", "left").select("id", "fp", "component_id")
 
 
+#: The pipeline's setting: sets of five-word shingles, 1,024 bits, of which the tables hold the first 192 in words of 36 positions. Sets of similarity 0.8
+#: are expected to differ in acos(2s / (1 + s)) / pi of the bits: in 29 of 192, give or take 5, and in 155 of 1,024, give or take 11. So pairs beyond 46 or
+#: beyond 195 bits are given up; all others are compared by their sets.
+SIMILARITY, SHINGLE = 0.8, 5
+WIDE = {"bits": 1024, "coarse": (192, 46), "fine": 195, "radius": 3, "words": 9, "word_bits": 36, "bucket": BUCKET}
+
+
+def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, bits: int = 1024, coarse: tuple[int, int] = (192, 46), fine: int = 195, radius: int = 3, words: int = 9, word_bits: int = 36, bucket: int = BUCKET) -> DataFrame:
+    """Links (a, b) of similarity or more between nodes (id unique, fp of so many bits); their components are those of all such pairs that meet in a table within coarse and fine bits.
+
+    The tables find pairs by the first bits. Each node's nearest is compared first, by the sets that sets(ids) gives for the nodes in question. That
+    joins most of every group of copies, and pairs in one component need no comparison. Then, round after round, the pairs between
+    components that share a key are compared, nearest first, four times as many a round, until none is left that has not been.
+    """
+    spark = nodes.sparkSession
+    first = nodes.select("id", F.substring("fp", 1, coarse[0] // 8).alias("fp"))
+    found = materialise(spark, link(first, bits=coarse[0], distance=coarse[1], radius=radius, words=words, word_bits=word_bits, bucket=bucket, groups=True), "found")
+    groups = materialise(spark, found.where("far is null").select(F.col("a").alias("key"), F.col("b").alias("id")).distinct(), "groups")
+    both = found.where("far is not null").select(F.col("a").alias("id"), F.struct("far", F.col("b").alias("to")).alias("near"))
+    both = both.unionByName(found.where("far is not null").select(F.col("b").alias("id"), F.struct("far", F.col("a").alias("to")).alias("near")))
+    nearest = both.groupBy("id").agg(F.min("near").alias("near"))
+    new = nearest.select(F.least("id", "near.to").alias("a"), F.greatest("id", "near.to").alias("b")).distinct()
+    new = materialise(spark, new, "pairs-0")
+    known = materialise(spark, sets(groups.select("id").distinct()), "sets")
+    tested, links, depth = new, materialise(spark, confirm(new, known, similarity), "links-0"), 1
+    while True:
+        label = components(spark, links, "simhash").withColumnRenamed("node", "id")
+        rows = groups.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+        several = rows.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("key")
+        rows = materialise(spark, rows.join(several, "key", "left_semi").join(nodes.select("id", "fp"), "id").select("key", "id", "fp", "label"), f"open-{depth}")
+        pairs = materialise(spark, _open_pairs(rows, bits, fine, coarse, depth), f"candidates-{depth}")
+        fresh = pairs.where("a is not null").distinct().join(tested, (F.least(pairs.a, pairs.b) == tested.a) & (F.greatest(pairs.a, pairs.b) == tested.b), "left_anti")
+        between = Window.partitionBy("la", "lb").orderBy("far", "a", "b")
+        fresh = materialise(spark, fresh.withColumn("nth", F.row_number().over(between)), f"fresh-{depth}")
+        new = fresh.where(F.col("nth") <= depth).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        if fresh.isEmpty():
+            if pairs.where("a is null").isEmpty():
+                return links
+        else:
+            links = links.unionByName(materialise(spark, confirm(new, known, similarity), f"links-{depth}"))
+            tested = materialise(spark, tested.unionByName(new), f"tested-{depth}")
+        depth *= 4
+
+
+def copies_to_drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, k: int = SHINGLE, **how) -> DataFrame:
+    """(id, text_hash, keep) of the rows of docs that do not stay as they are: keep is false for rows that go, true for rows that
+    are there several times and of which one stays. In each component of near-duplicates the row of the least id stays, null being last, then the least hash of the text.
+
+    Texts with equal fingerprints of all bits are copies: null and empty texts are, and texts that differ in case and white space only.
+    """
+    spark, how = docs.sparkSession, WIDE | how
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    fps = materialise(spark, fingerprints(rows, "id", "text", k, how["bits"], True, ["text_hash"]), "fingerprints")
+    keys = fps.groupBy("fp", "id", "text_hash").agg(F.count("*").alias("n"))
+    keys = materialise(spark, keys, "keys")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
+    nodes = materialise(spark, keys.groupBy("fp").agg(F.min(order).alias("best"), F.count("*").alias("rows")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+    def sets(ids: DataFrame) -> DataFrame:
+        """Shingle sets of nodes, from the text of each one's best row; once a node where that row is repeated."""
+        mine = nodes.join(ids, nodes.node == ids.id, "left_semi").select("node", F.col("best.id").alias("_id"), F.col("best.text_hash").alias("_hash"))
+        found = rows.join(mine, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select(F.col("node").alias("id"), "text")
+        repeated = keys.where("n > 1").limit(1).isEmpty()
+        found = shingle_sets(found, k)
+        return found if repeated else found.groupBy("id").agg(F.min("set").alias("set"))
+
+    links = similar_links(nodes.select(F.col("node").alias("id"), "fp"), sets, similarity, **how)
+    label = components(spark, links, "simhash").select("node", "component")
+    grouped = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    best = grouped.groupBy("component").agg(F.min("best").alias("stays"), F.sum("rows").alias("members")).where("members > 1")
+    crowd = grouped.join(best, "component").select("fp", "stays")
+    crowd = keys.join(crowd, "fp").select("id", "text_hash", "n", (F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("text_hash") == F.col("stays.text_hash"))).alias("keep"))
+    alone = keys.where("n > 1").join(grouped.join(best, "component", "left_anti").select("fp"), "fp", "left_semi").select("id", "text_hash", "n", F.lit(True).alias("keep"))
+    out = crowd.unionByName(alone).where(~F.col("keep") | (F.col("n") > 1))
+    return materialise(spark, out.select("id", "text_hash", "keep").distinct(), "copies")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 64-bit SimHash over 3-word shingles differs in 3 bits or fewer."""
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-#: The pipeline's setting: sets of five-word shingles. Sets of similarity 0.8 are expected to differ in acos(2s / (1 + s)) / pi of
-#: the bits: in 29 of the 192 that the tables hold, give or take 5, and in 155 of all 1,024, give or take 11.
-WIDE = {"k": 5, "bits": 1024, "distance": 161, "distinct": True, "radius": 3, "words": 9, "word_bits": 36, "coarse": (192, 46)}
-
-
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least id in each group of near-duplicates; documents without an id stay."""
-    groups = near_duplicates(docs, **WIDE).where("component_id < id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(docs.columns)
+    """Keeps one row of each group of near-duplicates (copies_to_drop() says which), whole and in its columns.
+
+    Groups are found by fingerprints, but a row only goes if a path of exact comparisons, of similarity 0.8 or more, joins it to the one that stays. Rows without an id
+    join groups like others and stay only where all are without. Null and empty texts are copies of each other, repeated rows are
+    copies, an empty table stays empty; other columns pass through, whatever their names.
+    """
+    found = copies_to_drop(docs).withColumnsRenamed({"id": "_copy_id", "text_hash": "_copy_hash", "keep": "_copy_keep"})
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_copy_id")) & (F.xxhash64("text") == F.col("_copy_hash"))
+    known = docs.join(found, same, "left")
+    single = known.where("_copy_keep is null").select(docs.columns)
+    if found.where("_copy_keep").isEmpty():
+        return single
+    return single.unionByName(known.where("_copy_keep").dropDuplicates(["_copy_id", "_copy_hash"]).select(docs.columns))

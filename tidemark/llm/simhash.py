@@ -176,13 +176,13 @@ def _masked(nodes: DataFrame, bits: int, words: int, word_bits: int, radius: int
 HELD_PAIRS = 1 << 20
 
 
-def _forest(key: np.ndarray, fp: np.ndarray, distance: int, first: tuple[int, int] | None = None, label: np.ndarray | None = None, depth: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+def _forest(key: np.ndarray, fp: np.ndarray, distance: int, first: tuple[int, int] | None = None, label: np.ndarray | None = None, depth: int = 1, check: Callable[[int, int], bool] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
     """Links (rows i, j) that span the graph of the rows with equal keys within the distance, fewer than rows, and their distances; the least row of each row's component.
     first = (bits, distance) must hold as well for so many first bits.
 
     Of a batch's near pairs (up to HELD_PAIRS at once) the nearest are joined first, so that a path of near links is not
     given up for a far one. With label only pairs of rows with different labels count, rows of one label being joined
-    before, and links come from `depth` forests, one after another, each made of pairs that those before have no use for; the last result says whether pairs are left over.
+    before, and links come from `depth` forests, one after another, each made of pairs that those before have no use for; the last result says whether pairs are left over. A pair that check refuses is no link.
     """
     n = len(key)
     roots = [np.arange(n) for _ in range(depth)]
@@ -212,6 +212,8 @@ def _forest(key: np.ndarray, fp: np.ndarray, distance: int, first: tuple[int, in
             for a, b, d in zip(i[some].tolist(), j[some].tolist(), far[some].tolist(), strict=True):
                 for root in roots:
                     x, y = find(root, a), find(root, b)
+                    if x != y and check and not check(a, b):
+                        break
                     if x != y:
                         root[max(x, y)] = min(x, y)
                         links.append((a, b, d))
@@ -374,18 +376,23 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, set binary")
 
 
+def _similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets overlap by the similarity (Jaccard) or more; empty ones never do."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    same = int((both[1:] == both[:-1]).sum())
+    return same > 0 and same >= similarity * (len(both) - same) - 1e-9
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets overlap by the similarity (Jaccard) or more, counted exactly. A node in many pairs meets them in joins that AQE can split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = []
-            for x, y in zip(*(b.column(c).to_pylist() for c in ("set_a", "set_b")), strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = np.concatenate([x, y])
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                good.append(same > 0 and same >= similarity * (len(x) + len(y) - same) - 1e-9)
+            both = (zip(*(b.column(c).to_pylist() for c in ("set_a", "set_b")), strict=True))
+            good = [_similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), similarity) for x, y in both]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     known = pairs.select("a", "b")
@@ -395,41 +402,56 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return known.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def _open_pairs(rows: DataFrame, bits: int, distance: int, coarse: tuple[int, int], depth: int) -> DataFrame:
-    """Pairs (a, b, far, la, lb) of rows (key, id, fp, label) with equal keys and different labels, within the distance, from `depth` forests a key; a row of nulls if others are left over."""
-    width = bits // 8
+def _by_key(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """work() on whole keys of rows that are sorted by a column key, on all those that are complete in a batch at once."""
+    kept: list[pa.Table] = []
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        key = t.column("key").to_numpy()
+        if not len(key):
+            continue
+        if kept and kept[0].column("key")[0].as_py() != key[0]:
+            yield work(pa.concat_tables(kept).combine_chunks())
+            kept = []
+        cut = int(np.searchsorted(key, key[-1], "left"))
+        if cut:  # the last key of the batch may go on in the next
+            yield work(pa.concat_tables([*kept, t.slice(0, cut)]).combine_chunks())
+            kept = []
+        kept.append(t.slice(cut))
+    if kept:
+        yield work(pa.concat_tables(kept).combine_chunks())
+
+
+def _exact_links(rows: DataFrame, bits: int, distance: int, coarse: tuple[int, int], similarity: float) -> DataFrame:
+    """Links (a, b) of rows (key, id, fp, set) with equal keys that span, for each key, the graph of all pairs within the distances and of the similarity."""
+
+    def links(t: pa.Table) -> pa.RecordBatch:
+        key, ids = (t.column(c).to_numpy() for c in ("key", "id"))
+        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in t.column("set")]
+        e = _forest(key, _fp_matrix(t.column("fp").combine_chunks(), bits // 8), distance, coarse, check=lambda i, j: _similar(sets[i], sets[j], similarity))[0]
+        return pa.RecordBatch.from_arrays([pa.array(ids[e[:, j]], pa.int64()) for j in (0, 1)], names=["a", "b"])
+
+    small_batches(rows.sparkSession)
+    parts = rows.repartition(F.col("key")).sortWithinPartitions("key", "id")
+    return parts.mapInArrow(lambda batches: _by_key(batches, links), "a long, b long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.Table] = []
 
-        def pairs(t: pa.Table) -> pa.RecordBatch:
-            t = t.combine_chunks()
-            key, ids, label = (t.column(c).to_numpy() for c in ("key", "id", "label"))
-            e, far, _, more = _forest(key, _fp_matrix(t.column("fp").combine_chunks(), width), distance, coarse, label, depth)
-            flip = label[e[:, 0]] > label[e[:, 1]]
-            e[flip] = e[flip][:, ::-1]
-            cols = [ids[e[:, 0]], ids[e[:, 1]], far, label[e[:, 0]], label[e[:, 1]]]
-            out = [pa.array(c, pa.int64()) for c in cols]
-            if more:
-                out = [pa.concat_arrays([c, pa.nulls(1, pa.int64())]) for c in out]
-            return pa.RecordBatch.from_arrays(out, names=["a", "b", "far", "la", "lb"])
+def _open_pairs(rows: DataFrame, bits: int, distance: int, coarse: tuple[int, int], depth: int) -> DataFrame:
+    """Pairs (a, b, far, la, lb) of rows (key, id, fp, label) with equal keys and different labels, within the distance, from `depth` forests a key; a row of nulls if others are left over."""
 
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            key = t.column("key").to_numpy()
-            if kept and len(key) and kept[0].column("key")[0].as_py() != key[0]:
-                yield pairs(pa.concat_tables(kept))
-                kept = []
-            cut = int(np.searchsorted(key, key[-1], "left")) if len(key) else 0
-            if cut:  # the last key of the batch may go on in the next
-                yield pairs(pa.concat_tables([*kept, t.slice(0, cut)]))
-                kept = []
-            kept.append(t.slice(cut))
-        if kept:
-            yield pairs(pa.concat_tables(kept))
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        key, ids, label = (t.column(c).to_numpy() for c in ("key", "id", "label"))
+        e, far, _, more = _forest(key, _fp_matrix(t.column("fp").combine_chunks(), bits // 8), distance, coarse, label, depth)
+        flip = label[e[:, 0]] > label[e[:, 1]]
+        e[flip] = e[flip][:, ::-1]
+        cols = [ids[e[:, 0]], ids[e[:, 1]], far, label[e[:, 0]], label[e[:, 1]]]
+        out = [pa.array(c, pa.int64()) for c in cols]
+        if more:
+            out = [pa.concat_arrays([c, pa.nulls(1, pa.int64())]) for c in out]
+        return pa.RecordBatch.from_arrays(out, names=["a", "b", "far", "la", "lb"])
 
     parts = rows.repartition(F.col("key")).sortWithinPartitions("key", "id")
-    return parts.mapInArrow(run, "a long, b long, far long, la long, lb long")
+    return parts.mapInArrow(lambda batches: _by_key(batches, pairs), "a long, b long, far long, la long, lb long")
 
 
 def _with_free(rows: DataFrame, bits: int, words: int, word_bits: int, radius: int) -> DataFrame:
@@ -469,25 +491,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: beyond 195 bits are given up; all others are compared by their sets.
 SIMILARITY, SHINGLE = 0.8, 5
 WIDE = {"bits": 1024, "coarse": (192, 46), "fine": 195, "radius": 3, "words": 9, "word_bits": 36, "bucket": BUCKET}
+#: Sets of a group that one task compares.
+GROUP_BYTES = 1 << 26
 
 
 def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, bits: int = 1024, coarse: tuple[int, int] = (192, 46), fine: int = 195, radius: int = 3, words: int = 9, word_bits: int = 36, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) of similarity or more between nodes (id unique, fp of so many bits); their components are those of all such pairs that meet in a table within coarse and fine bits.
 
-    The tables find pairs by the first bits. Each node's nearest is compared first, by the sets that sets(ids) gives for the nodes in question. That
-    joins most of every group of copies, and pairs in one component need no comparison. Then, round after round, the pairs between
-    components that share a key are compared, nearest first, four times as many a round, until none is left that has not been.
+    The tables find pairs by the first bits, and these pairs' components are found. One of at most `bucket` nodes whose sets (which sets(ids) gives) have at
+    most GROUP_BYTES goes to one task, where its pairs are compared, nearest first, unless links join them already. Larger ones are never gathered:
+    long_links() goes through them key by key.
     """
     spark = nodes.sparkSession
     first = nodes.select("id", F.substring("fp", 1, coarse[0] // 8).alias("fp"))
     found = materialise(spark, link(first, bits=coarse[0], distance=coarse[1], radius=radius, words=words, word_bits=word_bits, bucket=bucket, groups=True), "found")
-    groups = materialise(spark, found.where("far is null").select(F.col("a").alias("key"), F.col("b").alias("id")).distinct(), "groups")
-    both = found.where("far is not null").select(F.col("a").alias("id"), F.struct("far", F.col("b").alias("to")).alias("near"))
-    both = both.unionByName(found.where("far is not null").select(F.col("b").alias("id"), F.struct("far", F.col("a").alias("to")).alias("near")))
+    near = found.where("far is not null")
+    whole = materialise(spark, components(spark, near, "coarse").select(F.col("component").alias("key"), F.col("node").alias("id")), "coarse")
+    known = materialise(spark, sets(whole.select("id")), "sets")
+    sizes = whole.join(known.select("id", F.octet_length("set").alias("n")), "id").groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("bytes"))
+    sizes = materialise(spark, sizes.select("key", ((F.col("members") <= bucket) & (F.col("bytes") <= GROUP_BYTES)).alias("fits")), "coarse-sizes")
+    inside = whole.join(sizes.where("fits").select("key"), "key", "left_semi")
+    rows = inside.join(nodes.select("id", "fp"), "id").join(known, "id").select("key", "id", "fp", "set")
+    links = materialise(spark, _exact_links(rows, bits, fine, coarse, similarity), "links")
+    large = sizes.where("not fits").select("key")
+    if large.isEmpty():
+        return links
+    ids = whole.join(large, "key", "left_semi").select("id")
+    groups = found.where("far is null").select(F.col("a").alias("key"), F.col("b").alias("id")).distinct().join(ids, "id", "left_semi").select("key", "id")
+    near = near.join(ids, near.a == ids.id, "left_semi")
+    return links.unionByName(long_links(nodes, near, groups, known, similarity, bits, coarse, fine))
+
+
+def long_links(nodes: DataFrame, near: DataFrame, groups: DataFrame, known: DataFrame, similarity: float, bits: int, coarse: tuple[int, int], fine: int) -> DataFrame:
+    """Links of nodes from pairs near (a, b, far) and groups (key, id) of rows that share a key, with known sets (id, set).
+
+    Each node's nearest is compared first. That joins most of every group of copies, and pairs in one component need no comparison. Then, round after
+    round, the pairs between components that share a key are compared, nearest first, four times as many a round, until
+    none is left that has not been.
+    """
+    spark, groups = nodes.sparkSession, materialise(nodes.sparkSession, groups, "groups")
+    both = near.select(F.col("a").alias("id"), F.struct("far", F.col("b").alias("to")).alias("near"))
+    both = both.unionByName(near.select(F.col("b").alias("id"), F.struct("far", F.col("a").alias("to")).alias("near")))
     nearest = both.groupBy("id").agg(F.min("near").alias("near"))
     new = nearest.select(F.least("id", "near.to").alias("a"), F.greatest("id", "near.to").alias("b")).distinct()
     new = materialise(spark, new, "pairs-0")
-    known = materialise(spark, sets(groups.select("id").distinct()), "sets")
     tested, links, depth = new, materialise(spark, confirm(new, known, similarity), "links-0"), 1
     while True:
         label = components(spark, links, "simhash").withColumnRenamed("node", "id")

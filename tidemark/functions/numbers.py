@@ -9,28 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-#: Added before rounding for reports. Means of prices in cents often end exactly in the middle of two rounded values, where the order
-#: in which a sum was formed would decide.
-NUDGE = 1e-9
+def rounded(c: Column | str, digits: int = 6) -> Column:
+    """For reports and queries only: operators return what they computed."""
+    return F.round(F.col(c) if isinstance(c, str) else c, digits)
 
 
-def rounded(c: Column | str, digits: int = 6) -> Column:
-    return F.round((F.col(c) if isinstance(c, str) else c) + F.lit(NUDGE), digits)
-
-
-def rounded_sql(sql: str) -> str:
-    """SQL whose round(x, n) have the nudge as well."""
-    out, at = "", 0
-    while (i := sql.find("round(", at)) >= 0:
-        depth, comma, j = 1, -1, i + 6
-        while depth:
-            depth += (sql[j] == "(") - (sql[j] == ")")
-            comma = j if sql[j] == "," and depth == 1 else comma
-            j += 1
-        inner = rounded_sql(sql[i + 6 : comma])
-        out += sql[at:i] + f"round(({inner}) + {NUDGE}{sql[comma : j]}"
-        at = j
-    return out + sql[at:]
+def round_doubles(df: DataFrame, digits: int | dict[str, int] = 6) -> DataFrame:
+    """Every double column rounded, to the digits that are given for all or for each."""
+    at = lambda name: digits.get(name, 6) if isinstance(digits, dict) else digits
+    return df.withColumns({f.name: rounded(f"`{f.name}`", at(f.name)) for f in df.schema.fields if f.dataType.simpleString() == "double"})
 
 
 def non_negative(c: Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import rounded
 
 
 def block_sums(df: DataFrame, block: str, y: str, a: str, b: str) -> DataFrame:
@@ -35,6 +34,6 @@ def interval(sampled: DataFrame, column: str, level: float = 0.95, digits: int =
     low, high = (1 - level) / 2, (1 + level) / 2
     lo, hi = F.percentile(column, F.lit(low)), F.percentile(column, F.lit(high))
     return sampled.agg(
-        F.count(column).alias("n_draws"), rounded(lo, digits).alias("ci_low"), rounded(hi, digits).alias("ci_high"), rounded(F.stddev_pop(column), digits).alias("sd"),
-        rounded(100.0 * F.avg((F.col(column) > 0).cast("double")), digits).alias("better_pct"), ((lo > 0) | (hi < 0)).alias("excludes_zero"),
+        F.count(column).alias("n_draws"), (lo).alias("ci_low"), (hi).alias("ci_high"), F.stddev_pop(column).alias("sd"),
+        (100.0 * F.avg((F.col(column) > 0).cast("double"))).alias("better_pct"), ((lo > 0) | (hi < 0)).alias("excludes_zero"),
     )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import rounded
 
 FLOOR = 1e-6
 
@@ -29,7 +28,7 @@ def psi(df: DataFrame, value: str, group: str, reference: object, bins: int = 10
     shares = grid.join(counts, [group, "bin"], "left").select(group, "bin", F.greatest(F.coalesce("n", F.lit(0)) / F.col("total"), F.lit(FLOOR)).alias("share"))
     base = shares.where(F.col(group) == reference).select("bin", F.col("share").alias("base"))
     part = (F.col("share") - F.col("base")) * F.ln(F.col("share") / F.col("base"))
-    out = shares.where(F.col(group) != reference).join(base, "bin").groupBy(group).agg(rounded(F.sum(part), 6).alias("psi"))
+    out = shares.where(F.col(group) != reference).join(base, "bin").groupBy(group).agg(F.sum(part).alias("psi"))
     return out.withColumn("verdict", F.when(F.col("psi") < 0.10, "stable").when(F.col("psi") < 0.25, "moderate").otherwise("shifted"))
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import NO_HOLIDAY
-from tidemark.functions.numbers import rounded
 
 
 def schema_check(df: DataFrame, expected: list[str]) -> dict[str, list[str]]:
@@ -104,7 +103,7 @@ def coverage(df: DataFrame, time_col: str, step: str = "HOUR", by: list[str] = (
     span = (F.unix_timestamp(F.col("last").cast("timestamp")) - F.unix_timestamp(F.col("first").cast("timestamp"))) / seconds
     out = present.groupBy(*by).agg(F.min("_t").alias("first"), F.max("_t").alias("last"), F.count("*").alias("present"))
     out = out.withColumn("expected", (span + 1).cast("long")).withColumn("missing", F.col("expected") - F.col("present"))
-    return out.withColumn("missing_ratio", rounded(F.col("missing") / F.col("expected"), 6))
+    return out.withColumn("missing_ratio", (F.col("missing") / F.col("expected")))
 
 
 def first_missing(df: DataFrame, time_col: str, step: str = "HOUR", n: int = 10) -> DataFrame:

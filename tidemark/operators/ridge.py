@@ -10,7 +10,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.baseline import metrics
+from tidemark.operators.segments import metrics
 
 #: The grid that tuning goes through, and the wider one of the sensitivity study.
 ALPHAS = (0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0)

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import rounded
-
 SMALL = 100
 NIGHT = (0, 1, 2, 3, 4)
 #: The season of each month.
@@ -17,13 +15,19 @@ def _ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0))
 
 
-def report(df: DataFrame, by: list[str], y: str = "y", pred: str = "pred", small: int = SMALL, digits: int = 6) -> DataFrame:
+def metrics(df: DataFrame, target: str = "y", pred: str = "pred") -> DataFrame:
+    """n, MAE, RMSE and R2 = 1 - SSE / SST in one pass of sums."""
+    err = F.col(target) - F.col(pred)
+    sums = df.agg(F.count(err).alias("n"), F.avg(F.abs(err)).alias("mae"), F.avg(err * err).alias("mse"), F.var_pop(target).alias("var"))
+    return sums.select("n", "mae", F.sqrt("mse").alias("rmse"), (1 - F.col("mse") / F.nullif("var", F.lit(0.0))).alias("r2"))
+
+
+def report(df: DataFrame, by: list[str], y: str = "y", pred: str = "pred", small: int = SMALL) -> DataFrame:
     """Per segment: n, MAE, RMSE, bias, mean_actual, mean_pred and whether the sample is small."""
     e = F.col(pred) - F.col(y)
-    r = lambda c: rounded(c, digits)
     return df.groupBy(*by).agg(
-        F.count(e).alias("n"), r(F.avg(F.abs(e))).alias("mae"), r(F.sqrt(F.avg(e * e))).alias("rmse"), r(F.avg(e)).alias("bias"),
-        r(F.avg(y)).alias("mean_actual"), r(F.avg(pred)).alias("mean_pred"), (F.count(e) < small).alias("small_sample"),
+        F.count(e).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"),
+        F.avg(y).alias("mean_actual"), F.avg(pred).alias("mean_pred"), (F.count(e) < small).alias("small_sample"),
     )
 
 
@@ -44,12 +48,11 @@ def report_by_flags(df: DataFrame, flags: list[str], y: str = "y", pred: str = "
     return report_by_labels(df.withColumn("_flags", names), "_flags", y, pred, **how)
 
 
-def compare_by(df: DataFrame, by: str, y: str, a: str, b: str, digits: int = 6) -> DataFrame:
+def compare_by(df: DataFrame, by: str, y: str, a: str, b: str) -> DataFrame:
     """Two models per group: n, both MAE, mean_actual, both MAE relative to it (null if not positive), and whether a is worse."""
-    r = lambda c: rounded(c, digits)
     sums = df.groupBy(by).agg(F.count("*").alias("n"), F.avg(F.abs(F.col(y) - F.col(a))).alias("_a"), F.avg(F.abs(F.col(y) - F.col(b))).alias("_b"), F.avg(y).alias("_m"))
     m = F.when(F.col("_m") > 0, F.col("_m"))
-    return sums.select(by, "n", r("_a").alias("mae_a"), r("_b").alias("mae_b"), r("_m").alias("mean_actual"), r(F.col("_a") / m).alias("rel_a"), r(F.col("_b") / m).alias("rel_b"), (F.col("_a") > F.col("_b")).alias("a_worse"))
+    return sums.select(by, "n", F.col("_a").alias("mae_a"), F.col("_b").alias("mae_b"), F.col("_m").alias("mean_actual"), (F.col("_a") / m).alias("rel_a"), (F.col("_b") / m).alias("rel_b"), (F.col("_a") > F.col("_b")).alias("a_worse"))
 
 
 def night_rollup(df: DataFrame, hour: str, y: str, a: str, b: str, night: tuple[int, ...] = NIGHT) -> DataFrame:
@@ -60,33 +63,33 @@ def night_rollup(df: DataFrame, hour: str, y: str, a: str, b: str, night: tuple[
 def win_table(df: DataFrame, by: str, y: str, a: str, b: str) -> DataFrame:
     """Per group the MAE pair, b - a, the better model and whether the sample is small."""
     out = compare_by(df, by, y, a, b)
-    return out.select(by, "n", "mae_a", "mae_b", rounded(F.col("mae_b") - F.col("mae_a"), 5).alias("delta"), F.when(F.col("mae_a") < F.col("mae_b"), "a").otherwise("b").alias("winner"), (F.col("n") < SMALL).alias("small_sample"))
+    return out.select(by, "n", "mae_a", "mae_b", (F.col("mae_b") - F.col("mae_a")).alias("delta"), F.when(F.col("mae_a") < F.col("mae_b"), "a").otherwise("b").alias("winner"), (F.col("n") < SMALL).alias("small_sample"))
 
 
 def window_bias(df: DataFrame, month: str, y: str, pred: str, last_month: int = 9) -> DataFrame:
     """How the MAE of a year's first months differs from the whole year's."""
     e, m = F.abs(F.col(y) - F.col(pred)), F.col(month)
-    cut = lambda c: rounded(F.avg(F.when(c, e)), 6)
+    cut = lambda c: F.avg(F.when(c, e))
     out = df.agg(
-        F.count(e).alias("n"), rounded(F.avg(e), 6).alias("mae_all"), cut(m <= last_month).alias("mae_first"), cut(m > last_month).alias("mae_rest"),
+        F.count(e).alias("n"), F.avg(e).alias("mae_all"), cut(m <= last_month).alias("mae_first"), cut(m > last_month).alias("mae_rest"),
         F.count_if(m <= last_month).alias("n_first"), F.count_if(m > last_month).alias("n_rest"),
     )
-    return out.withColumn("delta", rounded(F.col("mae_first") - F.col("mae_all"), 5))
+    return out.withColumn("delta", F.col("mae_first") - F.col("mae_all"))
 
 
 def flag_effect(df: DataFrame, flag: str, time_col: str, y: str, a: str, b: str) -> DataFrame:
     """One row: both models' MAE with and without a 0/1 flag, how many rows and distinct days bear it, and by how much a's MAE grows."""
-    mae = lambda p, v: rounded(F.avg(F.when(F.col(flag) == v, F.abs(F.col(y) - F.col(p)))), 6)
+    mae = lambda p, v: F.avg(F.when(F.col(flag) == v, F.abs(F.col(y) - F.col(p))))
     out = df.agg(
         F.count_if(F.col(flag) == 1).alias("n_flagged"), F.count_if(F.col(flag) == 0).alias("n_rest"), F.count_distinct(F.when(F.col(flag) == 1, F.to_date(time_col))).alias("n_days"),
         mae(a, 1).alias("mae_a_flagged"), mae(a, 0).alias("mae_a_rest"), mae(b, 1).alias("mae_b_flagged"), mae(b, 0).alias("mae_b_rest"),
     )
-    return out.withColumn("delta", rounded(F.col("mae_a_flagged") - F.col("mae_a_rest"), 5))
+    return out.withColumn("delta", F.col("mae_a_flagged") - F.col("mae_a_rest"))
 
 
 def by_day_of_flag(df: DataFrame, flag: str, name: str, time_col: str, y: str, a: str, b: str) -> DataFrame:
     """(day, name, n, mae_a, mae_b) of the flagged days."""
-    mae = lambda p: rounded(F.avg(F.abs(F.col(y) - F.col(p))), 6)
+    mae = lambda p: F.avg(F.abs(F.col(y) - F.col(p)))
     return df.where(F.col(flag) == 1).groupBy(F.to_date(time_col).alias("day")).agg(F.array_join(F.sort_array(F.collect_set(name)), ", ").alias("name"), F.count("*").alias("n"), mae(a).alias("mae_a"), mae(b).alias("mae_b"))
 
 
@@ -112,17 +115,16 @@ def clip_audit(df: DataFrame, y: str, pred: str) -> DataFrame:
     raw, fixed = F.col(pred), F.greatest(F.lit(0.0), F.col(pred))
     e, g, neg = F.col(y) - raw, F.col(y) - fixed, F.col(pred) < 0
     return df.agg(
-        F.count(e).alias("n"), F.count_if(neg).alias("n_negative"), rounded(100.0 * F.count_if(neg) / F.nullif(F.count(e), F.lit(0)), 6).alias("negative_pct"),
-        rounded(F.min(raw), 6).alias("min_pred"), rounded(F.avg(F.when(neg, F.col(y))), 6).alias("mean_actual_negative"),
-        rounded(F.avg(F.abs(e)), 6).alias("mae_raw"), rounded(F.avg(F.abs(g)), 6).alias("mae_clipped"), rounded(F.sqrt(F.avg(e * e)), 6).alias("rmse_raw"), rounded(F.sqrt(F.avg(g * g)), 6).alias("rmse_clipped"),
+        F.count(e).alias("n"), F.count_if(neg).alias("n_negative"), (100.0 * F.count_if(neg) / F.nullif(F.count(e), F.lit(0))).alias("negative_pct"),
+        F.min(raw).alias("min_pred"), F.avg(F.when(neg, F.col(y))).alias("mean_actual_negative"),
+        F.avg(F.abs(e)).alias("mae_raw"), F.avg(F.abs(g)).alias("mae_clipped"), F.sqrt(F.avg(e * e)).alias("rmse_raw"), F.sqrt(F.avg(g * g)).alias("rmse_clipped"),
         F.bool_and(F.abs(g) <= F.abs(e) + 1e-9).alias("never_worse"), F.count_if(F.abs(g) != F.abs(e)).alias("n_changed"),
     )
 
 
 def seed_summary(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """Mean, population standard deviation, least and greatest over seeds."""
-    r = lambda c: rounded(c, 6)
-    return df.groupBy(*by).agg(r(F.avg(value)).alias("mean"), r(F.stddev_pop(value)).alias("sd"), r(F.min(value)).alias("least"), r(F.max(value)).alias("greatest"), F.count(value).alias("n"))
+    return df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.min(value).alias("least"), F.max(value).alias("greatest"), F.count(value).alias("n"))
 
 
 def season_of(month: Column) -> Column:

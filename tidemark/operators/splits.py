@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import rounded
 
 
 class FinalTestLeak(ValueError):
@@ -95,5 +94,5 @@ def complete_rows(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFra
     full = F.lit(True)
     for c in columns:
         full &= F.col(c).isNotNull()
-    stats = df.agg(F.count("*").alias("n_before"), F.count_if(full).alias("n_after"), rounded(100.0 * F.count_if(full) / F.nullif(F.count("*"), F.lit(0)), 6).alias("kept_pct"))
+    stats = df.agg(F.count("*").alias("n_before"), F.count_if(full).alias("n_after"), (100.0 * F.count_if(full) / F.nullif(F.count("*"), F.lit(0))).alias("kept_pct"))
     return df.where(full), stats

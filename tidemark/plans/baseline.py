@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.numbers import round_doubles
+from tidemark.operators.segments import metrics
 from tidemark.session import table
-from tidemark.functions.numbers import rounded, rounded_sql
 
 CUT = "2024-01-22 00:00:00"
 
@@ -28,30 +29,21 @@ def predict_group_mean(df: DataFrame, means: DataFrame, train: DataFrame, keys:
     return df.join(means, keys, "left").join(F.broadcast(fallback)).withColumn("pred", F.coalesce("baseline_pred", "_all")).drop("_all", "baseline_pred")
 
 
-def metrics(df: DataFrame, target: str = "y", pred: str = "pred") -> DataFrame:
-    """n, MAE, RMSE and R2 = 1 - SSE / SST in one pass of sums."""
-    err = F.col(target) - F.col(pred)
-    sums = df.agg(
-        F.count(err).alias("n"), F.avg(F.abs(err)).alias("mae"), F.avg(err * err).alias("mse"), F.var_pop(target).alias("var")
-    )
-    return sums.select("n", rounded("mae", 6).alias("mae"), rounded(F.sqrt("mse"), 6).alias("rmse"), rounded(1 - F.col("mse") / F.nullif("var", F.lit(0.0)), 6).alias("r2"))
-
-
 def baseline_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = hourly(table(spark, sf_dir, "events")).select("hour_ts", "y", F.hour("hour_ts").alias("hour"), F.weekday("hour_ts").alias("day_of_week"))
     train, test = df.where(F.col("hour_ts") < F.lit(CUT).cast("timestamp_ntz")), df.where(F.col("hour_ts") >= F.lit(CUT).cast("timestamp_ntz"))
     keys = ["hour", "day_of_week"]
-    return metrics(predict_group_mean(test, fit_group_mean(train, keys), train, keys))
+    return round_doubles(metrics(predict_group_mean(test, fit_group_mean(train, keys), train, keys)))
 
 
 QUERIES = {"baseline_forecast": baseline_forecast}
 ORACLE_SQL = {
-    "baseline_forecast": rounded_sql(f"""
+    "baseline_forecast": f"""
 WITH h AS (SELECT date_trunc('hour', ts) AS hour_ts, sum(value) AS y FROM events WHERE ts IS NOT NULL GROUP BY 1),
 f AS (SELECT *, hour(hour_ts) AS hour, (dayofweek(hour_ts) + 6) % 7 AS day_of_week FROM h),
 tr AS (SELECT * FROM f WHERE hour_ts < TIMESTAMP '{CUT}'),
 m AS (SELECT hour, day_of_week, avg(y) AS p FROM tr GROUP BY 1, 2),
 s AS (SELECT f.y, coalesce(m.p, (SELECT avg(y) FROM tr)) AS pred FROM f LEFT JOIN m USING (hour, day_of_week) WHERE hour_ts >= TIMESTAMP '{CUT}')
 SELECT count(y - pred) AS n, round(avg(abs(y - pred)), 6) AS mae, round(sqrt(avg((y - pred) * (y - pred))), 6) AS rmse,
-  round(1 - avg((y - pred) * (y - pred)) / nullif(var_pop(y), 0), 6) AS r2 FROM s"""),
+  round(1 - avg((y - pred) * (y - pred)) / nullif(var_pop(y), 0), 6) AS r2 FROM s""",
 }

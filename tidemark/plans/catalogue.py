@@ -15,8 +15,9 @@ from tidemark.functions import calendar as C
 from tidemark.functions import labels as L
 from tidemark.functions import numbers as N
 from tidemark.operators import bootstrap, collapse, drift, explore, lags, quality, ridge, segments, splits
+from tidemark.operators.segments import metrics
 from tidemark.plans import policy, scoring
-from tidemark.plans.baseline import CUT, fit_group_mean, hourly, metrics, predict_group_mean
+from tidemark.plans.baseline import CUT, fit_group_mean, hourly, predict_group_mean
 from tidemark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,11 +28,13 @@ PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 SCALE = {"1-URGENT": 4, "2-HIGH": 3, "3-MEDIUM": 2, "5-LOW": 0}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, digits: int | dict[str, int] | None = 6):
+    """Registers a query. Operators work in full precision; here their doubles are rounded, as in the SQL (None: left as they are)."""
+
     def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
+        QUERIES[name] = f if digits is None else lambda spark, sf_dir: N.round_doubles(f(spark, sf_dir), digits)
         if sql is not None:
-            ORACLE_SQL[name] = N.rounded_sql(sql)
+            ORACLE_SQL[name] = sql
         return f
 
     return add
@@ -91,8 +94,7 @@ REPORT = "count(pred - y) AS n, round(avg(abs(pred - y)), 6) AS mae, round(sqrt(
 @query(
     "schema_coercion",
     """SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, TRY_CAST(event_type AS DOUBLE) AS not_a_number,
-  TRY_CAST(left(CAST(ts AS VARCHAR), 19) AS TIMESTAMP) AS t, coalesce(event_type, '') AS label FROM events WHERE ts IS NOT NULL""",
-)
+  TRY_CAST(left(CAST(ts AS VARCHAR), 19) AS TIMESTAMP) AS t, coalesce(event_type, '') AS label FROM events WHERE ts IS NOT NULL""", digits=None)
 def schema_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = events(spark, sf_dir).where("ts is not null").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.col("event_type").alias("not_a_number"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("t"), F.col("event_type").alias("label"))
     return quality.coerce(text, timestamps=["t"], doubles=["k", "not_a_number"], strings=["label"])
@@ -109,8 +111,7 @@ def invalid_to_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "finite_and_clip",
-    "SELECT event_id, greatest(0.0::DOUBLE, value - 50) AS clipped, (value IS NOT NULL AND isfinite(value)) AS finite FROM events",
-)
+    "SELECT event_id, greatest(0.0::DOUBLE, value - 50) AS clipped, (value IS NOT NULL AND isfinite(value)) AS finite FROM events", digits=None)
 def finite_and_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", N.non_negative(F.col("value") - 50).alias("clipped"), N.is_finite(F.col("value")).alias("finite"))
 
@@ -188,11 +189,10 @@ def holiday_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH c AS (SELECT o_orderdate, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY ALL),
 m AS (SELECT o_orderdate, p, row_number() OVER (PARTITION BY o_orderdate ORDER BY n DESC, p) AS k FROM c)
 SELECT o.o_orderdate, round(quantile_cont(o_totalprice, 0.5), 4) AS price, count(*) AS n_obs, any_value(m.p) AS label_mode, string_agg(DISTINCT o_orderpriority, '; ' ORDER BY o_orderpriority) AS label_set, count(DISTINCT o_orderpriority)::INT AS label_n
-FROM orders o JOIN m ON m.o_orderdate = o.o_orderdate AND k = 1 GROUP BY 1""",
-)
+FROM orders o JOIN m ON m.o_orderdate = o.o_orderdate AND k = 1 GROUP BY 1""", digits=4)
 def collapse_orders_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = collapse.collapse(orders(spark, sf_dir), ["o_orderdate"], [], ["o_totalprice"], collapse.label_aggregates("o_orderpriority", "label"))
-    return out.select("o_orderdate", N.rounded("o_totalprice", 4).alias("price"), "n_obs", "label_mode", "label_set", "label_n")
+    return out.select("o_orderdate", F.col("o_totalprice").alias("price"), "n_obs", "label_mode", "label_set", "label_n")
 
 
 @query(
@@ -200,8 +200,9 @@ def collapse_orders_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT o_orderdate, " + ", ".join(f"max((o_orderpriority = '{p}')::INT) AS {L.slug_of('p ' + p)}" for p in PRIORITIES) + ", max(CASE o_orderpriority WHEN '1-URGENT' THEN 4 WHEN '2-HIGH' THEN 3 WHEN '3-MEDIUM' THEN 2 WHEN '5-LOW' THEN 0 ELSE 2 END) AS severity FROM orders GROUP BY 1",
 )
 def label_multi_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hot = [F.max((F.col("o_orderpriority") == p).cast("int")).alias(L.slug_of(f"p {p}")) for p in PRIORITIES]
-    return orders(spark, sf_dir).groupBy("o_orderdate").agg(*hot, F.max(L.severity(F.col("o_orderpriority"), SCALE)).alias("severity"))
+    found = collapse.label_aggregates("o_orderpriority", "label", PRIORITIES, SCALE, "p")
+    out = orders(spark, sf_dir).groupBy("o_orderdate").agg(*found).withColumnRenamed("label_severity", "severity")
+    return out.select("o_orderdate", *(L.slug_of(f"p {p}") for p in PRIORITIES), "severity")
 
 
 @query(
@@ -324,12 +325,12 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("baseline_table", f"WITH {HOURS} SELECT hour, day_of_week, round(avg(y), 6) AS baseline_pred FROM hours WHERE hour_ts < TIMESTAMP '{CUT}' GROUP BY ALL")
 def baseline_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = hours(spark, sf_dir).where(F.col("hour_ts") < F.lit(CUT).cast("timestamp_ntz"))
-    return fit_group_mean(train, ["hour", "day_of_week"]).withColumn("baseline_pred", N.rounded("baseline_pred", 6))
+    return fit_group_mean(train, ["hour", "day_of_week"])
 
 
 @query("baseline_predict", f"WITH {SCORED_HOURS} SELECT hour_ts, round(y, 6) AS y, round(pred, 6) AS pred FROM s")
 def baseline_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored_hours(spark, sf_dir).select("hour_ts", N.rounded("y", 6).alias("y"), N.rounded("pred", 6).alias("pred"))
+    return scored_hours(spark, sf_dir).select("hour_ts", F.col("y").alias("y"), F.col("pred").alias("pred"))
 
 
 @query("segment_by_hour", f"WITH {SCORED_HOURS} SELECT hour, {REPORT} FROM s GROUP BY 1")
@@ -378,7 +379,7 @@ def zero_sample_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {SCORED_HOURS}, r AS (SELECT hour, avg(abs(pred - y)) AS mae FROM s GROUP BY 1) SELECT arg_max(hour, mae) AS worst, arg_min(hour, mae) AS best FROM r",
 )
 def worst_and_best_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.report(scored_hours(spark, sf_dir), ["hour"], digits=12).agg(F.max_by("hour", "mae").alias("worst"), F.min_by("hour", "mae").alias("best"))
+    return segments.report(scored_hours(spark, sf_dir), ["hour"]).agg(F.max_by("hour", "mae").alias("worst"), F.min_by("hour", "mae").alias("best"))
 
 
 _HOLIDAYS = f"f AS (SELECT *, {C.holiday_sql('day')} AS holiday_name, ({C.holiday_sql('day')} <> 'None')::INT AS is_holiday, (SELECT avg(y) FROM tr) AS base FROM s)"
@@ -390,14 +391,14 @@ def _holiday_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mae(p: str, v: int) -> str:
-    return f"round(avg(abs(y - {p})) FILTER (is_holiday = {v}), 6)"
+    return f"avg(abs(y - {p})) FILTER (is_holiday = {v})"
 
 
 @query(
     "holiday_effect",
     f"""WITH {SCORED_DAYS}, {_HOLIDAYS}, r AS (SELECT count(*) FILTER (is_holiday = 1) AS n_flagged, count(*) FILTER (is_holiday = 0) AS n_rest, count(DISTINCT day::DATE) FILTER (is_holiday = 1) AS n_days,
   {_mae("pred", 1)} AS mae_a_flagged, {_mae("pred", 0)} AS mae_a_rest, {_mae("base", 1)} AS mae_b_flagged, {_mae("base", 0)} AS mae_b_rest FROM f)
-SELECT *, round(mae_a_flagged - mae_a_rest, 5) AS delta FROM r""",
+SELECT n_flagged, n_rest, n_days, round(mae_a_flagged, 6) AS mae_a_flagged, round(mae_a_rest, 6) AS mae_a_rest, round(mae_b_flagged, 6) AS mae_b_flagged, round(mae_b_rest, 6) AS mae_b_rest, round(mae_a_flagged - mae_a_rest, 6) AS delta FROM r""",
 )
 def holiday_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.flag_effect(_holiday_days(spark, sf_dir), "is_holiday", "day", "y", "pred", "base")
@@ -413,7 +414,7 @@ def categories_without_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.categories_without_rows(days(spark, sf_dir), "labels", ["1-URGENT", "0-NEVER", "5-LOW", "6-NONE"])
 
 
-@query("worst_months", f"WITH {SCORED_DAYS} SELECT month, {REPORT} FROM s GROUP BY 1 ORDER BY mae DESC, month LIMIT 3")
+@query("worst_months", f"WITH {SCORED_DAYS} SELECT month, {REPORT} FROM s GROUP BY 1 ORDER BY avg(abs(pred - y)) DESC, month LIMIT 3")
 def worst_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.top_segments(scored_days(spark, sf_dir), "month", "y", "pred")
 
@@ -446,10 +447,9 @@ def pivot_hour_dow(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "month_year_mean",
     """WITH g AS (SELECT DISTINCT year(o_orderdate)::INT AS year, m::INT AS month FROM orders, (SELECT unnest(range(1, 13)) AS m)), v AS (SELECT year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, round(avg(o_totalprice), 4) AS mean, count(*) AS n FROM orders GROUP BY ALL)
-SELECT year, month, mean, coalesce(n, 0) AS n FROM g LEFT JOIN v USING (year, month)""",
-)
+SELECT year, month, mean, coalesce(n, 0) AS n FROM g LEFT JOIN v USING (year, month)""", digits=4)
 def month_year_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explore.month_year_mean(orders(spark, sf_dir), "o_orderdate", "o_totalprice").withColumn("mean", N.rounded("mean", 4))
+    return explore.month_year_mean(orders(spark, sf_dir), "o_orderdate", "o_totalprice")
 
 
 @query("null_counts", "SELECT count(*) FILTER (o_totalprice IS NULL) AS null_o_totalprice, count(*) FILTER (o_orderdate IS NULL) AS null_o_orderdate FROM orders")
@@ -470,9 +470,9 @@ def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.value_counts(events(spark, sf_dir), "event_type")
 
 
-@query("yearly_stats", "SELECT year(o_orderdate)::INT AS year, round(avg(o_totalprice), 4) AS mean, round(quantile_cont(o_totalprice, 0.5), 4) AS median, round(stddev_samp(o_totalprice), 4) AS sd, count(o_totalprice) AS n FROM orders GROUP BY 1")
+@query("yearly_stats", "SELECT year(o_orderdate)::INT AS year, round(avg(o_totalprice), 4) AS mean, round(quantile_cont(o_totalprice, 0.5), 4) AS median, round(stddev_samp(o_totalprice), 4) AS sd, count(o_totalprice) AS n FROM orders GROUP BY 1", digits=4)
 def yearly_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explore.yearly_stats(orders(spark, sf_dir), "o_orderdate", "o_totalprice").withColumns({c: N.rounded(c, 4) for c in ("mean", "median", "sd")})
+    return explore.yearly_stats(orders(spark, sf_dir), "o_orderdate", "o_totalprice")
 
 
 @query(
@@ -514,7 +514,7 @@ def night_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "win_table",
-    f"WITH {SCORED_HOURS}, r AS (SELECT day_of_week, {_PAIR} FROM s GROUP BY 1) SELECT day_of_week, n, round(a, 6) AS mae_a, round(b, 6) AS mae_b, round(round(b, 6) - round(a, 6), 5) AS delta, CASE WHEN round(a, 6) < round(b, 6) THEN 'a' ELSE 'b' END AS winner, n < 100 AS small_sample FROM r",
+    f"WITH {SCORED_HOURS}, r AS (SELECT day_of_week, {_PAIR} FROM s GROUP BY 1) SELECT day_of_week, n, round(a, 6) AS mae_a, round(b, 6) AS mae_b, round(b - a, 6) AS delta, CASE WHEN a < b THEN 'a' ELSE 'b' END AS winner, n < 100 AS small_sample FROM r",
 )
 def win_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.win_table(scored_hours(spark, sf_dir), "day_of_week", "y", "pred", "base")
@@ -522,8 +522,8 @@ def win_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "window_bias",
-    f"""WITH {SCORED_DAYS}, r AS (SELECT count(y - pred) AS n, round(avg(abs(y - pred)), 6) AS mae_all, round(avg(abs(y - pred)) FILTER (month <= 9), 6) AS mae_first, round(avg(abs(y - pred)) FILTER (month > 9), 6) AS mae_rest, count(*) FILTER (month <= 9) AS n_first, count(*) FILTER (month > 9) AS n_rest FROM s)
-SELECT *, round(mae_first - mae_all, 5) AS delta FROM r""",
+    f"""WITH {SCORED_DAYS}, r AS (SELECT count(y - pred) AS n, avg(abs(y - pred)) AS a, avg(abs(y - pred)) FILTER (month <= 9) AS f, avg(abs(y - pred)) FILTER (month > 9) AS z, count(*) FILTER (month <= 9) AS n_first, count(*) FILTER (month > 9) AS n_rest FROM s)
+SELECT n, round(a, 6) AS mae_all, round(f, 6) AS mae_first, round(z, 6) AS mae_rest, n_first, n_rest, round(f - a, 6) AS delta FROM r""",
 )
 def window_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.window_bias(scored_days(spark, sf_dir), "month", "y", "pred")
@@ -589,7 +589,7 @@ def _user_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rounded_lags(df: DataFrame) -> DataFrame:
-    return df.select("user_id", "t", *(N.rounded(f"lag_{k}h", 6).alias(f"lag_{k}h") for k in (1, 24, 168)))
+    return df.select("user_id", "t", *(f"lag_{k}h" for k in (1, 24, 168)))
 
 
 @query("lag_timestamp", _LAG_SQL)
@@ -608,7 +608,7 @@ def lag_range_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def lag_row_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lags.lag_by_row(_user_hours(spark, sf_dir), "t", "v", [1, 24], ["user_id"])
-    return out.select("user_id", "t", *(N.rounded(f"shift_{k}", 6).alias(f"shift_{k}") for k in (1, 24)))
+    return out.select("user_id", "t", *(f"shift_{k}" for k in (1, 24)))
 
 
 @query(
@@ -648,8 +648,8 @@ q AS (SELECT list_distinct(quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7,
 b AS (SELECT year, len(list_filter((SELECT e FROM q), lambda z: z <= v)) AS bin, count(*) AS n FROM x GROUP BY ALL),
 t AS (SELECT year, sum(n) AS total FROM b GROUP BY 1), g AS (SELECT year, total, unnest(range(0, len((SELECT e FROM q)) + 1)) AS bin FROM t),
 s AS (SELECT g.year, g.bin, greatest(coalesce(n, 0) / total, 1e-6) AS share FROM g LEFT JOIN b ON b.year = g.year AND b.bin = g.bin),
-r AS (SELECT s.year, round(sum((s.share - o.share) * ln(s.share / o.share)), 6) AS psi FROM s JOIN s o ON o.year = 1996 AND o.bin = s.bin WHERE s.year <> 1996 GROUP BY 1)
-SELECT year, psi, CASE WHEN psi < 0.1 THEN 'stable' WHEN psi < 0.25 THEN 'moderate' ELSE 'shifted' END AS verdict FROM r""",
+r AS (SELECT s.year, sum((s.share - o.share) * ln(s.share / o.share)) AS psi FROM s JOIN s o ON o.year = 1996 AND o.bin = s.bin WHERE s.year <> 1996 GROUP BY 1)
+SELECT year, round(psi, 6) AS psi, CASE WHEN psi < 0.1 THEN 'stable' WHEN psi < 0.25 THEN 'moderate' ELSE 'shifted' END AS verdict FROM r""",
 )
 def psi_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.psi(orders(spark, sf_dir).select(F.year("o_orderdate").alias("year"), "o_totalprice"), "o_totalprice", "year", 1996)
@@ -664,8 +664,7 @@ N_DRAWS = 200
 o AS (SELECT *, row_number() OVER (ORDER BY block) - 1 AS nth FROM b), k AS (SELECT count(*) AS blocks FROM b),
 p AS (SELECT draw, ('0x' || substr(md5('7-' || draw || '-' || pick), 1, 8))::BIGINT % blocks AS nth FROM k, (SELECT unnest(range(0, {N_DRAWS})) AS draw) d, LATERAL (SELECT unnest(range(0, blocks)) AS pick) q),
 z AS (SELECT draw, (sum(c) - sum(a)) / sum(n) AS d FROM p JOIN o USING (nth) GROUP BY 1)
-SELECT count(d) AS n_draws, round(quantile_cont(d, 0.025), 4) AS ci_low, round(quantile_cont(d, 0.975), 4) AS ci_high, round(stddev_pop(d), 4) AS sd, round(100.0 * avg((d > 0)::INT::DOUBLE), 4) AS better_pct, (quantile_cont(d, 0.025) > 0 OR quantile_cont(d, 0.975) < 0) AS excludes_zero FROM z""",
-)
+SELECT count(d) AS n_draws, round(quantile_cont(d, 0.025), 4) AS ci_low, round(quantile_cont(d, 0.975), 4) AS ci_high, round(stddev_pop(d), 4) AS sd, round(100.0 * avg((d > 0)::INT::DOUBLE), 4) AS better_pct, (quantile_cont(d, 0.025) > 0 OR quantile_cont(d, 0.975) < 0) AS excludes_zero FROM z""", digits=4)
 def block_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = splits.time_split(days(spark, sf_dir), "day", TRAIN_UNTIL, VALIDATION_UNTIL)[0]
     df = scored_days(spark, sf_dir).join(F.broadcast(train.agg(F.avg("y").alias("base")))).withColumn("block", F.date_trunc("MONTH", "day"))
@@ -684,7 +683,7 @@ def _xy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ridge_1d_closed_form", f"WITH {_XY}, {_RIDGE_1D} SELECT alpha, round(slope, 6) AS slope, round(my - slope * mx, 6) AS intercept FROM r")
 def ridge_1d_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ridge.closed_form(_xy(spark, sf_dir).where(F.col("l_shipdate") < F.lit("1999-01-01").cast("timestamp_ntz")), "x", "y", ALPHAS_1D)
-    return out.select("alpha", N.rounded("slope", 6).alias("slope"), N.rounded("intercept", 6).alias("intercept"))
+    return out.select("alpha", F.col("slope").alias("slope"), F.col("intercept").alias("intercept"))
 
 
 @query(
@@ -694,7 +693,7 @@ def ridge_1d_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alpha_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, validation, _ = splits.time_split(_xy(spark, sf_dir), "l_shipdate", TRAIN_UNTIL, VALIDATION_UNTIL)
     fits = ridge.closed_form(train, "x", "y", ALPHAS_1D)
-    return validation.join(F.broadcast(fits)).groupBy("alpha").agg(N.rounded(F.avg(F.abs(F.col("y") - (F.col("intercept") + F.col("slope") * F.col("x")))), 6).alias("mae"))
+    return validation.join(F.broadcast(fits)).groupBy("alpha").agg(F.avg(F.abs(F.col("y") - (F.col("intercept") + F.col("slope") * F.col("x")))).alias("mae"))
 
 
 @query("ridge_pipeline_metrics")
@@ -707,7 +706,7 @@ def ridge_pipeline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("log_target_probe", "SELECT event_type, round(exp(avg(ln(1 + value))) - 1, 6) AS back FROM events WHERE value > -1 GROUP BY 1")
 def log_target_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).where("value > -1").groupBy("event_type").agg(N.rounded(F.expm1(F.avg(F.log1p("value"))), 6).alias("back"))
+    return events(spark, sf_dir).where("value > -1").groupBy("event_type").agg(F.expm1(F.avg(F.log1p("value"))).alias("back"))
 
 
 @query(
@@ -746,7 +745,7 @@ def score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = scoring.warnings(scoring.features(scoring.validate(_requests(spark, sf_dir))), "2024-01-05 00:00:00", "2024-01-25 00:00:00")
     out = scoring.respond(df.withColumn("raw_prediction", 3 * F.col("temperature_celsius") + F.coalesce("rain_1h_mm", F.lit(0.0))), {"policy_id": "non_negative_projection"})
     errors = F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e["field"], e["code"])), ",")
-    return out.select("request_id", errors.alias("errors"), F.array_join("warnings", ",").alias("warnings"), "holiday_name", "weather_family", N.rounded("prediction", 6).alias("prediction"), "clipped")
+    return out.select("request_id", errors.alias("errors"), F.array_join("warnings", ",").alias("warnings"), "holiday_name", "weather_family", F.col("prediction").alias("prediction"), "clipped")
 
 
 # --- windows (batch side of the streaming operators) ----------------------------------------------------------------
@@ -755,8 +754,7 @@ def score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "window_collapse",
     """WITH w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS b, * FROM events), c AS (SELECT b, event_type AS p, count(*) AS n FROM w GROUP BY ALL), m AS (SELECT b, p, row_number() OVER (PARTITION BY b ORDER BY n DESC, p) AS k FROM c)
-SELECT w.b AS start, w.b + INTERVAL 6 HOUR AS "end", count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(sum(value), 4) AS total, any_value(m.p) AS label_mode, string_agg(DISTINCT event_type, '; ' ORDER BY event_type) AS label_set FROM w JOIN m ON m.b = w.b AND k = 1 GROUP BY w.b""",
-)
+SELECT w.b AS start, w.b + INTERVAL 6 HOUR AS "end", count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(sum(value), 4) AS total, any_value(m.p) AS label_mode, string_agg(DISTINCT event_type, '; ' ORDER BY event_type) AS label_set FROM w JOIN m ON m.b = w.b AND k = 1 GROUP BY w.b""", digits={"total": 4})
 def window_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.streaming.windows import collapse_windows
 
@@ -767,8 +765,7 @@ def window_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "session_windows",
     """WITH l AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, value ROWS UNBOUNDED PRECEDING) AS k FROM l)
-SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 4 HOUR AS "end", count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k""",
-)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 4 HOUR AS "end", count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k""", digits=4)
 def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.streaming.windows import sessions
 

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import bootstrap, drift, explore, lags, ridge, segments, splits
-from tidemark.plans.baseline import fit_group_mean, metrics, predict_group_mean
+from tidemark.operators.segments import metrics
+from tidemark.plans.baseline import fit_group_mean, predict_group_mean
 
 #: Fixed values.
 SEEDS = (11, 23, 37, 53, 71)

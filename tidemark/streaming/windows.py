@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.collapse import label_aggregates
-from tidemark.functions.numbers import rounded
 
 
 def with_event_time(stream: DataFrame, time_col: str, delay: str) -> DataFrame:
@@ -20,13 +19,13 @@ def with_event_time(stream: DataFrame, time_col: str, delay: str) -> DataFrame:
 def collapse_windows(df: DataFrame, time_col: str, width: str, label: str, value: str, slide: str | None = None) -> DataFrame:
     """One row a window: rows, median and sum of the value, mode and set of the label. Batch or stream."""
     window = F.window(time_col, width, slide) if slide else F.window(time_col, width)
-    out = df.groupBy(window.alias("w")).agg(F.count("*").alias("n"), rounded(F.median(value), 6).alias("median"), rounded(F.sum(value), 4).alias("total"), *label_aggregates(label, "label")[:2])
+    out = df.groupBy(window.alias("w")).agg(F.count("*").alias("n"), F.median(value).alias("median"), F.sum(value).alias("total"), *label_aggregates(label, "label")[:2])
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "median", "total", "label_mode", "label_set")
 
 
 def sessions(df: DataFrame, time_col: str, gap: str, by: str, value: str) -> DataFrame:
     """One row a session: times of one key that are less than the gap apart."""
-    out = df.groupBy(F.session_window(time_col, gap).alias("w"), by).agg(F.count("*").alias("n"), rounded(F.sum(value), 4).alias("total"))
+    out = df.groupBy(F.session_window(time_col, gap).alias("w"), by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return out.select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total")
 
 

@@ -83,7 +83,8 @@ def slug(c: Column) -> Column:
 
 
 def slug_of(text: str) -> str:
-    return re.sub(r"[^0-9a-zA-Z]+", "_", text).strip("_").lower()
+    """The same for a name on the driver."""
+    return "_".join(re.findall("[0-9a-z]+", text.lower()))
 
 
 def main_columns(categories=tuple(MAIN_SEVERITY), prefix: str = "wm") -> list[str]:

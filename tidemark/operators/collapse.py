@@ -48,3 +48,18 @@ def collapse_weather(raw: DataFrame) -> DataFrame:
 def add_extreme_flags(df: DataFrame, categories: tuple[str, ...] = L.EXTREME, prefix: str = "wm") -> DataFrame:
     flags = {f"is_extreme_{L.slug_of(c)}": F.col(f"{prefix}_{L.slug_of(c)}").cast("int") for c in categories}
     return df.withColumns(flags).withColumn("is_extreme_weather", F.greatest(*(F.col(c) for c in flags)))
+
+
+#: The features of a model of traffic, by how they enter it.
+CATEGORICAL = ["hour_dow", "month", "weather_main_mode", "weather_family"]
+NUMERIC = ["temp", "rain_1h", "snow_1h", "clouds_all", "weather_severity"]
+BINARY = ["is_holiday", *L.main_columns()]
+
+
+def feature_columns(df: DataFrame) -> DataFrame:
+    """The 21 feature columns of a frame, in order; KeyError names those that it lacks."""
+    wanted = [*CATEGORICAL, *NUMERIC, *BINARY]
+    missing = [c for c in wanted if c not in df.columns]
+    if missing:
+        raise KeyError(f"missing features: {', '.join(missing)}")
+    return df.select(*wanted)

@@ -1,17 +1,19 @@
-"""Ridge regression with preprocessing that learns from training rows alone."""
+"""Ridge regression with preprocessing that learns from training rows alone.
+
+Two aggregations over the training rows give all that a model needs: counts, medians and means, then sums, products and, by grouping sets, the
+counts of pairs of categories. From these few numbers the driver solves for any number of penalties. A model is plain
+numbers, saved as JSON; it predicts by column expressions, without Python workers.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
+from itertools import combinations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import LinearRegression
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.segments import metrics
-
 #: The grid that tuning goes through, and the wider one of the sensitivity study.
 ALPHAS = (0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0)
 WIDE_ALPHAS = (0.0, 1e-06, 1e-05, 0.0001, *ALPHAS)
@@ -19,7 +21,7 @@ WIDE_ALPHAS = (0.0, 1e-06, 1e-05, 0.0001, *ALPHAS)
 
 @dataclass
 class Ridge:
-    """A fitted model: medians and scales of the training rows, and the pipeline after them."""
+    """A fitted model: medians, means and scales of the training rows, a weight for each scaled number, 0/1 column and level of a category."""
 
     numeric: list[str]
     categorical: list[str]
@@ -27,62 +29,152 @@ class Ridge:
     medians: dict[str, float]
     means: dict[str, float]
     scales: dict[str, float]
-    model: PipelineModel
+    weights: dict[str, float]
+    levels: dict[str, dict[str, float]]
+    intercept: float
     alpha: float
     extra: dict = field(default_factory=dict)
 
-    def prepare(self, df: DataFrame) -> DataFrame:
-        """Nulls to the training median, then centred and scaled; categories as text."""
-        numeric = {f"_n_{c}": (F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])) - self.means[c]) / self.scales[c] for c in self.numeric}
-        texts = {f"_c_{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in self.categorical}
-        return df.withColumns(numeric | texts | {f"_b_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.binary})
+    def design(self, df: DataFrame) -> DataFrame:
+        """df with the columns that weights apply to: n_<column>, nulls filled with the training median, centred and scaled; c_<column>, the level; b_<column>, null being 0."""
+        numeric = {f"n_{c}": (F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])) - self.means[c]) / self.scales[c] for c in self.numeric}
+        texts = {f"c_{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in self.categorical}
+        return df.withColumns(numeric | texts | {f"b_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.binary})
+
+    def one_hot(self, df: DataFrame) -> DataFrame:
+        """design() with 0/1 columns h_<column>_<i> for the i-th level of the training rows; a level unseen there is all zeros."""
+        hot = {f"h_{c}_{i}": (F.coalesce(F.col(c).cast("string"), F.lit("")) == v).cast("int") for c in self.categorical for i, v in enumerate(sorted(self.levels[c]))}
+        return self.design(df).withColumns(hot) if hot else self.design(df)
+
+    def expression(self) -> Column:
+        """The prediction from the model's input columns; a level that training has not seen adds nothing."""
+        out = F.lit(self.intercept)
+        for c in self.numeric:
+            out = out + (F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])) - self.means[c]) / self.scales[c] * self.weights[c]
+        for c in self.binary:
+            out = out + F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * self.weights[c]
+        for c in self.categorical:
+            if self.levels[c]:
+                table = F.create_map(*(F.lit(x) for kv in sorted(self.levels[c].items()) for x in kv))
+                out = out + F.coalesce(F.try_element_at(table, F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(0.0))
+        return out
 
     def predict(self, df: DataFrame, name: str = "pred") -> DataFrame:
-        out = self.model.transform(self.prepare(df)).withColumn(name, F.col("_pred"))
-        return out.select(*dict.fromkeys([*df.columns, name]))
+        return df.withColumn(name, self.expression())
+
+    def to_dict(self) -> dict:
+        return asdict(self)
 
+    @staticmethod
+    def from_dict(d: dict) -> Ridge:
+        return Ridge(**d)
 
-def fit(train: DataFrame, y: str, numeric: list[str], categorical: list[str] = (), binary: list[str] = (), alpha: float = 1.0) -> Ridge:
-    """Minimises the squared error plus alpha times the squared weights, the intercept free.
 
-    Medians are exact and interpolate; scales are population standard deviations, 1 where that is zero; each category
-    keeps all its levels, and one unseen in training is all zeros. The solver divides the penalty by n and by the
-    target's population standard deviation, so regParam is alpha * sd / n.
+@dataclass
+class Moments:
+    """What two passes over training rows leave: enough to solve for any penalty."""
+
+    numeric: list[str]
+    categorical: list[str]
+    binary: list[str]
+    n: int
+    medians: dict[str, float]
+    means: dict[str, float]
+    scales: dict[str, float]
+    levels: list[tuple[str, str]]  # (column, level) in the order of the design's first columns
+    centre: np.ndarray  # mean of each column of the design
+    gram: np.ndarray  # centred products of the columns
+    with_y: np.ndarray
+    y_mean: float
+
+    def solve(self, alpha: float) -> Ridge:
+        """Minimises the squared error plus alpha times the squared weights, the intercept free; alpha 0 takes the least weights of all that fit best."""
+        g = self.gram + alpha * np.eye(len(self.gram))
+        w = np.linalg.solve(g, self.with_y) if alpha > 0 and len(g) else np.linalg.lstsq(g, self.with_y, rcond=1e-12)[0] if len(g) else np.zeros(0)
+        k = len(self.levels)
+        levels: dict[str, dict[str, float]] = {c: {} for c in self.categorical}
+        for (c, v), x in zip(self.levels, w[:k].tolist(), strict=True):
+            levels[c][v] = x
+        weights = dict(zip([*self.numeric, *self.binary], w[k:].tolist(), strict=True))
+        return Ridge(self.numeric, self.categorical, self.binary, self.medians, self.means, self.scales, weights, levels, float(self.y_mean - w @ self.centre), float(alpha))
+
+
+def moments(train: DataFrame, y: str, numeric: list[str], categorical: list[str] = (), binary: list[str] = (), exact: bool = True) -> Moments:
+    """Reads the training rows twice.
+
+    Medians are exact and interpolate, or with exact=False come from a sketch of bounded size; scales are population standard deviations, 1 where that is
+    zero; each category keeps all its levels. Numbers are summed as differences from their medians, the target from its mean,
+    so that large offsets cost no digits. Rows without a target are left out.
     """
     numeric, categorical, binary = list(numeric), list(categorical), list(binary)
     train = train.where(F.col(y).isNotNull())
-    first = train.agg(F.count("*").alias("n"), F.stddev_pop(y).alias("sd"), *(F.median(F.col(c).cast("double")).alias(f"m_{c}") for c in numeric)).first()
+    median = lambda c: F.median(F.col(c).cast("double")) if exact else F.percentile_approx(F.col(c).cast("double"), 0.5, 100_000)
+    first = train.agg(F.count("*").alias("n"), F.avg(y).alias("y"), *(median(c).alias(f"m_{c}") for c in numeric)).first()
     if not first.n:
         raise ValueError("no training rows")
     medians = {c: first[f"m_{c}"] if first[f"m_{c}"] is not None else 0.0 for c in numeric}
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in numeric}
-    means, scales = {}, {}
-    if numeric:
-        second = train.agg(*(F.avg(v).alias(f"a_{c}") for c, v in filled.items()), *(F.stddev_pop(v).alias(f"s_{c}") for c, v in filled.items())).first()
-        means = {c: second[f"a_{c}"] for c in numeric}
-        scales = {c: second[f"s_{c}"] if second[f"s_{c}"] and second[f"s_{c}"] > 1e-12 else 1.0 for c in numeric}
-    out = Ridge(numeric, categorical, binary, medians, means, scales, None, alpha)
-    stages = []
-    if categorical:
-        stages.append(StringIndexer(inputCols=[f"_c_{c}" for c in categorical], outputCols=[f"_i_{c}" for c in categorical], handleInvalid="keep", stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCols=[f"_i_{c}" for c in categorical], outputCols=[f"_o_{c}" for c in categorical], dropLast=True))
-    stages.append(VectorAssembler(inputCols=[*(f"_o_{c}" for c in categorical), *(f"_n_{c}" for c in numeric), *(f"_b_{c}" for c in binary)], outputCol="_x"))
-    penalty = alpha * (first.sd or 0.0) / first.n
-    stages.append(LinearRegression(featuresCol="_x", labelCol="_y", predictionCol="_pred", solver="normal", elasticNetParam=0.0, standardization=False, regParam=penalty))
-    out.model = Pipeline(stages=stages).fit(out.prepare(train).withColumn("_y", F.col(y).cast("double")))
-    return out
+    x = {f"x{i}": F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) - medians[c] for i, c in enumerate(numeric)}
+    x |= {f"x{len(numeric) + i}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for i, c in enumerate(binary)}
+    x["y"] = F.col(y).cast("double") - first.y
+    cats = {f"c{i}": F.coalesce(F.col(c).cast("string"), F.lit("")) for i, c in enumerate(categorical)}
+    rows = train.select(*(v.alias(k) for k, v in (x | cats).items()))
+    names, m = list(x), len(x) - 1
+    sums = rows.agg(*(F.sum(a).alias(f"s_{a}") for a in names), *(F.sum(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for i, a in enumerate(names) for b in names[i:])).first()
+    s = np.array([sums[f"s_{a}"] for a in names])
+    p = np.array([[sums[f"p_{min(a, b, key=names.index)}_{max(a, b, key=names.index)}"] for b in names] for a in names])
+
+    keys = list(cats)
+    found = []
+    if keys:
+        sets = [[a] for a in keys] + [list(two) for two in combinations(keys, 2)]
+        found = rows.groupingSets(sets, *keys).agg(F.grouping_id(*keys).alias("g"), F.count("*").alias("n"), *(F.sum(a).alias(f"s_{a}") for a in names)).collect()
+    id_of = lambda kept: sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in kept)
+    single = {(k, r[k]): r for k in keys for r in found if r.g == id_of([k])}
+    levels = sorted(single, key=lambda kv: (keys.index(kv[0]), kv[1]))
+    at, k = {kv: i for i, kv in enumerate(levels)}, len(levels)
+    gram, total, with_y = np.zeros((k + m, k + m)), np.zeros(k + m), np.zeros(k + m)
+    for kv, i in at.items():
+        r = single[kv]
+        gram[i, i] = total[i] = r.n
+        gram[i, k:] = gram[k:, i] = [r[f"s_{a}"] for a in names[:-1]]
+        with_y[i] = r.s_y
+    for a, b in combinations(keys, 2):
+        for r in found:
+            if r.g == id_of([a, b]):
+                i, j = at[a, r[a]], at[b, r[b]]
+                gram[i, j] = gram[j, i] = r.n
+    gram[k:, k:], total[k:], with_y[k:] = p[:m, :m], s[:m], p[:m, m]
+    centre, n = total / first.n, first.n
+    gram, with_y = gram - np.outer(centre, centre) * n, with_y - centre * s[m]
+    spread = np.sqrt(np.maximum(np.diag(gram)[k : k + len(numeric)], 0) / n)
+    spread[spread <= 1e-12] = 1.0
+    scale = np.ones(k + m)
+    scale[k : k + len(numeric)] = spread
+    means = {c: medians[c] + float(centre[k + i]) for i, c in enumerate(numeric)}
+    scaled_centre = centre.copy()
+    scaled_centre[k : k + len(numeric)] = 0.0  # centred by the model itself
+    return Moments(
+        numeric, categorical, binary, n, medians, means, dict(zip(numeric, spread.tolist(), strict=True)), [(categorical[keys.index(c)], v) for c, v in levels],
+        scaled_centre, gram / np.outer(scale, scale), with_y / scale, float(first.y + s[m] / n),
+    )
+
+
+def fit(train: DataFrame, y: str, numeric: list[str], categorical: list[str] = (), binary: list[str] = (), alpha: float = 1.0, exact: bool = True) -> Ridge:
+    """The model of one penalty."""
+    return moments(train, y, numeric, categorical, binary, exact).solve(alpha)
+
+
+def scores(models: list[Ridge], df: DataFrame, y: str) -> list[tuple[float, float, float]]:
+    """(alpha, MAE, RMSE) of each model, all from one pass over df."""
+    errors = [(m.expression() - F.col(y)) for m in models]
+    r = df.agg(*(F.avg(F.abs(e)).alias(f"a{i}") for i, e in enumerate(errors)), *(F.avg(e * e).alias(f"q{i}") for i, e in enumerate(errors))).first()
+    return [(m.alpha, r[f"a{i}"], r[f"q{i}"] ** 0.5 if r[f"q{i}"] is not None else None) for i, m in enumerate(models)]
 
 
 def tune(train: DataFrame, validation: DataFrame, y: str, alphas: tuple[float, ...] = ALPHAS, digits: int = 2, **features) -> tuple[float, list[tuple[float, float, float]]]:
-    """(best alpha, [(alpha, MAE, RMSE)]): least rounded MAE on the validation rows, the earliest in the grid among equals."""
-    train, rows = train.cache(), []
-    try:
-        for a in alphas:
-            scored = fit(train, y, alpha=a, **features).predict(validation)
-            m = metrics(scored, y).first()
-            rows.append((a, m.mae, m.rmse))
-    finally:
-        train.unpersist()
+    """(best alpha, [(alpha, MAE, RMSE)]): least MAE on the validation rows, compared at so many digits, the earliest in the grid among equals."""
+    found = moments(train, y, **features)
+    rows = scores([found.solve(a) for a in alphas], validation, y)
     return min(rows, key=lambda r: round(r[1], digits))[0], rows
 
 

@@ -19,6 +19,7 @@ from tidemark.operators.segments import metrics
 from tidemark.plans import policy, scoring
 from tidemark.plans.baseline import CUT, fit_group_mean, hourly, predict_group_mean
 from tidemark.session import table
+from tidemark.sources.shared import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -55,7 +56,7 @@ def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours from the cut on with the baseline's pred, and as a second model base, the training mean."""
-    df = hours(spark, sf_dir)
+    df = stored(hours(spark, sf_dir), "hours")  # small, and read by means, fallbacks and test rows: events are scanned once
     cut = F.lit(CUT).cast("timestamp_ntz")
     train, test = df.where(F.col("hour_ts") < cut), df.where(F.col("hour_ts") >= cut)
     keys = ["hour", "day_of_week"]
@@ -69,7 +70,7 @@ def days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = days(spark, sf_dir)
+    df = stored(days(spark, sf_dir), "days")
     train, _, test = splits.time_split(df, "day", TRAIN_UNTIL, VALIDATION_UNTIL)
     keys = ["month", "day_of_week"]
     return predict_group_mean(test, fit_group_mean(train, keys), train, keys)
@@ -324,7 +325,8 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("baseline_table", f"WITH {HOURS} SELECT hour, day_of_week, round(avg(y), 6) AS baseline_pred FROM hours WHERE hour_ts < TIMESTAMP '{CUT}' GROUP BY ALL")
 def baseline_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = hours(spark, sf_dir).where(F.col("hour_ts") < F.lit(CUT).cast("timestamp_ntz"))
+    before = events(spark, sf_dir).where(F.col("ts") < F.lit(CUT).cast("timestamp_ntz"))  # the cut is on the hour, so this bound on ts reaches the scan
+    train = C.add_calendar_features(hourly(before), "hour_ts")
     return fit_group_mean(train, ["hour", "day_of_week"])
 
 
@@ -655,19 +657,20 @@ def psi_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.psi(orders(spark, sf_dir).select(F.year("o_orderdate").alias("year"), "o_totalprice"), "o_totalprice", "year", 1996)
 
 
-N_DRAWS = 200
+#: As many draws as the audits take, over calendar days.
+N_DRAWS = 4000
 
 
 @query(
     "block_bootstrap_ci",
-    f"""WITH {SCORED_DAYS}, g AS (SELECT avg(y) AS base FROM tr), b AS (SELECT date_trunc('month', day) AS block, count(*) AS n, sum(abs(y - pred)) AS a, sum(abs(y - base)) AS c FROM s, g GROUP BY 1),
+    f"""WITH {SCORED_DAYS}, g AS (SELECT avg(y) AS base FROM tr), b AS (SELECT day AS block, count(*) AS n, sum(abs(y - pred)) AS a, sum(abs(y - base)) AS c FROM s, g GROUP BY 1),
 o AS (SELECT *, row_number() OVER (ORDER BY block) - 1 AS nth FROM b), k AS (SELECT count(*) AS blocks FROM b),
 p AS (SELECT draw, ('0x' || substr(md5('7-' || draw || '-' || pick), 1, 8))::BIGINT % blocks AS nth FROM k, (SELECT unnest(range(0, {N_DRAWS})) AS draw) d, LATERAL (SELECT unnest(range(0, blocks)) AS pick) q),
 z AS (SELECT draw, (sum(c) - sum(a)) / sum(n) AS d FROM p JOIN o USING (nth) GROUP BY 1)
 SELECT count(d) AS n_draws, round(quantile_cont(d, 0.025), 4) AS ci_low, round(quantile_cont(d, 0.975), 4) AS ci_high, round(stddev_pop(d), 4) AS sd, round(100.0 * avg((d > 0)::INT::DOUBLE), 4) AS better_pct, (quantile_cont(d, 0.025) > 0 OR quantile_cont(d, 0.975) < 0) AS excludes_zero FROM z""", digits=4)
 def block_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = splits.time_split(days(spark, sf_dir), "day", TRAIN_UNTIL, VALIDATION_UNTIL)[0]
-    df = scored_days(spark, sf_dir).join(F.broadcast(train.agg(F.avg("y").alias("base")))).withColumn("block", F.date_trunc("MONTH", "day"))
+    df = scored_days(spark, sf_dir).join(F.broadcast(train.agg(F.avg("y").alias("base")))).withColumn("block", F.col("day"))
     return bootstrap.interval(bootstrap.draws(bootstrap.block_sums(df, "block", "y", "pred", "base"), N_DRAWS, 7), "d_mae")
 
 
@@ -688,12 +691,16 @@ def ridge_1d_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "alpha_tuning",
-    f"WITH {_XY}, {_RIDGE_1D}, v AS (SELECT l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem WHERE l_shipdate >= TIMESTAMP '1999-01-01' AND l_shipdate < TIMESTAMP '2000-01-01') SELECT alpha, round(avg(abs(y - (my - slope * mx + slope * x))), 6) AS mae FROM r, v GROUP BY 1",
+    f"""WITH {_XY}, f AS (SELECT a AS alpha, covar_pop(x, y) * count(*) / (count(*) + a) / var_pop(x) AS slope, avg(y) AS my, avg(x) AS mx FROM w, (SELECT unnest([{", ".join(map(str, ridge.ALPHAS))}])::DOUBLE AS a) GROUP BY a),
+v AS (SELECT l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem WHERE l_shipdate >= TIMESTAMP '1999-01-01' AND l_shipdate < TIMESTAMP '2000-01-01'),
+m AS (SELECT alpha, avg(abs(y - (my + slope * (x - mx)))) AS mae, sqrt(avg((y - (my + slope * (x - mx))) * (y - (my + slope * (x - mx))))) AS rmse FROM f, v GROUP BY 1)
+SELECT alpha, round(mae, 6) AS mae, round(rmse, 6) AS rmse, row_number() OVER (ORDER BY round(mae, 2), alpha) = 1 AS chosen FROM m""",
 )
 def alpha_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole grid from one set of sums and one pass over the validation rows; the least MAE is chosen, the earliest of equals."""
     train, validation, _ = splits.time_split(_xy(spark, sf_dir), "l_shipdate", TRAIN_UNTIL, VALIDATION_UNTIL)
-    fits = ridge.closed_form(train, "x", "y", ALPHAS_1D)
-    return validation.join(F.broadcast(fits)).groupBy("alpha").agg(F.avg(F.abs(F.col("y") - (F.col("intercept") + F.col("slope") * F.col("x")))).alias("mae"))
+    best, rows = ridge.tune(train, validation, "y", ridge.ALPHAS, numeric=["x"])
+    return spark.createDataFrame([(a, m, r, a == best) for a, m, r in rows], "alpha double, mae double, rmse double, chosen boolean")
 
 
 @query("ridge_pipeline_metrics")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import argparse
 import json
 import math
+from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -98,3 +100,24 @@ def require_frozen(policy: dict | None) -> dict:
     if policy.get("final_test_used") or not is_intact(policy):
         raise RuntimeError("the policy was chosen with the final test, or changed since")
     return policy
+
+
+def main(argv: list[str] | None = None) -> int:
+    """python -m tidemark.plans.policy CANDIDATE FROZEN [--check] [--force]: freezes a decided policy; exit code 0, 1 (drift) or 2 (missing or broken)."""
+    args = argparse.ArgumentParser(description="Freezes a serving policy.")
+    args.add_argument("candidate")
+    args.add_argument("frozen")
+    args.add_argument("--check", action="store_true", help="compare only, never write")
+    args.add_argument("--force", action="store_true", help="freeze anew where the two differ")
+    found = args.parse_args(argv)
+    policy = read_json(found.candidate)
+    if not isinstance(policy, dict):
+        print(f"{found.candidate} holds no policy")
+        return 2
+    code, text = freeze(content(policy), found.frozen, datetime.now(timezone.utc).isoformat(timespec="seconds"), found.check, found.force)
+    print(text)
+    return code
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import labels as L
 from tidemark.functions.calendar import NO_HOLIDAY, STATE_FAIR, add_calendar_features, add_holiday_flag, is_year_known
 from tidemark.functions.numbers import celsius_to_kelvin, is_finite
 from tidemark.operators.collapse import add_extreme_flags
-from tidemark.sources.artifacts import read_json
+from tidemark.operators.ridge import Ridge
+from tidemark.plans.policy import require_frozen
+from tidemark.sources.artifacts import read_json, write_json
 
 #: What a request may hold.
 TEMPERATURE, PRECIPITATION, CLOUDS, YEARS = (-70.0, 70.0), (0.0, 500.0), (0, 100), (1900, 2200)
@@ -86,9 +88,9 @@ def score(requests: DataFrame, model, first: str, last: str, policy: dict | None
 
 
 class Registry:
-    """Artifacts of one folder: metadata, policy and run configuration, read once."""
+    """Artifacts of one folder: model, baseline table, metadata, policy and run configuration, read once."""
 
-    NAMES = ("model_metadata", "serving_policy", "run_config")
+    NAMES = ("ridge_model", "baseline_table", "model_metadata", "serving_policy", "run_config")
 
     def __init__(self, folder: str | Path):
         self.folder, self._found = Path(folder), {}
@@ -100,11 +102,40 @@ class Registry:
             self._found[name] = read_json(self.folder / f"{name}.json")
         return self._found[name]
 
+    def require(self, name: str) -> object:
+        """The artifact, or an error that says what is missing and where it was looked for."""
+        found = self.get(name)
+        if found is None:
+            raise FileNotFoundError(f"{name} is missing or no JSON: {self.folder / name}.json")
+        return found
+
     def manifest(self) -> dict[str, bool]:
         return {n: self.get(n) is not None for n in self.NAMES}
 
     def reset(self) -> None:
         self._found.clear()
 
+    def save(self, model: Ridge, baseline: DataFrame, policy: dict, metadata: dict) -> None:
+        """Writes what serving needs; the baseline table has one row a group."""
+        write_json(self.folder / "ridge_model.json", model.to_dict())
+        write_json(self.folder / "baseline_table.json", [r.asDict() for r in baseline.collect()])
+        write_json(self.folder / "serving_policy.json", policy)
+        write_json(self.folder / "model_metadata.json", metadata)
+        self.reset()
+
+    def model(self) -> Ridge:
+        return Ridge.from_dict(self.require("ridge_model"))
+
+    def baseline(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(r["hour"], r["day_of_week"], r["baseline_pred"]) for r in self.require("baseline_table")], "hour int, day_of_week int, baseline_pred double")
+
+    def policy(self) -> dict:
+        """The frozen policy; one that was changed since is refused."""
+        return require_frozen(self.require("serving_policy"))
+
+    def score(self, requests: DataFrame, first: str, last: str) -> DataFrame:
+        """Requests scored by the stored model under the stored policy."""
+        return score(requests, self.model(), first, last, self.policy())
+
 
 KNOWN_YEARS = tuple(STATE_FAIR)

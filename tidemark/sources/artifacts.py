@@ -1,14 +1,16 @@
-"""Small artifacts on the driver: JSON, Markdown and idempotent writes; checksums and models through Spark."""
+"""Small artifacts on the driver: JSON, Markdown, models and idempotent writes; checksums through Spark."""
 
 from __future__ import annotations
 
 import json
+import math
 from pathlib import Path
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.ridge import Ridge
+
 
 def read_json(path: str | Path) -> object | None:
     """The document, or None where the file is missing or no JSON."""
@@ -56,5 +58,30 @@ def verify_sha256(spark: SparkSession, path: str, expected: str) -> None:
         raise ValueError(f"{path}: SHA-256 is {found}, not {expected}")
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def save_model(path: str | Path, model: Ridge) -> bool:
+    """The whole model: medians, means, scales, levels, weights. Full precision, so that what is loaded predicts the same."""
+    return write_json(path, model.to_dict())
+
+
+def load_model(path: str | Path) -> Ridge:
+    found = read_json(path)
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} holds no model")
+    return Ridge.from_dict(found)
+
+
+def rounded_values(value: object, digits: int = 4) -> object:
+    """A document with its floats rounded, at any depth; the infinities and NaN become null."""
+    if isinstance(value, float):
+        return round(value, digits) if math.isfinite(value) else None
+    if isinstance(value, dict):
+        return {k: rounded_values(v, digits) for k, v in value.items()}
+    return [rounded_values(v, digits) for v in value] if isinstance(value, list | tuple) else value
+
+
+def report(title: str, sections: list[tuple[str, str | DataFrame]], digits: int = 2) -> str:
+    """A Markdown report: a heading and its paragraph or table for each section."""
+    parts = [f"# {title}\n"]
+    for name, body in sections:
+        parts.append(f"## {name}\n\n{body}\n" if isinstance(body, str) else markdown(name, body, digits))
+    return "\n".join(parts)

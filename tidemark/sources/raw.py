@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.labels import main_columns
 from tidemark.operators.quality import coerce, schema_check
 
 #: The columns of a raw observation.
@@ -34,12 +36,18 @@ def write_clean(df: DataFrame, path: str, by: list[str] = ()) -> None:
     (out.partitionBy(*by) if by else out).parquet(path)
 
 
-def load_clean(spark: SparkSession, path: str) -> DataFrame:
-    """What write_clean wrote. It collapses nothing: a key that repeats is an error, found by a query and not mended here."""
-    df = spark.read.parquet(path)
+def load_clean(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
+    """What write_clean (or, with format csv, write_csv) wrote, typed anew and in the order of time: numbers that cannot be read are null, a label column that has none is 0.
+
+    It collapses nothing: a time that repeats is an error, found by a query and not mended here.
+    """
+    df = scan_text(spark, path) if format == "csv" else spark.read.parquet(path)
+    df = coerce(df, timestamps=["date_time"] if format == "csv" else [], doubles=["temp", "rain_1h", "snow_1h", "clouds_all"], longs=["traffic_volume", "weather_severity"])
+    hot = [c for c in main_columns() if c in df.columns]
+    df = df.withColumns({c: F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in hot}) if hot else df
     if not df.groupBy("date_time").count().where("count > 1").limit(1).isEmpty():
         raise ValueError("the clean table has several rows of one time")
-    return df
+    return df.orderBy("date_time")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -309,7 +309,7 @@ def split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "random_split_hash",
     """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5('42|' || o_orderkey), o_orderkey) AS k, count(*) OVER () AS n FROM orders)
-SELECT o_orderkey, CASE WHEN k <= floor(n * 0.7) THEN 'train' WHEN k <= floor(n * 0.7) + floor(n * 0.15) THEN 'validation' ELSE 'test' END AS split FROM r""",
+SELECT o_orderkey, CASE WHEN k <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN k <= floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'validation' ELSE 'test' END AS split FROM r""",
 )
 def random_split_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.random_split(orders(spark, sf_dir).select("o_orderkey"), ["o_orderkey"], 42)

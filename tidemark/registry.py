@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import baseline, catalogue
+from tidemark.plans import baseline, catalogue, studies  # noqa: F401  (studies adds its queries to those of the catalogue)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}

@@ -192,7 +192,15 @@ def test_scoring_path(spark):
 def test_registry_and_artifacts(spark, tmp_path):
     assert A.write_json(tmp_path / "run_config.json", {"a": 1}) and not A.write_json(tmp_path / "run_config.json", {"a": 1})
     r = S.Registry(tmp_path)
-    assert r.manifest() == {"model_metadata": False, "serving_policy": False, "run_config": True}
+    assert r.manifest() == {"ridge_model": False, "baseline_table": False, "model_metadata": False, "serving_policy": False, "run_config": True}
+    with pytest.raises(FileNotFoundError, match="ridge_model"):
+        r.model()
+    train = spark.createDataFrame([(float(i), "ab"[i % 2], 3.0 * i + i % 2) for i in range(20)], "x double, c string, y double")
+    model = ridge.fit(train, "y", ["x"], ["c"], alpha=0.1)
+    r.save(model, spark.createDataFrame([(1, 2, 3.5)], "hour int, day_of_week int, baseline_pred double"), P.sign({"policy_id": "none", "final_test_used": False}, "now"), {"n": 20})
+    assert r.model() == model and r.policy()["policy_id"] == "none" and r.baseline(spark).first().baseline_pred == 3.5
+    again = [x.pred for x in S.Registry(tmp_path).model().predict(train).collect()]
+    assert again == [x.pred for x in model.predict(train).collect()]
     with pytest.raises(KeyError):
         r.get("other")
     (tmp_path / "model_metadata.json").write_text("{")

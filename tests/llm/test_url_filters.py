@@ -85,7 +85,7 @@ def test_features_equal_brute_force(spark):
     df = frame(spark, urls)
     for r in U.featured(df, U.suffix_statistics(df), features=every).collect():
         for name, value in brute(urls[r.page_id]).items():
-            assert r._f[name] == pytest.approx(value), (urls[r.page_id], name)
+            assert r[f"_f_{name}"] == pytest.approx(value), (urls[r.page_id], name)
 
 
 def test_rarity_counts_every_suffix(spark):
@@ -119,7 +119,7 @@ def test_sql_scores_equal_numpy(spark):
     df = frame(spark, [u for u, _, _ in rows[:40]])
     st = U.suffix_statistics(df)
     model = U.fit(spark.createDataFrame([(u, b) for u, b, _ in rows], "url string, blocked int"), st)
-    x = {r.page_id: [r._f[f] for f in U.FEATURES] for r in U.featured(df, st).collect()}
+    x = {r.page_id: [r[f"_f_{f}"] for f in U.FEATURES] for r in U.featured(df, st).collect()}
     out = model.score(df, st).collect()
     assert np.allclose(model.trees.probability(np.array([x[r.page_id] for r in out])), [r.probability for r in out])
 

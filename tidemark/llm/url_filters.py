@@ -66,27 +66,27 @@ def _entropy(text: Column) -> Column:
     return -F.aggregate(shares, F.lit(0.0), lambda a, p: a + p * F.log2(p))
 
 
-def lexical(url: Column) -> dict[str, Column]:
-    """FEATURES and HOST_FEATURES, but for the suffix's rarity, as columns of doubles.
+def lexical(df: DataFrame, url_col: str = "url") -> DataFrame:
+    """Adds FEATURES and HOST_FEATURES, but for the suffix's rarity, as doubles named _f_<feature>, and _u_suffix.
 
     Rules judge by the ends of hosts and the starts of paths. So the lexical features are those of the rest: the path from its second segment on (or
-    its only one), query and fragment.
+    its only one), query and fragment. What several features share is a column of its own, so that it is computed once.
     """
-    host, path = _parts(url)
-    whole = F.coalesce(url, F.lit(""))
-    query, after = F.regexp_extract(whole, r"\?([^#]*)", 1), F.regexp_extract(whole, r"[?#].*$", 0)
-    segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    tail = F.when(F.size(segments) > 1, F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 1, F.lit(0)))).otherwise(segments)
-    rest = F.concat(F.array_join(tail, "/"), after)
-    n = F.length(rest)
+    col, whole = F.col, F.coalesce(F.col(url_col), F.lit(""))
+    host, path = _parts(col(url_col))
+    out = df.withColumns({"_u_host": host, "_u_segments": F.filter(F.split(path, "/"), lambda s: s != ""), "_u_query": F.regexp_extract(whole, r"\?([^#]*)", 1), "_u_after": F.regexp_extract(whole, r"[?#].*$", 0)})
+    many = F.size("_u_segments") > 1
+    out = out.withColumn("_u_tail", F.when(many, F.slice("_u_segments", F.lit(2), F.greatest(F.size("_u_segments") - 1, F.lit(0)))).otherwise(col("_u_segments")))
+    out = out.withColumns({"_u_rest": F.concat(F.array_join("_u_tail", "/"), "_u_after"), "_u_suffix": suffix_of(col("_u_host"))})
+    rest, query, n = col("_u_rest"), col("_u_query"), F.length("_u_rest")
     count = lambda c, part: F.length(c) - F.length(F.replace(c, F.lit(part)))
     columns = {
-        "rest_length": n, "depth": F.size(segments), "digit_ratio": F.regexp_count(rest, F.lit("[0-9]")) / F.greatest(n, F.lit(1)), "entropy": _entropy(rest),
+        "rest_length": n, "depth": F.size("_u_segments"), "digit_ratio": F.regexp_count(rest, F.lit("[0-9]")) / F.greatest(n, F.lit(1)), "entropy": _entropy(rest),
         "parameters": F.when(query == "", 0).otherwise(count(query, "&") + 1), "hyphens": count(rest, "-"),
-        "longest_segment": F.coalesce(F.array_max(F.transform(tail, F.length)), F.lit(0)), "escapes": count(rest, "%"), "suffix_length": F.length(suffix_of(host)),
-        "host_length": F.length(host), "host_labels": F.size(F.split(host, r"\.")), "host_entropy": _entropy(host),
+        "longest_segment": F.coalesce(F.array_max(F.transform("_u_tail", F.length)), F.lit(0)), "escapes": count(rest, "%"), "suffix_length": F.length("_u_suffix"),
+        "host_length": F.length("_u_host"), "host_labels": F.size(F.split("_u_host", r"\.")), "host_entropy": _entropy(col("_u_host")),
     }
-    return {k: c.cast("double") for k, c in columns.items()}
+    return out.withColumns({f"_f_{k}": c.cast("double") for k, c in columns.items()})
 
 
 def suffix_statistics(df: DataFrame, url_col: str = "url") -> DataFrame:
@@ -97,10 +97,10 @@ def suffix_statistics(df: DataFrame, url_col: str = "url") -> DataFrame:
 
 
 def featured(df: DataFrame, statistics: DataFrame, url_col: str = "url", features: list[str] = FEATURES) -> DataFrame:
-    """Adds a struct _f of the features, beside whatever columns df has. A suffix that the statistics lack is as rare as can be told: 9."""
-    found = df.join(statistics, suffix_of(_parts(F.col(url_col))[0]) == F.col("_suffix"), "left")
-    known = lexical(F.col(url_col)) | {"suffix_rarity": F.coalesce("_rarity", F.lit(9.0))}
-    return found.withColumn("_f", F.struct(*(known[f].alias(f) for f in features))).drop("_suffix", "_rarity")
+    """Adds the features as columns _f_<feature>. A suffix that the statistics lack is as rare as can be told: 9."""
+    found = lexical(df, url_col).join(statistics, F.col("_u_suffix") == F.col("_suffix"), "left")
+    found = found.withColumn("_f_suffix_rarity", F.coalesce("_rarity", F.lit(9.0)))
+    return found.select(*df.columns, *(f"_f_{f}" for f in features))
 
 
 @dataclass
@@ -111,17 +111,17 @@ class Model:
     def score(self, df: DataFrame, statistics: DataFrame, url_col: str = "url") -> DataFrame:
         """Adds the probability of block."""
         out = featured(df, statistics, url_col, self.features)
-        return out.withColumn("probability", 1 / (1 + F.exp(-F.expr(self.trees.sql([f"_f.{f}" for f in self.features]))))).drop("_f")
+        return out.withColumn("probability", 1 / (1 + F.exp(-F.expr(self.trees.sql([f"_f_{f}" for f in self.features]))))).drop(*(f"_f_{f}" for f in self.features))
 
 
 def fit(labelled: DataFrame, statistics: DataFrame, url_col: str = "url", label_col: str = "blocked", max_rows: int = MAX_ROWS, features: list[str] = FEATURES) -> Model:
     """Trains on at most max_rows distinct URLs, those of the least hashes; a URL with both labels counts as blocked. No rows, or one label only: the prior."""
     rows = labelled.where(F.col(url_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(url_col).alias("url")).agg(F.max(label_col).alias("blocked"))
     rows = rows.orderBy(F.xxhash64("url"), "url").limit(max_rows)
-    rows = featured(rows, statistics, "url", features).select("blocked", "_f.*").collect()
+    rows = featured(rows, statistics, "url", features).select("blocked", *(f"_f_{f}" for f in features)).collect()
     if not rows:
         return Model(trees.fit(np.zeros((0, len(features))), np.zeros(0)), features)
-    return Model(trees.fit(np.array([[r[f] for f in features] for r in rows]), np.array([r.blocked for r in rows], float), n_trees=30, depth=3, rate=0.3), features)
+    return Model(trees.fit(np.array([[r[f"_f_{f}"] for f in features] for r in rows]), np.array([r.blocked for r in rows], float), n_trees=30, depth=3, rate=0.3), features)
 
 
 def filter_urls(df: DataFrame, model: Model, statistics: DataFrame, url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:

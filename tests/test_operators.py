@@ -94,6 +94,9 @@ def test_lags(spark):
     assert by_time == {0: None, 1: 100.0, 5: None, 6: 300.0}
     assert {r.t.hour: r.lag_1h for r in lags.lag_by_range(df, "t", "y", [1], ["k"]).collect()} == by_time
     assert {r.t.hour: r.shift_1 for r in lags.lag_by_row(df, "t", "y", [1]).collect()} == {0: None, 1: 100.0, 5: 200.0, 6: 300.0}
+    several = spark.sql("select timestamp_ntz'2024-01-01 20:00:00' + make_dt_interval(0, cast(id * 5 as int)) t, cast(id as double) y, 1 k from range(12) union all select null, -1D, 1")
+    shifts = lambda by: sorted(((r.y, r.shift_1, r.shift_3) for r in lags.lag_by_row(several, "t", "y", [1, 3], by).collect()), key=str)
+    assert shifts([]) == shifts(["k"])  # days, a null time
     sparse = lags.lag_by_time(series(spark, [0, 3]), "t", "y", [1, 24])
     assert all(r.lag_1h is None and r.lag_24h is None for r in sparse.collect())
     kept, stats = splits.complete_rows(lags.lag_by_time(df, "t", "y", [1]), ["lag_1h"])

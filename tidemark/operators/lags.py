@@ -28,6 +28,21 @@ def lag_by_range(df: DataFrame, time_col: str, value: str, hours: list[int], by:
 
 
 def lag_by_row(df: DataFrame, time_col: str, value: str, steps: list[int], by: list[str] = ()) -> DataFrame:
-    """Adds shift_<k>, the value k rows before: the control that is wrong where hours are missing."""
-    w = Window.partitionBy(*by).orderBy(time_col)
-    return df.withColumns({f"shift_{k}": F.lag(value, k).over(w) for k in steps})
+    """Adds shift_<k>, the value k rows before: the control that is wrong where hours are missing. Equal times go by value.
+
+    A series without a key is no single task either: rows are numbered within their day, days are counted and summed up
+    (one row a day), and the value k rows before is that of the number less by k. Null times come first, as one more day.
+    """
+    if by:
+        w = Window.partitionBy(*by).orderBy(time_col, value)
+        return df.withColumns({f"shift_{k}": F.lag(value, k).over(w) for k in steps})
+    dated = df.withColumn("_day", F.to_date(time_col))
+    counts = dated.groupBy(F.col("_day").alias("_d")).agg(F.count("*").alias("_c"))
+    counts = counts.select("_d", (F.sum("_c").over(Window.orderBy("_d")) - F.col("_c")).alias("_before"))
+    number = F.col("_before") + F.row_number().over(Window.partitionBy("_day").orderBy(time_col, value))
+    out = dated.join(counts, F.col("_day").eqNullSafe(F.col("_d"))).withColumn("_nth", number).drop("_day", "_d", "_before")
+    series = out.select("_nth", F.col(value).alias("_v"))
+    for k in steps:
+        past = series.select((F.col("_nth") + k).alias("_nth"), F.col("_v").alias(f"shift_{k}"))
+        out = out.join(past, "_nth", "left")
+    return out.drop("_nth")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Hex digits of a row's hash by which random_split deals rows into sorting tasks: 65,536 counts are a small broadcast, and 10^11 rows make groups of 1.5 million.
+DIGITS = 4
 
 
 class FinalTestLeak(ValueError):
@@ -64,15 +66,15 @@ def hash_order(keys: list[str], seed: int) -> Column:
 def random_split(df: DataFrame, keys: list[str], seed: int, train: float = 0.7, validation: float = 0.15) -> DataFrame:
     """Adds split with exact counts, int(n * share), in hash order; only to show how optimistic random splits are.
 
-    The rank is found without sorting all rows in one task: rows are counted by the first three hex digits of their hash,
-    running sums over those 4,096 counts give each prefix its first rank, and ranks within a prefix are added.
+    The rank is found without sorting all rows in one task: rows are counted by the first DIGITS hex digits of their hash,
+    running sums over those 65,536 counts give each prefix its first rank, and ranks within a prefix are added.
     """
-    df = df.withColumn("_h", hash_order(keys, seed)).withColumn("_p", F.substring("_h", 1, 3))
+    df = df.withColumn("_h", hash_order(keys, seed)).withColumn("_p", F.substring("_h", 1, DIGITS))
     counts = df.groupBy("_p").agg(F.count("*").alias("_c"))
     all_rows = Window.partitionBy(F.lit(0))
     counts = counts.select("_p", (F.sum("_c").over(all_rows.orderBy("_p")) - F.col("_c")).alias("_before"), F.sum("_c").over(all_rows).alias("_n"))
     rank = F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy("_h", *keys))
-    out = df.join(F.broadcast(counts), "_p").withColumn("_r", rank)  # at most 4,096 rows
+    out = df.join(F.broadcast(counts), "_p").withColumn("_r", rank)  # at most 16 ** DIGITS rows
     a, b = F.floor(F.col("_n") * train), F.floor(F.col("_n") * validation)
     return out.withColumn("split", F.when(F.col("_r") <= a, "train").when(F.col("_r") <= a + b, "validation").otherwise("test")).drop("_h", "_p", "_before", "_n", "_r")
 

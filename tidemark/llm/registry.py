@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import dominance, html_extract, media, mixing, packing, quality_classifier, quality_rules, simhash, toxicity, url_filters, warc
+from tidemark.llm import dominance, html_extract, media, mixing, packing, periodic, quality_classifier, quality_rules, simhash, toxicity, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -19,11 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": html_extract.op8_html_extraction,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_url_filters": url_filters.op10_url_filters,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
     "op12_dominance": dominance.op12_dominance,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": warc.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
     "op12_dominance": dominance.OP12_SQL,
 }

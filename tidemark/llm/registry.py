@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import dominance, html_extract, media, mixing, packing, periodic, quality_classifier, quality_rules, simhash, toxicity, url_filters, warc
+from tidemark.llm import dominance, html_extract, media, mixing, packing, periodic, quality_classifier, quality_rules, simhash, substrings, toxicity, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filters": url_filters.op10_url_filters,
     "op11_periodic_runs": periodic.op11_periodic_runs,
     "op12_dominance": dominance.op12_dominance,
+    "op13_substring_dedup": substrings.op13_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -28,4 +29,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_mixing": mixing.OP3_SQL,
     "op11_periodic_runs": periodic.op11_periodic_runs,
     "op12_dominance": dominance.OP12_SQL,
+    "op13_substring_dedup": substrings.OP13_SQL,
 }

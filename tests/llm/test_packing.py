@@ -84,3 +84,18 @@ def test_digest_columns(spark, tmp_path):
     full = {(r.id, r.start, r.length): zlib.crc32(r.ids) for r in P.pack(frame(spark, ROWS), P.vocabulary_path()).collect()}
     out = P.op5_packing(spark, str(tmp_path)).collect()
     assert {(r.doc_id, r.start, r.length): r.ids_crc32 for r in out} == full
+
+
+@pytest.mark.parametrize("space", [" ", "\t", "\n", "\u00a0"])
+def test_long_white_space(slow, space):
+    docs = [space * 1_000_000, f"one{space * 1_000_000}two", "a" + space * 19_999 + "b"]
+    assert P.encode(P.vocabulary_path(), docs) == [slow.encode(t, add_special_tokens=False).ids for t in docs]
+
+
+def test_very_long_texts_go_through_spark(spark, slow):
+    texts = {1: " " * 5_000_000, 2: "x\n" * 10 + "\n" * 5_000_000 + "y", 3: "word " * 400_000, 4: "ab" * 500_000, 5: "!" * 1_000_000}
+    out = P.pack(frame(spark, list(texts.items())).repartition(5), P.vocabulary_path()).select("id", "start", "length", "doc_tokens").collect()
+    for i, t in texts.items():
+        parts = sorted((r.start, r.length) for r in out if r.id == i)
+        assert {r.doc_tokens for r in out if r.id == i} == {len(slow.encode(t, add_special_tokens=False).ids) + 1}
+        assert all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import importlib.util
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,6 +20,8 @@ from tidemark.llm.common import materialise, small_batches, table, texts
 
 MAX_LENGTH, END = 1024, 0
 VOCABULARY = "byte_bpe_50k.json"
+#: The faster library tries a pattern that looks ahead, and gives up on runs of white space of some hundred thousand characters; it gets none of this length.
+LONG_SPACE = re.compile(r"\s{20000}")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -52,16 +55,19 @@ def encode(path: str, docs: list[str]) -> list[list[int]]:
     """Ids of whole texts, as tokenizers gives them with add_special_tokens=False.
 
     Texts of code points below U+0250 (ASCII and Latin) go through the faster library. Others, where the two could classify new
-    characters differently, and all texts if there are no ranks, go through tokenizers itself.
+    characters differently, texts with very long white space, texts that the faster library refuses, and all texts if there are no ranks, go through tokenizers itself.
     """
     slow, fast = _encoders(path)
     out: list[list[int]] = [[] for _ in docs]
     rest = []
     for i, t in enumerate(docs):
-        if fast is not None and (t.isascii() or max(t) < "ɐ"):
-            out[i] = fast.encode(t, allowed_special="all")
-        else:
-            rest.append(i)
+        if fast is not None and (t.isascii() or max(t) < "ɐ") and not (len(t) >= 20_000 and LONG_SPACE.search(t)):
+            try:
+                out[i] = fast.encode(t, allowed_special="all")
+                continue
+            except ValueError:  # its regular expressions have a limit on what they keep to go back to
+                pass
+        rest.append(i)
     for i, e in zip(rest, slow.encode_batch([docs[i] for i in rest], add_special_tokens=False) if rest else [], strict=True):
         out[i] = e.ids
     return out
@@ -125,11 +131,15 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with a digest of their ids. Null texts are the end id alone; texts of any length are whole; repeated rows are packed each; an empty table gives no rows."""
     rows = pieces(table(spark, sf_dir, "documents"), vocabulary_path())
     rows = rows.select(F.col("id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "part", "nth")
     return number(rows).select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sequences with their ids."""
+    """The sequences with their ids: one row a piece, of which only the id column of docs is left.
+
+    Null texts are the end id alone, null ids and repeated rows are packed like any other; other columns, whatever their names, are dropped; an empty table gives no rows.
+    """
     return pack(docs, vocabulary_path()).withColumnRenamed("id", "doc_id")

@@ -37,6 +37,60 @@ def test_parse(page, text):
     assert H.parse(page) == text
 
 
+LONG = "A sentence of the story, as long as any. " * 20
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ('<article><div class="overflow-hidden"><p>Body text..</p></div></article>', "Body text.."),
+        ('<div id="wrap" class="no-sidebar"><h1>Title</h1><p>Text</p></div>', "Title\n\nText"),
+        ('<div class="page-header-fixed"><p>Hello world</p></div>', "Hello world"),
+        ('<article><section id="related-work"><h2>Related work</h2><p>Others</p></section><p class="share-price">9.50</p></article>', "Related work\n\nOthers\n\n9.50"),
+        (f"<main><p>{LONG}</p><article>teaser</article></main>", f"{LONG.strip()}\n\nteaser"),
+        (f"<main><p>Intro</p><article>{LONG}</article></main>", LONG.strip()),
+        ("<p>a</p><!--><p>b</p>", "a\n\nb"),
+        ("<p>a</p><!---><p>b</p><!-- x --!><p>c</p>", "a\n\nb\n\nc"),
+        ("<div class='site-menu'><a href=/>Home</a> <a href=/x>All products</a></div><p>t</p>", "t"),
+        ("<div class='site-menu-note'>The menu changes with the season.</div><p>t</p>", "The menu changes with the season.\n\nt"),
+        ("<div class='cookie-banner'>We use cookies</div><p>t</p>", "t"),
+        (f"<div class='banner'><h1>Title</h1><p>{LONG}</p></div><p>t</p>", f"Title\n\n{LONG.strip()}\n\nt"),
+        ("<div class='sidebar'><p>only</p></div>", "only"),
+        ("<div class='comments-closed'><h1>Title</h1><p>t</p></div><p>f</p>", "Title\n\nt\n\nf"),
+        ("<article><p>t</p></article><section class='comments-area'><article><p>c1</p></article><div class='comment-12'>c2</div></section>", "t"),
+        ("<p>one <span class='no-ad'>two</span> <span class='ad'>three</span> four</p>", "one two four"),
+        ("<div class='flex hidden-xs md:overflow-hidden widget-free'><p>t</p></div><div class='share'>Share this</div>", "t"),
+    ],
+)
+def test_names_only_count_where_the_text_bears_them_out(page, text):
+    assert H.parse(page) == text
+
+
+def test_pages_with_utility_classes_give_what_bare_pages_give():
+    """The same pages with and without names that hold suspicious words; another parser for what is expected."""
+    import random
+    from xml.etree import ElementTree as E
+
+    rng = random.Random(4)
+    names = ["overflow-hidden", "no-sidebar", "has-menu", "page-header-fixed", "share-price", "ad-free", "related-work", "without-ads", "skip-print", "top-banner-off", "hidden-print"]
+    words = lambda n: " ".join(rng.choice("lorem ipsum dolor sit amet".split()) for _ in range(n))
+
+    def tree(depth):
+        inner = "".join(f"<p>{words(9)}</p>" if depth == 0 or rng.random() < 0.5 else tree(depth - 1) for _ in range(rng.randrange(1, 4)))
+        return f"<{(t := rng.choice(['div', 'section']))} class='{rng.choice(names)} {rng.choice(names)}'>{inner}</{t}>"
+
+    for _ in range(60):
+        page = f"<body><nav><ul><li><a>Home</a></li></ul></nav><article>{tree(3)}</article><footer>f</footer></body>"
+        assert H.parse(page) == "\n\n".join(p.text for p in E.fromstring(page).find("article").iter("p"))
+        page = f"<body><nav><ul><li><a>Home</a></li></ul></nav>{tree(3)}<footer>f</footer></body>"
+        assert H.parse(page) == "\n\n".join(p.text for p in E.fromstring(page).iter("p"))
+
+
+def test_what_each_rule_takes_away():
+    text, template, names, tags = H.parsed("<nav>menu</nav><div class=ad>buy it</div><p>t</p><script>var x;</script><style>p{}</style>")
+    assert (text, template, names, tags) == ("t", 0, 6, 4)
+
+
 SCHEMA = "page_id long, url string, html string, host int, hashes string, text string"
 
 

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path that is used once, under spark.checkpoint.dir. Where that is unset a local session gets a folder of its own; any other is refused."""
+    """A path that is used once, under spark.checkpoint.dir, which tidemark.session sets for local sessions; where it is unset there is none."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is unset: driver and executors need a folder that they share")
-        at = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+        raise RuntimeError("spark.checkpoint.dir is unset: driver and executors need a folder that they share")
     return f"{at.rstrip('/')}/tidemark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
 
 
@@ -24,3 +20,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all that this application has stored there. Results that still read it must have been written before."""
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{at.rstrip('/')}/tidemark/{context.applicationId}")
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

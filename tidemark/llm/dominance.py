@@ -4,7 +4,8 @@ Points are put in two orders: by slot (equal slots from the highest level down)
 point counts for another if it comes before it in the first order and lies strictly higher, and then it comes after it in
 the second. Ranges of the first order are shards, ranges of the second are bands, both of a bounded number of rows however
 many points share a slot or a level. What counts for a point lies either in its own shard, or in an earlier shard and its own band, or
-in an earlier shard and a later band: three sums, each by trees over levels with one version per slot or shard.
+in an earlier shard and a later band. The first two sums come from trees over levels with one version per slot or shard, the last from
+histograms by band that earlier shards hand on.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, LongType, StructType
 
@@ -104,8 +105,7 @@ def _count(points: DataFrame, shard_rows: int) -> DataFrame:
     """points (slot, level, n, rows, tie, and more columns) with n_above and rows_above: sums of n and rows over the points before and above."""
     spark = points.sparkSession
     total = points.count()
-    size = max(shard_rows, int(4 * total**0.5))
-    shards = max(1, -(-total // size))
+    shards = max(1, -(-total // max(shard_rows, int(4 * total**0.5))))
 
     def in_shard(c: dict[str, np.ndarray], part: int) -> dict[str, np.ndarray]:
         got = suffix_sums(c["slot"], c["level"], np.stack([c["n"], c["rows"]], 1), c["slot"], c["level"])
@@ -117,19 +117,21 @@ def _count(points: DataFrame, shard_rows: int) -> DataFrame:
 
     schema = _with_longs(points.schema, "shard", "n_above", "rows_above")
     dealt = points.repartitionByRange(shards, "slot", F.desc("level"), "tie")
-    if shards == 1:
-        return dealt.mapInArrow(_task(in_shard, COLUMNS), schema).drop("shard")
     ranged = materialise(spark, dealt.mapInArrow(_task(in_shard, COLUMNS), schema), "shards")
     banded = ranged.repartitionByRange(shards, "level", "slot", "tie").mapInArrow(_task(carried, [*COLUMNS, "shard", "n_above", "rows_above"]), _with_longs(schema, "band"))
     banded = materialise(spark, banded, "bands")
-    # Whole bands of earlier shards are points again, of which far fewer are left: slot the shard, level the band, earlier meaning a smaller shard.
+    # Whole bands of earlier shards: a histogram by shard and band, made dense, summed over later bands of a shard, then over earlier shards of a band.
     squares = banded.groupBy("shard", "band").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
-    squares = squares.select((F.col("shard") * 2).alias("slot"), F.col("band").alias("level"), "n", "rows", F.lit(0).cast("long").alias("tie"))
-    asked = squares.withColumns({"slot": F.col("slot") - 1, "n": F.lit(0).cast("long"), "rows": F.lit(0).cast("long")})
-    squares = _count(materialise(spark, squares.unionByName(asked), "squares"), shard_rows).where("slot % 2 <> 0")
-    squares = squares.select(((F.col("slot") + 1) / 2).cast("long").alias("shard"), F.col("level").alias("band"), F.col("n_above").alias("more_n"), F.col("rows_above").alias("more_rows"))
-    out = banded.join(squares.hint("merge"), ["shard", "band"])
-    return out.withColumns({"n_above": F.col("n_above") + F.col("more_n"), "rows_above": F.col("rows_above") + F.col("more_rows")}).drop("shard", "band", "more_n", "more_rows")
+    last = squares.agg(F.max("band")).first()[0]
+    none = F.lit(0).cast("long")
+    empty = squares.select("shard").distinct().select("shard", F.explode(F.sequence(none, F.lit(last or 0).cast("long"))).alias("band"), none.alias("n"), none.alias("rows"))
+    dense = squares.unionByName(empty).groupBy("shard", "band").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+    later = Window.partitionBy("shard").orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("band").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    dense = dense.select("shard", "band", F.sum("n").over(later).alias("n"), F.sum("rows").over(later).alias("rows"))
+    dense = dense.select("shard", "band", F.sum("n").over(earlier).alias("more_n"), F.sum("rows").over(earlier).alias("more_rows"))
+    out = banded.join(dense.hint("merge"), ["shard", "band"])
+    return out.withColumns({c: F.col(c) + F.coalesce(more, none) for c, more in (("n_above", F.col("more_n")), ("rows_above", F.col("more_rows")))}).drop("shard", "band", "more_n", "more_rows")
 
 
 def count_above(df: DataFrame, slot: Column, level: Column, rows: Column, shard_rows: int = SHARD_ROWS) -> DataFrame:

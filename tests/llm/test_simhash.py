@@ -222,3 +222,37 @@ def test_pairs_just_above_the_similarity_are_found(spark):
     print(f"pairs of 0.8 to 0.85: {found} of {len(band)} found")
     assert len(band) > 60 and found >= 0.95 * len(band)
     assert gone <= {p[0] for p, s in sims.items() if s >= 0.8}
+
+
+def test_groups_of_any_size_give_the_same_components(spark):
+    """The same pairs are compared in groups that fit in a task and in those that do not, and they are all that met in a table."""
+    rng = random.Random(11)
+    texts = [t for _ in range(4) for t in family(rng, 10, edits=(0, 9))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    fps = S.fingerprints(docs, k=5, bits=1024, distinct=True).collect()
+    nodes = spark.createDataFrame([(r.id, bytes(r.fp)) for r in fps], "id long, fp binary")
+    sets = lambda ids: S.shingle_sets(docs.selectExpr("doc_id as id", "text").join(ids, "id", "left_semi"), 5)
+    got = {}
+    for bucket in (8192, 2):
+        links = S.similar_links(nodes, sets, bucket=bucket)
+        got[bucket] = components_of(len(texts), [(r.a, r.b) for r in links.collect()])
+    assert got[8192] == got[2] and len(set(got[2])) < len(texts)
+
+
+def test_a_pair_that_met_in_no_table_is_no_link_in_a_small_group(spark):
+    """Rows 0 and 2 have equal sets and share no key; row 1 meets both. Their group is one, their links are those that tables give, at any limit."""
+    rng = np.random.default_rng(0)
+    flip = lambda fp, places: bytes(np.packbits(np.unpackbits(np.frombuffer(fp, np.uint8)) ^ np.isin(np.arange(1024), places)))
+    keys = lambda fp: {int(k) for t, m in enumerate([m for p in S.word_positions(192, 9, 36) for m in S.covering_masks(p, 3, 192)]) for k in S._keys(S._fp_matrix(__import__("pyarrow").array([fp[:24]]), 24), np.zeros(1, np.uint64), np.frombuffer(m, ">u8").astype(np.uint64), t)}
+    first = bytes(rng.integers(0, 256, 128, np.uint8))
+    for _ in range(200):
+        far = rng.permutation(192)[:40]
+        middle, last = flip(first, far[:20]), flip(first, far)
+        if keys(first) & keys(middle) and keys(middle) & keys(last) and not keys(first) & keys(last):
+            break
+    else:
+        pytest.fail("no such rows")
+    nodes = spark.createDataFrame([(0, first), (1, middle), (2, last)], "id long, fp binary")
+    words = {0: "a b c d e f", 1: "u v w x y z", 2: "a b c d e f"}
+    sets = lambda ids: S.shingle_sets(spark.createDataFrame(list(words.items()), "id long, text string"), 5)
+    assert [S.similar_links(nodes, sets, bucket=n).collect() for n in (8192, 2)] == [[], []]

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,14 +24,23 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for the jobs that run inside; what was set before holds again afterwards, after a failed job too."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session (tests) gets a folder of its own, and any other is refused: a machine's own folder would not be shared."""
+    """The folder that driver and executors share: spark.checkpoint.dir, which tidemark.session sets for local sessions. Where it is unset the operators refuse to run: a machine's own folder would not be shared."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is unset: driver and executors need a folder that they share")
-        at = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+        raise RuntimeError("spark.checkpoint.dir is unset: driver and executors need a folder that they share")
     if ":" not in at.split("/")[0]:  # a bare path lies in Spark's default file system
         context = spark.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(at)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, materialise, small_batches, table, texts
+from tidemark.llm.common import batches_of, components, materialise, small_batches, table, texts
 
 #: Distinct fingerprints of one key that a task compares at once. A key with more is split.
 BUCKET = 8192
@@ -341,9 +341,12 @@ def link(nodes: DataFrame, bits: int = 64, distance: int = 3, radius: int = 3, w
     covering = words == 1 and word_bits >= bits and radius >= distance
     spark = nodes.sparkSession
     bucket = max(bucket, 1 << radius)  # as many fingerprints differ in no more positions than the radius: such keys are never split
-    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")  # short rows
-    edges, level, left = None, 0, nodes
+    with batches_of(spark, 10_000):  # short rows
+        return _link(nodes, bits, distance, radius, words, word_bits, bucket, groups, covering)
+
+
+def _link(nodes: DataFrame, bits: int, distance: int, radius: int, words: int, word_bits: int, bucket: int, groups: bool, covering: bool) -> DataFrame:
+    spark, edges, level, left = nodes.sparkSession, None, 0, nodes
     while True:
         keyed = _blocks(left, bucket, level) if level and not covering else _masked(left, bits, words, word_bits, radius)
         found = materialise(spark, _bucket_links(keyed, bits, distance, bucket, groups), f"links-{level}")
@@ -355,7 +358,6 @@ def link(nodes: DataFrame, bits: int = 64, distance: int = 3, radius: int = 3, w
         if level == 0 and covering:  # the first tables do not carry which positions are open: the mask is found again from the key
             left = _with_free(left, bits, words, word_bits, radius)
         level += 1
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     return edges
 
 
@@ -386,20 +388,25 @@ def _similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return same > 0 and same >= similarity * (len(both) - same) - 1e-9
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets overlap by the similarity (Jaccard) or more, counted exactly. A node in many pairs meets them in joins that AQE can split."""
+def confirm(pairs: DataFrame, sets: DataFrame, similarity: float, bits: int = 0, fine: int | None = None) -> DataFrame:
+    """The pairs (a, b) whose shingle sets overlap by the similarity (Jaccard) or more, counted exactly; with fine only those within so many of the bits of their
+    fingerprints. sets: (id, set), then with fp. A node in many pairs meets them in joins that AQE can split."""
+    columns = ["set", "fp"] if fine is not None else ["set"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            both = (zip(*(b.column(c).to_pylist() for c in ("set_a", "set_b")), strict=True))
-            good = [_similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), similarity) for x, y in both]
+            near = np.ones(b.num_rows, bool)
+            if fine is not None:
+                near = np.bitwise_count(_fp_matrix(b.column(3), bits // 8) ^ _fp_matrix(b.column(5), bits // 8)).sum(axis=1) <= fine
+            both = zip(near.tolist(), *(b.column(c).to_pylist() for c in ("set_a", "set_b")), strict=True)
+            good = [n and _similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), similarity) for n, x, y in both]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     known = pairs.select("a", "b")
     for c in ("a", "b"):
-        known = known.join(sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}")), c)
+        known = known.join(sets.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in columns)), c)
     small_batches(pairs.sparkSession)
-    return known.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return known.select("a", "b", *(f"{x}_{c}" for c in "ab" for x in columns)).mapInArrow(run, "a long, b long")
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,12 +430,14 @@ def _by_key(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], pa.Rec
 
 
 def _exact_links(rows: DataFrame, bits: int, distance: int, coarse: tuple[int, int], similarity: float) -> DataFrame:
-    """Links (a, b) of rows (key, id, fp, set) with equal keys that span, for each key, the graph of all pairs within the distances and of the similarity."""
+    """Links (a, b) of rows (key, id, fp, set, met) with equal keys that span, for each key, the graph of all pairs within the distances that have met in a table and are of the similarity."""
 
     def links(t: pa.Table) -> pa.RecordBatch:
         key, ids = (t.column(c).to_numpy() for c in ("key", "id"))
         sets = [np.frombuffer(x.as_buffer(), "<u8") for x in t.column("set")]
-        e = _forest(key, _fp_matrix(t.column("fp").combine_chunks(), bits // 8), distance, coarse, check=lambda i, j: _similar(sets[i], sets[j], similarity))[0]
+        met = [frozenset(x) for x in t.column("met").to_pylist()]
+        check = lambda i, j: not met[i].isdisjoint(met[j]) and _similar(sets[i], sets[j], similarity)
+        e = _forest(key, _fp_matrix(t.column("fp").combine_chunks(), bits // 8), distance, coarse, check=check)[0]
         return pa.RecordBatch.from_arrays([pa.array(ids[e[:, j]], pa.int64()) for j in (0, 1)], names=["a", "b"])
 
     small_batches(rows.sparkSession)
@@ -496,11 +505,11 @@ GROUP_BYTES = 1 << 26
 
 
 def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, bits: int = 1024, coarse: tuple[int, int] = (192, 46), fine: int = 195, radius: int = 3, words: int = 9, word_bits: int = 36, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) of similarity or more between nodes (id unique, fp of so many bits); their components are those of all such pairs that meet in a table within coarse and fine bits.
+    """Links (a, b) of similarity or more between nodes (id unique, fp of so many bits); their components are those of all such pairs that meet in a table within coarse and fine bits, whatever the size of a group.
 
     The tables find pairs by the first bits, and these pairs' components are found. One of at most `bucket` nodes whose sets (which sets(ids) gives) have at
-    most GROUP_BYTES goes to one task, where its pairs are compared, nearest first, unless links join them already. Larger ones are never gathered:
-    long_links() goes through them key by key.
+    most GROUP_BYTES goes to one task, where its pairs that share a table's key are compared, nearest first, unless links join them already. Larger ones are never gathered:
+    long_links() goes through them key by key, and compares the same pairs.
     """
     spark = nodes.sparkSession
     first = nodes.select("id", F.substring("fp", 1, coarse[0] // 8).alias("fp"))
@@ -511,31 +520,34 @@ def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], simi
     sizes = whole.join(known.select("id", F.octet_length("set").alias("n")), "id").groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("bytes"))
     sizes = materialise(spark, sizes.select("key", ((F.col("members") <= bucket) & (F.col("bytes") <= GROUP_BYTES)).alias("fits")), "coarse-sizes")
     inside = whole.join(sizes.where("fits").select("key"), "key", "left_semi")
-    rows = inside.join(nodes.select("id", "fp"), "id").join(known, "id").select("key", "id", "fp", "set")
+    members = found.where("far is null").select(F.col("a").alias("key"), F.col("b").alias("id"))
+    met = members.groupBy("id").agg(F.collect_set("key").alias("met"))  # one group at most for each table
+    rows = inside.join(nodes.select("id", "fp"), "id").join(known, "id").join(met, "id").select("key", "id", "fp", "set", "met")
     links = materialise(spark, _exact_links(rows, bits, fine, coarse, similarity), "links")
     large = sizes.where("not fits").select("key")
     if large.isEmpty():
         return links
     ids = whole.join(large, "key", "left_semi").select("id")
-    groups = found.where("far is null").select(F.col("a").alias("key"), F.col("b").alias("id")).distinct().join(ids, "id", "left_semi").select("key", "id")
+    groups = members.distinct().join(ids, "id", "left_semi").select("key", "id")
     near = near.join(ids, near.a == ids.id, "left_semi")
     return links.unionByName(long_links(nodes, near, groups, known, similarity, bits, coarse, fine))
 
 
 def long_links(nodes: DataFrame, near: DataFrame, groups: DataFrame, known: DataFrame, similarity: float, bits: int, coarse: tuple[int, int], fine: int) -> DataFrame:
-    """Links of nodes from pairs near (a, b, far) and groups (key, id) of rows that share a key, with known sets (id, set).
+    """Links of nodes (id, fp) from pairs near (a, b, far) and groups (key, id) of rows that share a key, with known sets (id, set).
 
     Each node's nearest is compared first. That joins most of every group of copies, and pairs in one component need no comparison. Then, round after
     round, the pairs between components that share a key are compared, nearest first, four times as many a round, until
     none is left that has not been.
     """
     spark, groups = nodes.sparkSession, materialise(nodes.sparkSession, groups, "groups")
+    known = known.join(nodes.select("id", "fp"), "id")
     both = near.select(F.col("a").alias("id"), F.struct("far", F.col("b").alias("to")).alias("near"))
     both = both.unionByName(near.select(F.col("b").alias("id"), F.struct("far", F.col("a").alias("to")).alias("near")))
     nearest = both.groupBy("id").agg(F.min("near").alias("near"))
     new = nearest.select(F.least("id", "near.to").alias("a"), F.greatest("id", "near.to").alias("b")).distinct()
     new = materialise(spark, new, "pairs-0")
-    tested, links, depth = new, materialise(spark, confirm(new, known, similarity), "links-0"), 1
+    tested, links, depth = new, materialise(spark, confirm(new, known, similarity, bits, fine), "links-0"), 1
     while True:
         label = components(spark, links, "simhash").withColumnRenamed("node", "id")
         rows = groups.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
@@ -550,7 +562,7 @@ def long_links(nodes: DataFrame, near: DataFrame, groups: DataFrame, known: Data
             if pairs.where("a is null").isEmpty():
                 return links
         else:
-            links = links.unionByName(materialise(spark, confirm(new, known, similarity), f"links-{depth}"))
+            links = links.unionByName(materialise(spark, confirm(new, known, similarity, bits, fine), f"links-{depth}"))
             tested = materialise(spark, tested.unionByName(new), f"tested-{depth}")
         depth *= 4
 

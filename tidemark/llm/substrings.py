@@ -12,7 +12,7 @@ candidates; a block or window that a task cannot settle alone goes with the MD5
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,14 +108,31 @@ def _by_text(spans: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"key": pa.array([keys[r].tobytes() for r in rows], pa.binary()), "spans": pa.array([pairs[starts[r] : ends[r]].tobytes() for r in rows], pa.binary())})
 
 
-def _unpacked(packed: list[bytes] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(packed or []), "<i4").reshape(-1, 2)
+def _unpacked(packed: bytes | None) -> np.ndarray:
+    return np.frombuffer(packed or b"", "<i4").reshape(-1, 2)
 
 
-def _exchange(rows: DataFrame, bits: int, parts: int, meet, name: str) -> DataFrame:
-    """Packed rows meet by bucket; what comes out is stored as (key, list of packed spans), a row for each text."""
-    out = rows.repartition(parts, "bucket").mapInArrow(meet, "key binary, spans binary")
-    return materialise(rows.sparkSession, out, name).groupBy("key").agg(F.collect_list("spans").alias("spans"))
+def owner_bits(parts: int) -> int:
+    """Buckets of texts: two to four for each task, so that rows stay few and large."""
+    return (2 * parts).bit_length()
+
+
+def _exchange(rows: DataFrame, bits: int, parts: int, meet: Callable[[Iterator[pa.RecordBatch]], np.ndarray], name: str) -> DataFrame:
+    """Packed rows meet by bucket of the hashes; the spans that come out go on, packed again, to buckets of texts. Stored as (key, packed spans), a row for each text."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans = meet(batches)
+        spans = spans[np.argsort(spans["key"][:, 0])]
+        edges = np.searchsorted(spans["key"][:, 0] >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
+        at = np.flatnonzero(edges[1:] > edges[:-1])
+        yield pa.RecordBatch.from_pydict({"owner": pa.array(at, pa.int32()), "spans": pa.array([spans[edges[b] : edges[b + 1]].tobytes() for b in at], pa.binary())})
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.frombuffer(raw, SPAN) for b in batches for raw in b.column("spans").to_pylist()]
+        yield from _by_text(np.concatenate([np.empty(0, SPAN), *parts]))
+
+    out = rows.repartition(parts, "bucket").mapInArrow(found, "owner int, spans binary")
+    return materialise(rows.sparkSession, out.repartition(parts, "owner").mapInArrow(joined, "key binary, spans binary"), name)
 
 
 def hits(keyed: DataFrame, block: int, bits: int, parts: int, gathered: int = GATHERED) -> DataFrame:
@@ -155,7 +172,7 @@ def hits(keyed: DataFrame, block: int, bits: int, parts: int, gathered: int = GA
         if held:
             yield flush()
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         batches = list(batches)
         wide = lambda name: (lambda v, at: np.sort(v + (at << np.uint64(32))))(*_gathered(batches, name, np.dtype("<u4")))
         once, twice = wide("once"), wide("twice")
@@ -164,10 +181,10 @@ def hits(keyed: DataFrame, block: int, bits: int, parts: int, gathered: int = GA
         times = sum(w * (np.searchsorted(x, value, "right") - np.searchsorted(x, value)) for w, x in ((1, once), (2, twice)))
         asked = asked[times > 1]
         sure, _ = _gathered(batches, "sure", SPAN)
-        yield from _by_text(np.concatenate((sure, _spans(asked["key"], asked["at"], asked["at"]))))
+        return np.concatenate((sure, _spans(asked["key"], asked["at"], asked["at"])))
 
     rows = keyed.mapInArrow(send, "bucket int, once binary, twice binary, asked binary, sure binary")
-    return _exchange(rows, bits, parts, meet, "hits")
+    return _exchange(rows, owner_bits(parts), parts, meet, "hits")
 
 
 def repeats(keyed: DataFrame, found: DataFrame, window: int, block: int, bits: int, parts: int, gathered: int = GATHERED) -> DataFrame:
@@ -224,7 +241,7 @@ def repeats(keyed: DataFrame, found: DataFrame, window: int, block: int, bits: i
         if held:
             yield flush()
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         batches = list(batches)
         asked, (twice, _) = _gathered(batches, "asked", PLACE)[0], _gathered(batches, "twice", HASH)
         h, g = np.concatenate((asked["h"], twice["h"])), np.concatenate((asked["g"], twice["g"]))
@@ -237,10 +254,10 @@ def repeats(keyed: DataFrame, found: DataFrame, window: int, block: int, bits: i
             known = order[np.repeat(weight > 1, size)]
             known = known[known < len(asked)]
             sure = np.concatenate((sure, _spans(asked["key"][known], asked["at"][known], asked["at"][known])))
-        yield from _by_text(sure)
+        return sure
 
     out = rows.mapInArrow(send, "bucket int, twice binary, asked binary, sure binary")
-    return _exchange(out, bits, parts, meet, "repeats")
+    return _exchange(out, owner_bits(parts), parts, meet, "repeats")
 
 
 ADDED = ("n_words", "n_removed", "spans", "kept")

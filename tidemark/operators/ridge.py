@@ -1,8 +1,8 @@
 """Ridge regression with preprocessing that learns from training rows alone.
 
-Two aggregations over the training rows give all that a model needs: counts, medians and means, then sums, products and, by grouping sets, the
-counts of pairs of categories. From these few numbers the driver solves for any number of penalties. A model is plain
-numbers, saved as JSON; it predicts by column expressions, without Python workers.
+A few aggregations over the training rows give all that a model needs: medians, then sums, products and, by grouping sets, sums by level and the
+counts of pairs of levels. From these few numbers the driver solves for any number of penalties. Sums are kept by group, and add up: operators/many.py
+solves many models and expanding windows from one set of them. A model is plain numbers, saved as JSON; it predicts by column expressions, without Python workers.
 """
 
 from __future__ import annotations
@@ -99,64 +99,120 @@ class Moments:
         return Ridge(self.numeric, self.categorical, self.binary, self.medians, self.means, self.scales, weights, levels, float(self.y_mean - w @ self.centre), float(alpha))
 
 
+#: Cells (groups x levels, and pairs of levels) that the driver takes; a category of more must be binned first.
+MAX_CELLS = 500_000
+
+
+@dataclass
+class Sums:
+    """Additive sums over rows: of columns v = (numbers less their origin, null being 0; whether each is null; flags; the target less its origin), of their
+    products, of v at each level, and counts of pairs of levels. Medians come in later, so sums of parts of the rows add up to those of the whole."""
+
+    numeric: list[str]
+    categorical: list[str]
+    binary: list[str]
+    origin: np.ndarray
+    n: int
+    s: np.ndarray
+    p: np.ndarray
+    level: dict[tuple[int, str], np.ndarray]  # (category, level): count, then sums of v
+    pair: dict[tuple[int, str, int, str], int]
+
+    def __add__(self, other: Sums) -> Sums:
+        level, pair = dict(self.level), dict(self.pair)
+        for k, v in other.level.items():
+            level[k] = level[k] + v if k in level else v
+        for k, v in other.pair.items():
+            pair[k] = pair.get(k, 0) + v
+        return Sums(self.numeric, self.categorical, self.binary, self.origin, self.n + other.n, self.s + other.s, self.p + other.p, level, pair)
+
+    def moments(self, medians: dict[str, float]) -> Moments:
+        """The design's moments once nulls are filled with medians."""
+        m, f, n = len(self.numeric), len(self.binary), self.n
+        if not n:
+            raise ValueError("no training rows")
+        fill = np.zeros((m + f + 1, 2 * m + f + 1))
+        for i, c in enumerate(self.numeric):
+            fill[i, i], fill[i, m + i] = 1.0, medians[c] - self.origin[i]
+        fill[m:, 2 * m :] = np.eye(f + 1)
+        s, p = fill @ self.s, fill @ self.p @ fill.T
+        levels = sorted(self.level)
+        at, k, m = {kv: i for i, kv in enumerate(levels)}, len(levels), m + f
+        gram, total, with_y = np.zeros((k + m, k + m)), np.zeros(k + m), np.zeros(k + m)
+        for kv, i in at.items():
+            sums = fill @ self.level[kv][1:]
+            gram[i, i] = total[i] = self.level[kv][0]
+            gram[i, k:] = gram[k:, i] = sums[:-1]
+            with_y[i] = sums[-1]
+        for (c, v, d, w), count in self.pair.items():
+            gram[at[c, v], at[d, w]] = gram[at[d, w], at[c, v]] = count
+        gram[k:, k:], total[k:], with_y[k:] = p[:m, :m], s[:m], p[:m, m]
+        centre = total / n
+        gram, with_y = gram - np.outer(centre, centre) * n, with_y - centre * s[m]
+        numbers = slice(k, k + len(self.numeric))
+        spread = np.sqrt(np.maximum(np.diag(gram)[numbers], 0) / n)
+        spread[spread <= 1e-12] = 1.0
+        scale = np.ones(k + m)
+        scale[numbers] = spread
+        means = {c: float(self.origin[i] + centre[k + i]) for i, c in enumerate(self.numeric)}
+        scaled_centre = centre.copy()
+        scaled_centre[numbers] = 0.0  # centred by the model itself
+        return Moments(
+            self.numeric, self.categorical, self.binary, n, medians, means, dict(zip(self.numeric, spread.tolist(), strict=True)), [(self.categorical[c], v) for c, v in levels],
+            scaled_centre, gram / np.outer(scale, scale), with_y / scale, float(self.origin[-1] + s[m] / n),
+        )
+
+
+def sums_by(df: DataFrame, y: str, by: list[str], numeric: list[str], categorical: list[str] = (), binary: list[str] = (), origin: list[float] | None = None) -> dict[tuple, Sums]:
+    """Sums of the rows of each group, from two aggregations whatever the number of groups; rows without a target are left out.
+
+    origin is subtracted from the numbers and, last, from the target: the same for all groups, so that these add up, and near the data, so that large offsets
+    cost no digits. Groups times levels, and pairs of levels, must be at most MAX_CELLS.
+    """
+    numeric, categorical, binary, by = list(numeric), list(categorical), list(binary), list(by)
+    origin = np.array(origin if origin is not None else [0.0] * (len(numeric) + 1), float)
+    x = [F.coalesce(F.col(c).cast("double") - float(o), F.lit(0.0)) for c, o in zip(numeric, origin)] + [F.col(c).isNull().cast("double") for c in numeric]
+    x += [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in binary] + [F.col(y).cast("double") - float(origin[-1])]
+    names, keys, groups = [f"x{i}" for i in range(len(x))], [f"c{i}" for i in range(len(categorical))], [f"g{i}" for i in range(len(by))]
+    cats = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for c, k in zip(categorical, keys)]
+    rows = df.where(F.col(y).isNotNull()).select(*(F.col(c).alias(g) for c, g in zip(by, groups)), *(v.alias(n) for v, n in zip(x, names)), *cats)
+    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+    whole = rows.groupBy(*groups).agg(F.count("*").alias("n"), *(F.sum(a).alias(f"s_{a}") for a in names), *(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p_{i}_{j}") for i, j in pairs))
+    out: dict[tuple, Sums] = {}
+    for r in whole.where("n > 0").limit(MAX_CELLS + 1).collect():
+        p = np.zeros((len(x), len(x)))
+        for i, j in pairs:
+            p[i, j] = p[j, i] = r[f"p_{i}_{j}"]
+        out[tuple(r[g] for g in groups)] = Sums(numeric, categorical, binary, origin, r.n, np.array([r[f"s_{a}"] for a in names]), p, {}, {})
+    if keys:
+        sets = [[*groups, a] for a in keys] + [[*groups, a, b] for a, b in combinations(keys, 2)]
+        cells = rows.groupingSets(sets, *groups, *keys).agg(F.grouping_id(*groups, *keys).alias("g"), F.count("*").alias("n"), *(F.sum(a).alias(f"s_{a}") for a in names)).limit(MAX_CELLS + 1).collect()
+        if len(cells) > MAX_CELLS:
+            raise ValueError(f"more than {MAX_CELLS} levels and pairs of levels: bin the categories {categorical} first")
+        for r in cells:
+            held = [i for i in range(len(keys)) if not r.g >> (len(keys) - 1 - i) & 1]
+            group = out[tuple(r[g] for g in groups)]
+            if len(held) == 1:
+                group.level[held[0], r[keys[held[0]]]] = np.array([r.n, *(r[f"s_{a}"] for a in names)], float)
+            else:
+                group.pair[held[0], r[keys[held[0]]], held[1], r[keys[held[1]]]] = r.n
+    return out
+
+
 def moments(train: DataFrame, y: str, numeric: list[str], categorical: list[str] = (), binary: list[str] = (), exact: bool = True) -> Moments:
-    """Reads the training rows twice.
+    """Reads the training rows for medians, then for sums.
 
     Medians are exact and interpolate, or with exact=False come from a sketch of bounded size; scales are population standard deviations, 1 where that is
-    zero; each category keeps all its levels. Numbers are summed as differences from their medians, the target from its mean,
-    so that large offsets cost no digits. Rows without a target are left out.
+    zero; each category keeps all its levels. Numbers are summed as differences from their medians, the target from its mean. Rows without a target are left out.
     """
-    numeric, categorical, binary = list(numeric), list(categorical), list(binary)
+    numeric = list(numeric)
     train = train.where(F.col(y).isNotNull())
     median = lambda c: F.median(F.col(c).cast("double")) if exact else F.percentile_approx(F.col(c).cast("double"), 0.5, 100_000)
     first = train.agg(F.count("*").alias("n"), F.avg(y).alias("y"), *(median(c).alias(f"m_{c}") for c in numeric)).first()
     if not first.n:
         raise ValueError("no training rows")
     medians = {c: first[f"m_{c}"] if first[f"m_{c}"] is not None else 0.0 for c in numeric}
-    x = {f"x{i}": F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) - medians[c] for i, c in enumerate(numeric)}
-    x |= {f"x{len(numeric) + i}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for i, c in enumerate(binary)}
-    x["y"] = F.col(y).cast("double") - first.y
-    cats = {f"c{i}": F.coalesce(F.col(c).cast("string"), F.lit("")) for i, c in enumerate(categorical)}
-    rows = train.select(*(v.alias(k) for k, v in (x | cats).items()))
-    names, m = list(x), len(x) - 1
-    sums = rows.agg(*(F.sum(a).alias(f"s_{a}") for a in names), *(F.sum(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for i, a in enumerate(names) for b in names[i:])).first()
-    s = np.array([sums[f"s_{a}"] for a in names])
-    p = np.array([[sums[f"p_{min(a, b, key=names.index)}_{max(a, b, key=names.index)}"] for b in names] for a in names])
-
-    keys = list(cats)
-    found = []
-    if keys:
-        sets = [[a] for a in keys] + [list(two) for two in combinations(keys, 2)]
-        found = rows.groupingSets(sets, *keys).agg(F.grouping_id(*keys).alias("g"), F.count("*").alias("n"), *(F.sum(a).alias(f"s_{a}") for a in names)).collect()
-    id_of = lambda kept: sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in kept)
-    single = {(k, r[k]): r for k in keys for r in found if r.g == id_of([k])}
-    levels = sorted(single, key=lambda kv: (keys.index(kv[0]), kv[1]))
-    at, k = {kv: i for i, kv in enumerate(levels)}, len(levels)
-    gram, total, with_y = np.zeros((k + m, k + m)), np.zeros(k + m), np.zeros(k + m)
-    for kv, i in at.items():
-        r = single[kv]
-        gram[i, i] = total[i] = r.n
-        gram[i, k:] = gram[k:, i] = [r[f"s_{a}"] for a in names[:-1]]
-        with_y[i] = r.s_y
-    for a, b in combinations(keys, 2):
-        for r in found:
-            if r.g == id_of([a, b]):
-                i, j = at[a, r[a]], at[b, r[b]]
-                gram[i, j] = gram[j, i] = r.n
-    gram[k:, k:], total[k:], with_y[k:] = p[:m, :m], s[:m], p[:m, m]
-    centre, n = total / first.n, first.n
-    gram, with_y = gram - np.outer(centre, centre) * n, with_y - centre * s[m]
-    spread = np.sqrt(np.maximum(np.diag(gram)[k : k + len(numeric)], 0) / n)
-    spread[spread <= 1e-12] = 1.0
-    scale = np.ones(k + m)
-    scale[k : k + len(numeric)] = spread
-    means = {c: medians[c] + float(centre[k + i]) for i, c in enumerate(numeric)}
-    scaled_centre = centre.copy()
-    scaled_centre[k : k + len(numeric)] = 0.0  # centred by the model itself
-    return Moments(
-        numeric, categorical, binary, n, medians, means, dict(zip(numeric, spread.tolist(), strict=True)), [(categorical[keys.index(c)], v) for c, v in levels],
-        scaled_centre, gram / np.outer(scale, scale), with_y / scale, float(first.y + s[m] / n),
-    )
+    return sums_by(train, y, [], numeric, categorical, binary, [*medians.values(), first.y])[()].moments(medians)
 
 
 def fit(train: DataFrame, y: str, numeric: list[str], categorical: list[str] = (), binary: list[str] = (), alpha: float = 1.0, exact: bool = True) -> Ridge:

@@ -48,22 +48,24 @@ def report_by_flags(df: DataFrame, flags: list[str], y: str = "y", pred: str = "
     return report_by_labels(df.withColumn("_flags", names), "_flags", y, pred, **how)
 
 
-def compare_by(df: DataFrame, by: str, y: str, a: str, b: str) -> DataFrame:
+def compare_by(df: DataFrame, by: str | list[str], y: str, a: str, b: str) -> DataFrame:
     """Two models per group: n, both MAE, mean_actual, both MAE relative to it (null if not positive), and whether a is worse."""
-    sums = df.groupBy(by).agg(F.count("*").alias("n"), F.avg(F.abs(F.col(y) - F.col(a))).alias("_a"), F.avg(F.abs(F.col(y) - F.col(b))).alias("_b"), F.avg(y).alias("_m"))
+    by = [by] if isinstance(by, str) else by
+    sums = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs(F.col(y) - F.col(a))).alias("_a"), F.avg(F.abs(F.col(y) - F.col(b))).alias("_b"), F.avg(y).alias("_m"))
     m = F.when(F.col("_m") > 0, F.col("_m"))
-    return sums.select(by, "n", F.col("_a").alias("mae_a"), F.col("_b").alias("mae_b"), F.col("_m").alias("mean_actual"), (F.col("_a") / m).alias("rel_a"), (F.col("_b") / m).alias("rel_b"), (F.col("_a") > F.col("_b")).alias("a_worse"))
+    return sums.select(*by, "n", F.col("_a").alias("mae_a"), F.col("_b").alias("mae_b"), F.col("_m").alias("mean_actual"), (F.col("_a") / m).alias("rel_a"), (F.col("_b") / m).alias("rel_b"), (F.col("_a") > F.col("_b")).alias("a_worse"))
 
 
-def night_rollup(df: DataFrame, hour: str, y: str, a: str, b: str, night: tuple[int, ...] = NIGHT) -> DataFrame:
-    """compare_by for night and day."""
-    return compare_by(df.withColumn("part", F.when(F.col(hour).isin(*night), "night").otherwise("day")), "part", y, a, b)
+def night_rollup(df: DataFrame, hour: str, y: str, a: str, b: str, night: tuple[int, ...] = NIGHT, by: list[str] = ()) -> DataFrame:
+    """compare_by for night and day, in each group of by."""
+    return compare_by(df.withColumn("part", F.when(F.col(hour).isin(*night), "night").otherwise("day")), [*by, "part"], y, a, b)
 
 
-def win_table(df: DataFrame, by: str, y: str, a: str, b: str) -> DataFrame:
+def win_table(df: DataFrame, by: str | list[str], y: str, a: str, b: str) -> DataFrame:
     """Per group the MAE pair, b - a, the better model and whether the sample is small."""
     out = compare_by(df, by, y, a, b)
-    return out.select(by, "n", "mae_a", "mae_b", (F.col("mae_b") - F.col("mae_a")).alias("delta"), F.when(F.col("mae_a") < F.col("mae_b"), "a").otherwise("b").alias("winner"), (F.col("n") < SMALL).alias("small_sample"))
+    by = [by] if isinstance(by, str) else by
+    return out.select(*by, "n", "mae_a", "mae_b", (F.col("mae_b") - F.col("mae_a")).alias("delta"), F.when(F.col("mae_a") < F.col("mae_b"), "a").otherwise("b").alias("winner"), (F.col("n") < SMALL).alias("small_sample"))
 
 
 def window_bias(df: DataFrame, month: str, y: str, pred: str, last_month: int = 9) -> DataFrame:

@@ -79,6 +79,27 @@ def random_split(df: DataFrame, keys: list[str], seed: int, train: float = 0.7,
     return out.withColumn("split", F.when(F.col("_r") <= a, "train").when(F.col("_r") <= a + b, "validation").otherwise("test")).drop("_h", "_p", "_before", "_n", "_r")
 
 
+def hash_ranks(df: DataFrame, keys: list[str], seeds: tuple[int, ...] = (), parts: list[str] = ()) -> DataFrame:
+    """df with _rank, from 1 in hash order within each part, and _total, the part's rows: for all parts at once. With seeds each row comes once for each, with
+    the column seed, which is a part of its own; without, df has that column. Parts must be few: their counts by prefix (16 ** DIGITS each) are broadcast.
+    """
+    if seeds:
+        df = df.withColumn("seed", F.explode(F.array(*(F.lit(s).cast("long") for s in seeds))))
+    parts = ["seed", *parts]
+    df = df.withColumn("_h", F.md5(F.concat_ws("|", F.col("seed").cast("string"), *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys)).cast("binary"))).withColumn("_p", F.substring("_h", 1, DIGITS))
+    part = Window.partitionBy(*parts)
+    counts = df.groupBy(*parts, "_p").agg(F.count("*").alias("_c"))
+    counts = counts.select(*parts, "_p", (F.sum("_c").over(part.orderBy("_p")) - F.col("_c")).alias("_before"), F.sum("_c").over(part).alias("_total"))
+    out = df.join(F.broadcast(counts), [*parts, "_p"])
+    return out.withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy(*parts, "_p").orderBy("_h", *keys))).drop("_h", "_p", "_before")
+
+
+def split_of_rank(train: float = 0.7, validation: float = 0.15) -> Column:
+    """The split of a row by its _rank of _total: the counts of random_split."""
+    a, b = F.floor(F.col("_total") * train), F.floor(F.col("_total") * validation)
+    return F.when(F.col("_rank") <= a, "train").when(F.col("_rank") <= a + b, "validation").otherwise("test")
+
+
 def sample_rows(df: DataFrame, keys: list[str], seed: int, n: int) -> DataFrame:
     """The n rows of the least hashes."""
     return df.withColumn("_h", hash_order(keys, seed)).orderBy("_h", *keys).limit(n).drop("_h")

@@ -18,6 +18,7 @@ from tidemark.operators import bootstrap, collapse, drift, explore, lags, qualit
 from tidemark.operators.segments import metrics
 from tidemark.plans import policy, scoring
 from tidemark.plans.baseline import CUT, fit_group_mean, hourly, predict_group_mean
+from tidemark.plans.solved import one_hot, solved
 from tidemark.session import table
 from tidemark.sources.shared import stored
 
@@ -703,7 +704,15 @@ def alpha_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(a, m, r, a == best) for a, m, r in rows], "alpha double, mae double, rmse double, chosen boolean")
 
 
-@query("ridge_pipeline_metrics")
+_HOUR_DOW = one_hot("hour_dow", [f"{h}_{d}" for h in range(24) for d in range(7)])
+_PIPELINE = "(SELECT 0 AS model, *, epoch(hour_ts) / 86400 AS t, hour || '_' || day_of_week AS hour_dow FROM hours WHERE hour_ts {cut})"
+
+
+@query(
+    "ridge_pipeline_metrics",
+    f"""WITH RECURSIVE {HOURS}, {solved("s", _PIPELINE.format(cut=f"< TIMESTAMP '{CUT}'"), _PIPELINE.format(cut=f">= TIMESTAMP '{CUT}'"), ["t"], [*_HOUR_DOW, *one_hot("month", list(range(1, 13))), "day_of_week >= 5"], 10.0)}
+SELECT count(pred - y) AS n, round(avg(abs(y - pred)), 6) AS mae, round(sqrt(avg((y - pred) * (y - pred))), 6) AS rmse, round(1 - avg((y - pred) * (y - pred)) / nullif(var_pop(y), 0), 6) AS r2 FROM s""",
+)
 def ridge_pipeline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = hours(spark, sf_dir).withColumn("t", (F.unix_timestamp(F.col("hour_ts").cast("timestamp")) / 86400).cast("double"))
     cut = F.lit(CUT).cast("timestamp_ntz")

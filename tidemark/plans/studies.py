@@ -21,6 +21,7 @@ from tidemark.plans import policy as P
 from tidemark.plans import scoring
 from tidemark.plans.baseline import CUT, fit_group_mean
 from tidemark.plans.catalogue import DAYS, HOURS, days, events, hours, orders, query
+from tidemark.plans.solved import solved
 from tidemark.session import table
 from tidemark.sources import artifacts as A
 from tidemark.sources import raw
@@ -221,7 +222,7 @@ def experiment_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, [(r["year"], r["mean"], found["psi"]["y"].get(r["year"])) for r in found["target"]], "year int, mean double, psi double")
 
 
-WEEKS = ["2024-01-15 00:00:00", "2024-01-22 00:00:00"], ["2024-01-22 00:00:00", "2024-02-01 00:00:00"]
+WEEKS = ["2024-01-08 00:00:00", "2024-01-15 00:00:00", "2024-01-22 00:00:00"], ["2024-01-15 00:00:00", "2024-01-22 00:00:00", "2024-02-01 00:00:00"]
 
 
 def _night_sql() -> str:
@@ -280,49 +281,59 @@ def experiment_window_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, [(r["n"], r["mae_all"], r["mae_first"], r["delta"], ",".join(map(str, r["worst"])))], "n long, mae_all double, mae_first double, delta double, worst string")
 
 
-LAG_SEEDS = X.SEEDS[:2]
+_LAGGED = ", ".join(f"l{k}.y AS f{i}" for i, k in enumerate(X.LAG_HOURS)), " ".join(f"JOIN o l{k} ON o.hour_ts = l{k}.hour_ts + INTERVAL {k} HOUR" for k in X.LAG_HOURS)
+_SHIFTED = ", ".join(f"lag(y, {k}) OVER (ORDER BY hour_ts) AS f{i}" for i, k in enumerate(X.LAG_HOURS))
+_SEEDS = "[" + ", ".join(f"{s}::BIGINT" for s in X.SEEDS) + "]"
 
 
 def _lag_sql() -> str:
-    parts = [f"WITH {SERIES_H}, o AS (SELECT hour_ts, y FROM e), lt AS (SELECT a.hour_ts, a.y, b.y AS lag FROM o a JOIN o b ON a.hour_ts = b.hour_ts + INTERVAL 24 HOUR), lr AS (SELECT * FROM (SELECT hour_ts, y, lag(y, 24) OVER (ORDER BY hour_ts) AS lag FROM o) WHERE lag IS NOT NULL)"]
-    rows = []
-    for arm, rel in (("none", "o"), ("time", "lt"), ("row", "lr")):
-        def model(name: str, train: str, test: str, arm: str = arm) -> str:
-            return f"{name} AS (SELECT t.*, (SELECT avg(y) FROM {train}) AS pred FROM {test} t)" if arm == "none" else fitted(name, train, test, x="lag")
-
-        parts.append(model(f"m_{arm}", before(CUT, "hour_ts", rel), since(CUT, None, "hour_ts", rel)))
-        for s in LAG_SEEDS:
-            parts.append(f"r_{arm}{s} AS (SELECT * FROM {ranked(s, rel, 'hour_ts')})")
-            parts.append(model(f"p_{arm}{s}", f"(SELECT * FROM r_{arm}{s} WHERE rk <= floor(total * 0.7::DOUBLE))", f"(SELECT * FROM r_{arm}{s} WHERE rk > floor(total * 0.7::DOUBLE) + floor(total * 0.15::DOUBLE))"))
-            rows.append(f"SELECT '{arm}' AS lags, (SELECT avg(abs(y - pred)) FROM m_{arm}) AS t, (SELECT avg(abs(y - pred)) FROM p_{arm}{s}) AS p")
-    parts.append("u AS (" + " UNION ALL ".join(rows) + ")")
-    return ", ".join(parts) + " SELECT lags, round(any_value(t), 6) AS mae_time, round(avg(p - t), 6) AS optimism, count(*) AS n FROM u GROUP BY 1"
+    train = f"(SELECT arm || seed AS model, y, f0, f1, f2 FROM dealt WHERE rk <= floor(total * 0.7::DOUBLE) UNION ALL SELECT arm || 'time', y, f0, f1, f2 FROM dealt WHERE seed = {X.SEEDS[0]} AND hour_ts < TIMESTAMP '{CUT}')"
+    test = f"(SELECT arm || seed AS model, arm, seed, y, f0, f1, f2 FROM dealt WHERE rk > floor(total * 0.7::DOUBLE) + floor(total * 0.15::DOUBLE) UNION ALL SELECT arm || 'time', arm, NULL, y, f0, f1, f2 FROM dealt WHERE seed = {X.SEEDS[0]} AND hour_ts >= TIMESTAMP '{CUT}')"
+    return f"""WITH RECURSIVE {HOURS}, o AS (SELECT hour_ts, y FROM hours), arms AS (
+SELECT 'none' AS arm, hour_ts, y, 0::DOUBLE AS f0, 0::DOUBLE AS f1, 0::DOUBLE AS f2 FROM o
+UNION ALL SELECT 'time', o.hour_ts, o.y, {_LAGGED[0]} FROM o {_LAGGED[1]}
+UNION ALL SELECT * FROM (SELECT 'row', hour_ts, y, {_SHIFTED} FROM o) WHERE f2 IS NOT NULL),
+seeds AS (SELECT unnest({_SEEDS}) AS seed), dealt AS (SELECT *, row_number() OVER (PARTITION BY arm, seed ORDER BY md5(seed || '|' || hour_ts), hour_ts) AS rk, count(*) OVER (PARTITION BY arm, seed) AS total FROM arms, seeds),
+{solved("s", train, test, ["f0", "f1", "f2"], [], ALPHA)}, e AS (SELECT arm, seed, avg(abs(y - pred)) AS mae FROM s GROUP BY ALL), t AS (SELECT arm, mae FROM e WHERE seed IS NULL)
+SELECT e.arm AS lags, round(any_value(t.mae), 6) AS mae_time, round(avg(e.mae - t.mae), 6) AS optimism, round(stddev_pop(e.mae - t.mae), 6) AS sd, count(*) AS n FROM e JOIN t USING (arm) WHERE seed IS NOT NULL GROUP BY e.arm"""
 
 
 @query("experiment_lag_leak", _lag_sql())
 def experiment_lag_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = X.lag_leak(BARE, hourly_series(spark, sf_dir), CUT, (24,), LAG_SEEDS)
-    return frame(spark, [(k, v["time"]["mae"], v["optimism"]["mean"], v["optimism"]["n"]) for k, v in found.items()], "lags string, mae_time double, optimism double, n long")
-
-
-AUDIT_DRAWS = 4000
-
-
-def _audit_sql(train_end: str, first: str, end: str) -> str:
-    train = before(train_end, "hour_ts")
-    return f"""WITH {SERIES_H}, {fitted("w", train, since(first, end, "hour_ts"))}, bm AS (SELECT hour, day_of_week, avg(y) AS bp FROM {train} GROUP BY ALL),
-s AS (SELECT w.*, coalesce(bp, (SELECT avg(y) FROM {train})) AS base FROM w LEFT JOIN bm USING (hour, day_of_week)),
-d AS (SELECT hour_ts::DATE AS block, count(*) AS k, sum(abs(y - pred)) AS a, sum(abs(y - base)) AS c FROM s GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY block) - 1 AS nth FROM d), z AS (SELECT count(*) AS blocks FROM d),
-p AS (SELECT draw, ('0x' || substr(md5('{X.DRAW_SEED}-' || draw || '-' || pick), 1, 8))::BIGINT % blocks AS nth FROM z, (SELECT unnest(range(0, {AUDIT_DRAWS})) AS draw) q, LATERAL (SELECT unnest(range(0, blocks)) AS pick) l),
-r AS (SELECT draw, (sum(c) - sum(a)) / sum(k) AS dm FROM p JOIN o USING (nth) GROUP BY 1),
-i AS (SELECT quantile_cont(dm, 0.025) AS lo, quantile_cont(dm, 0.975) AS hi, 100.0 * avg((dm > 0)::INT::DOUBLE) AS better FROM r), t AS (SELECT (sum(c) - sum(a)) / sum(k) AS point FROM d)
-SELECT CASE WHEN better > 50 AND (lo > 0 OR hi < 0) THEN 'better' WHEN better > 50 THEN 'probably_better' ELSE 'not_better' END AS verdict, round(point, 6) AS point, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, round(better, 6) AS better_pct,
-  (SELECT round(avg(abs(y - pred)) FILTER (hour <= 4), 6) FROM s) AS night_mae_a, (SELECT round(avg(abs(y - base)) FILTER (hour <= 4), 6) FROM s) AS night_mae_b FROM i, t"""
-
-
-@query("experiment_final_audit", _audit_sql(CUT, CUT, "2024-02-01 00:00:00"))
+    """Lags of 1, 24 and 168 hours, five seeds."""
+    found = X.lag_leak(BARE, hourly_series(spark, sf_dir), CUT)
+    return frame(spark, [(k, v["time"]["mae"], *(v["optimism"][c] for c in ("mean", "sd", "n"))) for k, v in found.items()], "lags string, mae_time double, optimism double, sd double, n long")
+
+
+#: Development windows of the audit, the first of them the pseudo-test, and the final window.
+AUDIT_CUTS, AUDIT_ENDS = ["2024-01-15 00:00:00", "2024-01-08 00:00:00", "2024-01-11 00:00:00", "2024-01-18 00:00:00"], ["2024-01-22 00:00:00", "2024-01-11 00:00:00", "2024-01-15 00:00:00", "2024-01-22 00:00:00"]
+END = "2024-02-01 00:00:00"
+
+
+def _audit_sql() -> str:
+    windows = [(-1, CUT, END, X.DRAW_SEED), *((i, a, b, X.DRAW_SEED + 1 if i == 0 else X.DRAW_SEED + 9 + i) for i, (a, b) in enumerate(zip(AUDIT_CUTS, AUDIT_ENDS, strict=True)))]
+    parts, scored = [f"WITH {SERIES_H}"], []
+    for i, a, b, _ in windows:
+        w = f"w{i + 1}"
+        parts.append(fitted(w, before(a, "hour_ts"), since(a, b, "hour_ts")))
+        parts.append(f"{w}_b AS (SELECT hour, day_of_week, avg(y) AS bp FROM {before(a, 'hour_ts')} GROUP BY ALL)")
+        scored.append(f"SELECT {i}::BIGINT AS fold, hour_ts, hour, month, y, pred, coalesce(bp, (SELECT avg(y) FROM {before(a, 'hour_ts')})) AS base FROM {w} LEFT JOIN {w}_b USING (hour, day_of_week)")
+    parts.append("s AS (" + " UNION ALL ".join(scored) + ")")
+    parts.append(f"z(fold, seed) AS (VALUES {', '.join(f'({i}, {seed})' for i, _, _, seed in windows)})")
+    parts.append("d AS (SELECT fold, hour_ts::DATE AS block, count(*) AS k, sum(abs(y - pred)) AS a, sum(abs(y - base)) AS c FROM s GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY block) - 1 AS nth, count(*) OVER (PARTITION BY fold) AS blocks FROM d)")
+    parts.append(f"p AS (SELECT fold, draw, ('0x' || substr(md5(seed || '-' || draw || '-' || pick), 1, 8))::BIGINT % blocks AS nth FROM (SELECT DISTINCT fold, blocks FROM o) JOIN z USING (fold), (SELECT unnest(range(0, {X.DRAWS})) AS draw) q, LATERAL (SELECT unnest(range(0, blocks)) AS pick) l)")
+    parts.append("r AS (SELECT fold, draw, (sum(c) - sum(a)) / sum(k) AS dm FROM p JOIN o USING (fold, nth) GROUP BY ALL), i AS (SELECT fold, quantile_cont(dm, 0.025) AS lo, quantile_cont(dm, 0.975) AS hi, 100.0 * avg((dm > 0)::INT::DOUBLE) AS better FROM r GROUP BY fold)")
+    parts.append("t AS (SELECT fold, (sum(c) - sum(a)) / sum(k) AS point FROM d GROUP BY fold), m AS (SELECT fold, month, avg(abs(y - pred)) < avg(abs(y - base)) AS won FROM s GROUP BY ALL), n AS (SELECT fold, count(*) FILTER (won) AS won, count(*) AS months FROM m GROUP BY fold)")
+    parts.append("v AS (SELECT CASE WHEN better > 50 AND (lo > 0 OR hi < 0) THEN 'better' WHEN better > 50 THEN 'probably_better' ELSE 'not_better' END AS verdict FROM i WHERE fold = -1), y AS (SELECT count(*) FILTER (point > 0) AS windows_better, bool_and(better > 50) AS all_agree FROM i JOIN t USING (fold) WHERE fold >= 0)")
+    return ", ".join(parts) + """ SELECT fold, round(point, 6) AS point, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, round(better, 6) AS better_pct, won AS months_won, months,
+(SELECT round(avg(abs(y - pred)) FILTER (hour <= 4), 6) FROM s WHERE s.fold = i.fold) AS night_mae_a, (SELECT round(avg(abs(y - base)) FILTER (hour <= 4), 6) FROM s WHERE s.fold = i.fold) AS night_mae_b, verdict, windows_better, all_agree
+FROM i JOIN t USING (fold) JOIN n USING (fold), v, y"""
+
+
+@query("experiment_final_audit", _audit_sql())
 def experiment_final_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The final window scored by the stored model and the stored baseline table, once a policy is frozen; development windows for the verdict."""
+    """The final window (fold -1) scored by the stored model and the stored baseline table, once a policy is frozen; four development windows fitted
+    before their own cuts; 4,000 draws each, and one verdict over all."""
     df = hourly_series(spark, sf_dir)
     train = HOURLY.before(df, CUT)
     with tempfile.TemporaryDirectory() as at:  # files of the driver alone
@@ -331,14 +342,15 @@ def experiment_final_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         registry.save(HOURLY.fit(train), fit_group_mean(train, ["hour", "day_of_week"]), P.sign(decided, "now"), {"rows": train.count()})
         registry.policy()  # refuses without a frozen policy
         model, baseline = registry.model(), registry.baseline(spark)
-    window = HOURLY.before(HOURLY.since(df, CUT), "2024-02-01 00:00:00")
+    window = HOURLY.before(HOURLY.since(df, CUT), END)
     overall = train.agg(F.avg("y")).first()[0]
     scored = model.predict(window).join(baseline, ["hour", "day_of_week"], "left").withColumn("base", F.coalesce("baseline_pred", F.lit(overall)))
-    final = X.audit_window(HOURLY, scored, AUDIT_DRAWS)
-    past = HOURLY.before(df, WEEKS[0][0])
-    development = X.audit_window(HOURLY, HOURLY.both(past, HOURLY.before(HOURLY.since(df, WEEKS[0][0]), CUT)), 200)
-    v = X.verdict(final, [development])
-    return frame(spark, [(v["final"], v["point"], *v["interval"], final["d_mae"]["better_pct"], final["night"]["night"]["mae_a"], final["night"]["night"]["mae_b"])], "verdict string, point double, ci_low double, ci_high double, better_pct double, night_mae_a double, night_mae_b double")
+    final, development, v = X.audit(HOURLY, train, AUDIT_CUTS, AUDIT_ENDS, scored)
+    rows = [
+        (i, w["d_mae"]["point"], w["d_mae"]["ci_low"], w["d_mae"]["ci_high"], w["d_mae"]["better_pct"], w["months_won"], len(w["months"]), *(w["night"].get("night", {}).get(c) for c in ("mae_a", "mae_b")), v["final"], v["windows_better"], v["all_windows_agree"])
+        for i, w in [(-1, final), *enumerate(development)]
+    ]
+    return frame(spark, rows, "fold long, point double, ci_low double, ci_high double, better_pct double, months_won long, months long, night_mae_a double, night_mae_b double, verdict string, windows_better long, all_agree boolean")
 
 
 # --- sources, sinks, artifacts --------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import quantiles
 
 FLOOR = 1e-6
 
@@ -13,14 +14,14 @@ def psi(df: DataFrame, value: str, group: str, reference: object, bins: int = 10
     """(group, psi, verdict) of every group but the reference, over the reference's quantile bins.
 
     Only distinct inner quantiles are edges, the outer bins being open, and every bin counts, if empty with a floor. Shares
-    are floored but not scaled again. exact=False takes percentile_approx for the edges, for references whose distinct values
-    do not fit an aggregation buffer.
+    are floored but not scaled again. Edges are exact, found by digits where the reference is large; exact=False takes a sketch.
     """
     inner = [i / bins for i in range(1, bins)]
-    quantiles = F.percentile(value, F.array(*map(F.lit, inner))) if exact else F.percentile_approx(value, inner, 100_000)
-    outer = F.array(F.min(value), F.max(value))
-    edges = df.where(F.col(group) == reference).agg(quantiles.alias("q"), outer.alias("o"))
-    edges = edges.select(F.array_distinct(F.filter("q", lambda e: (e > F.col("o")[0]) & (e < F.col("o")[1]))).alias("edges"))
+    base = df.where(F.col(group) == reference)
+    outer = base.agg(F.count(value).alias("n"), F.min(value).alias("a"), F.max(value).alias("b"), *([] if exact else [F.percentile_approx(value, inner, 100_000).alias("q")])).first()
+    found = quantiles.exact_quantiles(base, value, inner, outer.n) if exact else outer.q or []
+    inside = sorted({float(q) for q in found if q is not None and outer.a < q < outer.b})
+    edges = df.sparkSession.createDataFrame([(inside,)], "edges array<double>")
     rows = df.where(F.col(value).isNotNull()).join(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col(value))))
     counts = rows.groupBy(group, "bin").agg(F.count("*").alias("n"))
     totals = counts.groupBy(group).agg(F.sum("n").alias("total"))

@@ -34,7 +34,7 @@ def lag_by_range(df: DataFrame, time_col: str, value: str, hours: list[int], by:
     names = [f"lag_{k}h" for k in hours]
     spec = "PARTITION BY {by} ORDER BY {t} RANGE BETWEEN INTERVAL {k} HOURS PRECEDING AND INTERVAL {k} HOURS PRECEDING"
     if by:
-        return df.withColumns({n: F.expr(f"max({value}) OVER ({spec.format(by=', '.join(by), t=time_col, k=k)})") for n, k in zip(names, hours)})
+        return df.withColumns({n: F.when(F.col(time_col).isNotNull(), F.expr(f"max({value}) OVER ({spec.format(by=', '.join(by), t=time_col, k=k)})")) for n, k in zip(names, hours)})
     kept = [c for c in df.columns if c not in names]
     seconds = 3600 * max([1, *hours, bucket_hours or 0])
     since = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast(df.schema[time_col].dataType), F.col(time_col))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import NO_HOLIDAY
@@ -51,23 +51,32 @@ def flag_invalid(df: DataFrame, above_zero: list[str] = (), sentinels: dict[str,
     return clean, stats
 
 
+def varies(c: str) -> Column:
+    """Whether a column has several values in a group, null being one (an aggregate)."""
+    return F.coalesce(F.min(c) < F.max(c), F.lit(False)) | ((F.count(c) > 0) & (F.count(c) < F.count("*")))
+
+
 def duplicate_audit(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """One row: groups, groups with several rows and the rows in them, their sizes, and per column the groups in which it varies (null being a value)."""
-    distinct = {c: F.count_distinct(F.col(c)) + F.max(F.col(c).isNull().cast("int")) for c in columns}
-    groups = df.groupBy(*key).agg(F.count("*").alias("_n"), *(v.alias(f"_d_{c}") for c, v in distinct.items()))
+    """One row: groups, groups with several rows and the rows in them, their sizes, and per column the groups in which it varies (null being a value). A column varies if
+    its least and greatest value differ or if only some are null, which partial aggregation finds without a copy of the rows for each column."""
+    groups = df.groupBy(*key).agg(F.count("*").alias("_n"), *(varies(c).alias(f"_d_{c}") for c in columns))
     several = F.col("_n") > 1
     return groups.agg(
         F.sum("_n").alias("n_rows"), F.count("*").alias("n_groups"), F.count_if(several).alias("n_duplicate_groups"),
         F.coalesce(F.sum(F.when(several, F.col("_n"))), F.lit(0)).alias("rows_in_duplicates"),
         F.min(F.when(several, F.col("_n"))).alias("min_size"), F.max(F.when(several, F.col("_n"))).alias("max_size"),
-        *(F.count_if(several & (F.col(f"_d_{c}") > 1)).alias(f"varies_{c}") for c in columns),
+        *(F.count_if(several & F.col(f"_d_{c}")).alias(f"varies_{c}") for c in columns),
     )
 
 
 def invariant_violations(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """(key, column, n_values) of groups in which a column that must not vary does."""
-    counts = df.groupBy(*key).agg(*((F.count_distinct(F.col(c)) + F.max(F.col(c).isNull().cast("int"))).cast("long").alias(c) for c in columns))
-    return counts.unpivot(key, list(columns), "column_name", "n_values").where("n_values > 1")
+    """(key, column, n_values) of groups in which a column that must not vary does. Groups that break the rule are found by least and greatest values; only their rows are counted by value."""
+    broken = df.groupBy(*key).agg(*(varies(c).alias(f"_v{i}") for i, c in enumerate(columns)))
+    broken = broken.where(" or ".join(f"_v{i}" for i in range(len(columns)))).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
+    rows = df.join(broken, same, "left_semi").select(*key, F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in columns))).alias("c")).select(*key, "c.*")
+    values = rows.groupBy(*key, "column_name", "v").agg(F.lit(1).alias("_one"))
+    return values.groupBy(*key, "column_name").agg(F.count("*").alias("n_values")).where("n_values > 1")
 
 
 def assert_invariants(df: DataFrame, key: list[str], columns: list[str]) -> None:
@@ -95,6 +104,26 @@ def missing_steps(df: DataFrame, time_col: str, step: str = "HOUR", by: list[str
     return grid.join(present, [*by, "missing"], "left_anti")
 
 
+def missing_runs(df: DataFrame, time_col: str, step: str = "HOUR", by: list[str] = (), bucket_steps: int = 4096) -> DataFrame:
+    """(by, from, to, steps): the runs of steps without rows between the first and the last time of each group, found as gaps between neighbours: the grid is never made.
+
+    Present steps are numbered and cut into buckets of time; neighbours inside a bucket are found by a window over it, and each bucket passes its first and
+    last step on, one row a bucket, to find the gaps between buckets. So a long series is many tasks, and a year without rows is one row.
+    """
+    seconds = {"HOUR": 3600, "DAY": 86400}[step]
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    number = F.floor(F.timestamp_diff("SECOND", start, F.date_trunc(step, F.col(time_col)).cast("timestamp_ntz")) / seconds)
+    keys = [f"_k{i}" for i in range(len(by))]
+    present = df.where(F.col(time_col).isNotNull()).select(*(F.col(c).alias(k) for c, k in zip(by, keys)), number.alias("_n")).distinct()
+    present = present.withColumn("_bucket", F.floor(F.col("_n") / bucket_steps))
+    inside = present.select(*keys, F.lag("_n").over(Window.partitionBy(*keys, "_bucket").orderBy("_n")).alias("_a"), F.col("_n").alias("_b"))
+    ends = present.groupBy(*keys, "_bucket").agg(F.min("_n").alias("_first"), F.max("_n").alias("_last"))
+    between = ends.select(*keys, F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_a"), F.col("_first").alias("_b"))
+    gaps = inside.unionByName(between).where("_b - _a > 1")
+    at = lambda n: F.timestamp_add("SECOND", n * seconds, start).cast("timestamp_ntz")
+    return gaps.select(*(F.col(k).alias(c) for c, k in zip(by, keys)), at(F.col("_a") + 1).alias("from"), at(F.col("_b") - 1).alias("to"), (F.col("_b") - F.col("_a") - 1).alias("steps"))
+
+
 def coverage(df: DataFrame, time_col: str, step: str = "HOUR", by: list[str] = ()) -> DataFrame:
     """(by, first, last, expected, present, missing, missing_ratio) of the grid's steps."""
     t = F.date_trunc(step, F.col(time_col)).cast("timestamp_ntz")

@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import quantiles
+
 #: The grid that tuning goes through, and the wider one of the sensitivity study.
 ALPHAS = (0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0)
 WIDE_ALPHAS = (0.0, 1e-06, 1e-05, 0.0001, *ALPHAS)
@@ -202,16 +204,16 @@ def sums_by(df: DataFrame, y: str, by: list[str], numeric: list[str], categorica
 def moments(train: DataFrame, y: str, numeric: list[str], categorical: list[str] = (), binary: list[str] = (), exact: bool = True) -> Moments:
     """Reads the training rows for medians, then for sums.
 
-    Medians are exact and interpolate, or with exact=False come from a sketch of bounded size; scales are population standard deviations, 1 where that is
+    Medians are exact and interpolate (found by digits where rows are many: no buffer grows with distinct values), or with exact=False come from a sketch of bounded size; scales are population standard deviations, 1 where that is
     zero; each category keeps all its levels. Numbers are summed as differences from their medians, the target from its mean. Rows without a target are left out.
     """
     numeric = list(numeric)
     train = train.where(F.col(y).isNotNull())
-    median = lambda c: F.median(F.col(c).cast("double")) if exact else F.percentile_approx(F.col(c).cast("double"), 0.5, 100_000)
-    first = train.agg(F.count("*").alias("n"), F.avg(y).alias("y"), *(median(c).alias(f"m_{c}") for c in numeric)).first()
+    first = train.agg(F.count("*").alias("n"), F.avg(y).alias("y"), *(F.percentile_approx(F.col(c).cast("double"), 0.5, 100_000).alias(c) for c in numeric if not exact)).first()
     if not first.n:
         raise ValueError("no training rows")
-    medians = {c: first[f"m_{c}"] if first[f"m_{c}"] is not None else 0.0 for c in numeric}
+    found = quantiles.medians(train, numeric, first.n) if exact else first.asDict()
+    medians = {c: found[c] if found[c] is not None else 0.0 for c in numeric}
     return sums_by(train, y, [], numeric, categorical, binary, [*medians.values(), first.y])[()].moments(medians)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import calendar as C
 from tidemark.functions import labels as L
 from tidemark.functions import numbers as N
-from tidemark.operators import bootstrap, collapse, drift, explore, lags, quality, ridge, segments, splits
+from tidemark.operators import bootstrap, collapse, drift, explore, lags, quality, quantiles, ridge, segments, splits
 from tidemark.operators.segments import metrics
 from tidemark.plans import policy, scoring
 from tidemark.plans.baseline import CUT, fit_group_mean, hourly, predict_group_mean
@@ -159,6 +159,32 @@ def gap_audit_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.coverage(events(spark, sf_dir), "ts", "HOUR", ["user_id"])
 
 
+@query(
+    "quantiles_by_digits",
+    """WITH x AS (SELECT l_returnflag, unnest(['l_extendedprice', 'l_quantity']) AS column_name, unnest([l_extendedprice::DOUBLE, l_quantity::DOUBLE]) AS v FROM lineitem),
+q AS (SELECT l_returnflag, column_name, quantile_cont(v, [0.05, 0.5, 0.95]) AS q FROM x GROUP BY ALL)
+SELECT l_returnflag, column_name, unnest([0.05, 0.5, 0.95]::DOUBLE[]) AS share, round(unnest(q), 6) AS value FROM q""",
+)
+def quantiles_by_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of two columns by group, found by counting digits instead of in a buffer of all values."""
+    return quantiles.quantiles(table(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_quantity"], [0.05, 0.5, 0.95], ["l_returnflag"])
+
+
+_RUNS = """WITH p AS (SELECT DISTINCT {by}{t} AS t FROM {rel} WHERE {c} IS NOT NULL), n AS (SELECT *, lead(t) OVER ({part}ORDER BY t) AS nxt FROM p)
+SELECT {by}t + INTERVAL 1 {step} AS "from", nxt - INTERVAL 1 {step} AS "to", (date_diff('{step}', t, nxt) - 1)::BIGINT AS steps FROM n WHERE date_diff('{step}', t, nxt) > 1"""
+
+
+@query("gap_runs_hours", _RUNS.format(by="user_id, ", t="date_trunc('hour', ts)::TIMESTAMP", c="ts", rel="events", part="PARTITION BY user_id ", step="hour"), digits=None)
+def gap_runs_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of hours in which a user has no event."""
+    return quality.missing_runs(events(spark, sf_dir), "ts", "HOUR", ["user_id"], bucket_steps=100)
+
+
+@query("gap_runs_days", _RUNS.format(by="", t="date_trunc('day', o_orderdate)::TIMESTAMP", c="o_orderdate", rel="orders", part="", step="day"), digits=None)
+def gap_runs_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.missing_runs(orders(spark, sf_dir), "o_orderdate", "DAY", bucket_steps=365)
+
+
 @query(
     "holiday_audit",
     f"""SELECT holiday, count(*) AS n_rows, count(DISTINCT o_orderdate::DATE) AS n_days FROM (SELECT o_orderdate, {C.holiday_sql("o_orderdate")} AS holiday FROM orders) WHERE holiday NOT IN ('', 'None') GROUP BY 1""",

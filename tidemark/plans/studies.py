@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from tidemark.functions import calendar as C
 from tidemark.functions import labels as L
 from tidemark.functions import numbers as N
-from tidemark.operators import collapse, quality, ridge, segments, splits
+from tidemark.operators import collapse, many, quality, ridge, segments, splits
 from tidemark.plans import experiments as X
 from tidemark.plans import policy as P
 from tidemark.plans import scoring
-from tidemark.plans.baseline import CUT, fit_group_mean
+from tidemark.plans.baseline import CUT, fit_group_mean, hourly
 from tidemark.plans.catalogue import DAYS, HOURS, days, events, hours, orders, query
-from tidemark.plans.solved import solved
+from tidemark.plans.solved import one_hot, solved
 from tidemark.session import table
 from tidemark.sources import artifacts as A
 from tidemark.sources import raw
@@ -401,7 +401,7 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The collapsed observations, written and loaded again."""
     path = new_path(spark, "clean")
     raw.write_clean(collapse.collapse_weather(quality.drop_bad_times(loaded(spark, sf_dir), "date_time")[0]), path)
-    return raw.load_clean(spark, path)
+    return raw.load_clean(spark, path, check=False)
 
 
 @query("clean_round_trip", f"WITH {_CLEAN} SELECT date_time, n_weather_obs, temp, rain_1h, clouds_all, weather_severity::BIGINT AS weather_severity, wm_clear, wm_rain, wm_snow, wm_squall FROM c")
@@ -422,6 +422,38 @@ def feature_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("date_time", "hour_dow", "month", "temp", "wm_rain", "is_holiday", F.lit(n).alias("n_features"), "is_extreme_weather")
 
 
+_COUNTED = ", ".join(f"count(*) FILTER (weather_main = '{k}') AS n_{k.lower()}" for k in ("Clear", "Rain", "Snow"))
+_CONTRACT = f"""{_CLEAN}, l AS (SELECT date_time, any_value(snow_1h) AS snow_1h, {_COUNTED} FROM typed WHERE date_time IS NOT NULL GROUP BY 1),
+z AS (SELECT date_trunc('hour', ts) AS hour_ts, sum(value) AS y FROM events WHERE ts IS NOT NULL GROUP BY 1),
+k AS (SELECT c.*, snow_1h, y, CASE WHEN n_clear >= n_rain AND n_clear >= n_snow THEN 'Clear' WHEN n_rain >= n_snow THEN 'Rain' ELSE 'Snow' END AS weather_main_mode, CASE WHEN n_snow > 0 THEN 'snow' WHEN n_rain > 0 THEN 'rain' ELSE 'clear' END AS weather_family,
+  hour(date_time) || '_' || (isodow(date_time) - 1) AS hour_dow, month(date_time)::INT AS month, ({C.holiday_sql("date_time")} <> 'None')::INT AS is_holiday FROM c JOIN l USING (date_time) JOIN z ON z.hour_ts = date_trunc('hour', date_time))"""
+_CONTRACT_LEVELS = [
+    *one_hot("hour_dow", [f"{h}_{d}" for h in range(24) for d in range(7)]), *one_hot("month", list(range(1, 13))), *one_hot("weather_main_mode", ["Clear", "Rain", "Snow"]), *one_hot("weather_family", ["clear", "rain", "snow"]),
+    *(f"{c} = 1" for c in collapse.BINARY),
+]
+
+
+def _contract_sql() -> str:
+    of = lambda times: "(" + " UNION ALL ".join(f"SELECT {i} AS model, * FROM k WHERE {when}" for i, when in enumerate(times)) + ")"
+    train = of([f"date_time < TIMESTAMP '{a}'" for a in WEEKS[0]])
+    test = of([f"date_time >= TIMESTAMP '{a}' AND date_time < TIMESTAMP '{b}'" for a, b in zip(*WEEKS, strict=True)])
+    return f"""WITH RECURSIVE {_CONTRACT}, {solved("s", train, test, collapse.NUMERIC, _CONTRACT_LEVELS, ALPHA)}, q AS (SELECT model, {METRICS} FROM s GROUP BY model)
+SELECT model::BIGINT AS fold, n, round(mae, 4) AS mae, round(rmse, 4) AS rmse, round(r2, 4) AS r2 FROM q"""
+
+
+@query("contract_ridge", _contract_sql(), digits=4)
+def contract_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value of an hour by a model of all 21 features (numbers, categories and flags) of its observations, on three expanding windows, whose sums are taken once a month and cut."""
+    df = collapse.add_extreme_flags(C.add_calendar_features(C.add_holiday_flag(cleaned(spark, sf_dir), "date_time"), "date_time"))
+    hour = F.date_trunc("HOUR", "date_time").cast("timestamp_ntz").alias("hour_ts")
+    df = df.select("date_time", hour, *collapse.feature_columns(df).columns).join(hourly(events(spark, sf_dir)), "hour_ts")
+    df = stored(df, "contract")
+    models = many.fit_expanding(df, "date_time", WEEKS[0], "y", collapse.NUMERIC, collapse.CATEGORICAL, collapse.BINARY, ALPHA)
+    windows = [(F.struct(F.lit(i).cast("long").alias("fold"), F.lit(a).alias("cut")), (F.col("date_time") >= splits.ntz(a)) & (F.col("date_time") < splits.ntz(b))) for i, (a, b) in enumerate(zip(*WEEKS, strict=True))]
+    rows = many.memberships(df, "w", windows).select("*", "w.fold", "w.cut")
+    return many.metrics_by(many.predicted(rows, "cut", models), ["fold"])
+
+
 @query("schema_check", "SELECT * FROM (VALUES ('extra', 'note'), ('missing', 'clouds_all'), ('missing', 'holiday')) t(kind, column_name)")
 def schema_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "odd.csv")

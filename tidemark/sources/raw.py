@@ -36,18 +36,23 @@ def write_clean(df: DataFrame, path: str, by: list[str] = ()) -> None:
     (out.partitionBy(*by) if by else out).parquet(path)
 
 
-def load_clean(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    """What write_clean (or, with format csv, write_csv) wrote, typed anew and in the order of time: numbers that cannot be read are null, a label column that has none is 0.
+def load_clean(spark: SparkSession, path: str, format: str = "parquet", check: bool = True) -> DataFrame:
+    """What write_clean (or, with format csv, write_csv) wrote, typed anew: numbers that cannot be read are null, a label column that has none is 0.
 
-    It collapses nothing: a time that repeats is an error, found by a query and not mended here.
+    It collapses nothing and sorts nothing: who needs an order sorts the result. check counts rows by time first and raises if one repeats; readers that need no proof leave it out.
     """
     df = scan_text(spark, path) if format == "csv" else spark.read.parquet(path)
     df = coerce(df, timestamps=["date_time"] if format == "csv" else [], doubles=["temp", "rain_1h", "snow_1h", "clouds_all"], longs=["traffic_volume", "weather_severity"])
     hot = [c for c in main_columns() if c in df.columns]
     df = df.withColumns({c: F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in hot}) if hot else df
-    if not df.groupBy("date_time").count().where("count > 1").limit(1).isEmpty():
+    return assert_one_row_a_time(df) if check else df
+
+
+def assert_one_row_a_time(df: DataFrame, time_col: str = "date_time") -> DataFrame:
+    """df itself; raises if a time has several rows."""
+    if not df.groupBy(time_col).count().where("count > 1").limit(1).isEmpty():
         raise ValueError("the clean table has several rows of one time")
-    return df.orderBy("date_time")
+    return df
 
 
 def write_csv(df: DataFrame, path: str) -> None:

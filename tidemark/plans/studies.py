@@ -24,7 +24,7 @@ from tidemark.plans.catalogue import DAYS, HOURS, days, events, hours, orders, q
 from tidemark.plans.solved import one_hot, solved
 from tidemark.session import table
 from tidemark.sources import artifacts as A
-from tidemark.sources import raw
+from tidemark.sources import partitioned, raw
 from tidemark.sources.shared import new_path, stored
 
 ALPHA = 10.0
@@ -462,6 +462,32 @@ def schema_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, [(k, c) for k, cs in found.items() for c in cs], "kind string, column_name string")
 
 
+_MONTHS = "SELECT o_orderkey, o_custkey + {add} AS o_custkey, o_orderstatus, o_orderpriority, strftime(o_orderdate, '%Y-%m') AS month FROM orders WHERE o_orderdate IS NOT NULL"
+_FIELD = "coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+_NUMBER = "('0x' || substr(md5(" + " || '|' || ".join(_FIELD.format(c=c) for c in ("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus")) + "), 1, 15))::BIGINT::HUGEINT"
+REWRITTEN = "1997-03"
+
+
+@query(
+    "partition_rewrite",
+    f"""WITH a AS ({_MONTHS.format(add=0)}), b AS ({_MONTHS.format(add=f"(strftime(o_orderdate, '%Y-%m') = '{REWRITTEN}')::INT")}), x AS (SELECT month, count(*) AS n, sum({_NUMBER}) AS s FROM a GROUP BY 1), y AS (SELECT month, sum({_NUMBER}) AS s FROM b GROUP BY 1)
+SELECT month, n AS n_rows, x.s::VARCHAR AS signature, 1::BIGINT AS n_files, 0::BIGINT AS n_same, (x.s <> y.s)::INT::BIGINT AS n_changed FROM x JOIN y USING (month)""",
+)
+def partition_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by month, written, written again, and written with one month changed: the files of each month, and how many the second and the third write made new."""
+    path = new_path(spark, "months")
+    df = orders(spark, sf_dir).where("o_orderdate is not null").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    changed = df.withColumn("o_custkey", F.col("o_custkey") + (F.col("month") == REWRITTEN).cast("int"))
+    states = []
+    for version in (df, df, changed):
+        partitioned.write_changed(version, path, ["month"])
+        states.append(stored(partitioned.files_by(spark, path, ["month"]), "files"))
+    new = lambda a, b: a.join(b, ["month", "file"], "left_anti").groupBy("month").agg(F.count("*").alias("n"))
+    out = states[0].groupBy("month").agg(F.count("*").alias("n_files")).join(partitioned.signatures(df, ["month"]), "month")
+    out = out.join(new(states[1], states[0]).withColumnRenamed("n", "n_same"), "month", "left").join(new(states[2], states[1]).withColumnRenamed("n", "n_changed"), "month", "left")
+    return out.select("month", F.col("rows").alias("n_rows"), F.col("signature").cast("string").alias("signature"), "n_files", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_same", "n_changed")))
+
+
 @query("baseline_table_scan", f"WITH {HOURS} SELECT hour, day_of_week, round(avg(y), 6) AS baseline_pred FROM hours WHERE hour_ts < TIMESTAMP '{CUT}' GROUP BY ALL")
 def baseline_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group means written as CSV and scanned again."""

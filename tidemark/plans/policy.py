@@ -48,25 +48,33 @@ def is_intact(policy: dict) -> bool:
     return policy.get("content_sha256") == signature(content(policy))
 
 
-def differences(a: object, b: object, path: str = "", loose: bool = False) -> list[str]:
-    """Where two documents differ: exactly everywhere, but for floats under the evidence, which may stray by TOLERANCE. A bool is no int."""
-    if isinstance(a, dict) and isinstance(b, dict):
-        out = []
-        for k in sorted({*a, *b}):
-            at = f"{path}.{k}" if path else str(k)
-            if k not in a or k not in b:
-                out.append(f"{at}: only in the {'second' if k not in a else 'first'}")
-            else:
-                out += differences(a[k], b[k], at, loose or k == EVIDENCE)
-        return out
-    if isinstance(a, list) and isinstance(b, list):
-        if len(a) != len(b):
-            return [f"{path}: {len(a)} against {len(b)} entries"]
-        return [d for i, (x, y) in enumerate(zip(a, b, strict=True)) for d in differences(x, y, f"{path}[{i}]", loose)]
-    numbers = all(isinstance(v, int | float) and not isinstance(v, bool) for v in (a, b))
-    if loose and numbers and (isinstance(a, float) or isinstance(b, float)):
-        return [] if math.isclose(a, b, rel_tol=0, abs_tol=TOLERANCE) else [f"{path}: {a!r} against {b!r}"]
-    return [] if type(a) is type(b) and a == b else [f"{path}: {a!r} against {b!r}"]
+def leaves(document: object) -> dict[str, tuple[bool, object]]:
+    """Each path of a document with whether it lies under the evidence, and its value; an empty object or list is a value."""
+    todo, out = [("", False, document)], {}
+    while todo:
+        path, loose, value = todo.pop()
+        if isinstance(value, dict) and value:
+            todo += [(f"{path}.{k}" if path else str(k), loose or k == EVIDENCE, v) for k, v in value.items()]
+        elif isinstance(value, list) and value:
+            todo += [(f"{path}[{i}]", loose, v) for i, v in enumerate(value)]
+        else:
+            out[path] = (loose, value)
+    return out
+
+
+def differences(a: object, b: object) -> list[str]:
+    """Where two documents differ, by path: exactly everywhere, but for floats under the evidence, which may stray by TOLERANCE. A bool is no int."""
+    number = lambda v: isinstance(v, int | float) and not isinstance(v, bool)
+
+    def same(loose: bool, x: object, y: object) -> bool:
+        if loose and number(x) and number(y) and float in (type(x), type(y)):
+            return math.isclose(x, y, rel_tol=0, abs_tol=TOLERANCE)
+        return type(x) is type(y) and x == y
+
+    x, y = leaves(a), leaves(b)
+    out = [f"{k}: only in the first" for k in x.keys() - y.keys()] + [f"{k}: only in the second" for k in y.keys() - x.keys()]
+    out += [f"{k}: {x[k][1]!r} against {y[k][1]!r}" for k in x.keys() & y.keys() if not same(x[k][0], x[k][1], y[k][1])]
+    return sorted(out)
 
 
 def freeze(policy: dict, path: str | Path, stamp: str, check: bool = False, force: bool = False) -> tuple[int, str]:

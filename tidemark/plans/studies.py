@@ -18,7 +18,7 @@ from tidemark.functions import numbers as N
 from tidemark.operators import collapse, many, quality, ridge, segments, splits
 from tidemark.plans import experiments as X
 from tidemark.plans import policy as P
-from tidemark.plans import scoring
+from tidemark.plans import scoring, versions
 from tidemark.plans.baseline import CUT, fit_group_mean, hourly
 from tidemark.plans.catalogue import DAYS, HOURS, days, events, hours, orders, query
 from tidemark.plans.solved import one_hot, solved
@@ -653,3 +653,92 @@ def serve_saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
         registry.save(ridge.fit(train, "y", ["temp"], alpha=ALPHA), spark.createDataFrame([(0, 0, 0.0)], "hour int, day_of_week int, baseline_pred double"), P.sign({"policy_id": "non_negative_projection", "final_test_used": False}, "now"), {})
         out = registry.score(requests.where(F.col("date_time") >= cut), "2024-01-01 00:00:00", "2024-02-01 00:00:00")
     return out.select("request_id", "prediction", "clipped")
+
+
+# --- versions over time ---------------------------------------------------------------------------------------------
+
+#: When each version was frozen; the second clips.
+FROZEN = ["2024-01-08 00:00:00", "2024-01-15 00:00:00", "2024-01-22 00:00:00"]
+_SERVED = ", ".join(fitted(f"m{i}", before(a, "hour_ts"), since(a, b, "hour_ts")) for i, (a, b) in enumerate(zip(FROZEN, [*FROZEN[1:], "2100-01-01 00:00:00"], strict=True)))
+
+
+@query(
+    "serve_versions",
+    f"WITH {SERIES_H}, {_SERVED}, u AS (" + " UNION ALL ".join(f"SELECT {i}::BIGINT AS version, hour_ts, pred - 3000 AS raw FROM m{i}" for i in range(3)) + """)
+SELECT hour_ts, version, round(raw, 6) AS raw, round(CASE WHEN version = 1 AND raw < 0 THEN 0 ELSE raw END, 6) AS prediction, version = 1 AND raw < 0 AS clipped FROM u UNION ALL SELECT hour_ts, NULL, NULL, NULL, NULL FROM e WHERE hour_ts < TIMESTAMP '2024-01-08'""",
+)
+def serve_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours as requests, scored by the model and policy that were frozen at their time; three versions, kept in a table."""
+    df = hourly_series(spark, sf_dir).withColumn("target", F.col("y") - 3000)
+    registry = versions.VersionedRegistry(spark, new_path(spark, "registry"))
+    models = many.fit_expanding(df, "hour_ts", FROZEN, "target", ["x"], alpha=ALPHA)
+    for i, at in enumerate(FROZEN):
+        registry.freeze(i, at, models[at], {"policy_id": "non_negative_projection" if i == 1 else "none", "final_test_used": False})
+    return registry.score(df, "hour_ts").select("hour_ts", "version", "raw", "prediction", "clipped")
+
+
+_WEEK = "least(3, (day(ts) - 1) // 7)"
+_POLICIES = f"p AS (SELECT event_type, {_WEEK} AS week, count(*) AS n, sum(event_id) AS s, round(avg(value), 3) AS mean, min(value) AS floor FROM events WHERE ts IS NOT NULL GROUP BY ALL)"
+
+
+def weekly_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_type, week, content): a policy document of each event type and week, made of its events; where their number is odd it has a note."""
+    week = F.least(F.lit(3), F.floor((F.day("ts") - 1) / 7))
+    p = events(spark, sf_dir).where("ts is not null").groupBy("event_type", week.cast("long").alias("week")).agg(F.count("*").alias("n"), F.sum("event_id").alias("s"), F.round(F.avg("value"), 3).alias("mean"), F.min("value").alias("floor"))
+    note = F.when(F.col("n") % 2 == 1, F.struct(F.lit("odd").alias("why"), F.array(F.col("n") % 3, F.lit(1)).alias("codes")))
+    decision = F.struct((F.col("floor") >= 1).alias("floor_not_low"), (F.col("n") > 80).alias("many"))
+    content = F.to_json(F.struct(F.when(F.col("s") % 2 == 0, "non_negative_projection").otherwise("none").alias("policy_id"), decision.alias("decision"), (F.col("s") % 5 == 0).alias("final_test_used"), note.alias("note"), F.struct("mean", F.col("n").alias("rows")).alias("evidence")))
+    return p.select("event_type", "week", "n", "s", content.alias("content"))
+
+
+@query(
+    "policy_drift",
+    f"""WITH {_POLICIES}, d AS (SELECT event_type, week, CASE WHEN s % 2 = 0 THEN 1 ELSE 0 END AS id, floor >= 1 AS low, n > 80 AS many, s % 5 = 0 AS used, n % 2 = 1 AS odd, n % 3 AS code, mean, n FROM p),
+j AS (SELECT a.event_type, a.week, a.id <> b.id AS c1, a.low <> b.low AS c2, a.many <> b.many AS c3, a.used <> b.used AS c4, a.odd AS o1, b.odd AS o2, a.code <> b.code AS c5, abs(a.mean - b.mean) > 0.5 AS c6, a.n <> b.n AS c7 FROM d a JOIN d b ON a.event_type = b.event_type AND b.week = a.week + 1),
+u AS (SELECT event_type, week, unnest(['policy_id', 'decision.floor_not_low', 'decision.many', 'final_test_used', 'evidence.mean', 'evidence.rows', 'note.why', 'note.codes[0]', 'note.codes[1]']) AS path,
+  unnest([CASE WHEN c1 THEN 'differs' END, CASE WHEN c2 THEN 'differs' END, CASE WHEN c3 THEN 'differs' END, CASE WHEN c4 THEN 'differs' END, CASE WHEN c6 THEN 'differs' END, CASE WHEN c7 THEN 'differs' END,
+    CASE WHEN o1 AND NOT o2 THEN 'only first' WHEN o2 AND NOT o1 THEN 'only second' END, CASE WHEN o1 AND NOT o2 THEN 'only first' WHEN o2 AND NOT o1 THEN 'only second' WHEN o1 AND c5 THEN 'differs' END, CASE WHEN o1 AND NOT o2 THEN 'only first' WHEN o2 AND NOT o1 THEN 'only second' END]) AS difference FROM j)
+SELECT event_type, week, path, difference FROM u WHERE difference IS NOT NULL""",
+)
+def policy_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each week's policy differs from the next week's, by path."""
+    flat = stored(versions.flattened(weekly_policies(spark, sf_dir), ["event_type", "week"], "content"), "leaves")
+    weeks = flat.select("event_type", "week").distinct()
+    has_next = weeks.join(weeks.withColumn("week", F.col("week") - 1), ["event_type", "week"], "left_semi")
+    first = flat.join(has_next, ["event_type", "week"], "left_semi")
+    second = flat.withColumn("week", F.col("week") - 1).join(has_next, ["event_type", "week"], "left_semi")
+    return versions.differences(first, second, ["event_type", "week"]).select("event_type", "week", "path", "difference")
+
+
+@query(
+    "policy_refusals",
+    f"WITH {_POLICIES} SELECT event_type, week, CASE WHEN n % 4 = 0 THEN 'nothing is frozen' WHEN n % 4 = 1 THEN 'changed since' WHEN s % 5 = 0 THEN 'final test used' END AS refused FROM p",
+)
+def policy_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents under which an audit must not run: some are missing, some were changed after they were signed, some were chosen with the final test."""
+    docs = weekly_policies(spark, sf_dir)
+    signed = docs.withColumn("signature", F.sha2("content", 256))
+    content = F.when(F.col("n") % 4 == 1, F.concat(F.lit(" "), F.col("content"))).when(F.col("n") % 4 != 0, F.col("content"))
+    return versions.refusals(signed.withColumn("content", content), "content", "signature").select("event_type", "week", "refused")
+
+
+@query("multi_hot_names_of_data", "SELECT DISTINCT 'wm_' || lower(trim(regexp_replace(o_orderpriority, '[^0-9a-zA-Z]+', '_', 'g'), '_')) AS name, o_orderpriority AS label FROM orders WHERE o_orderpriority IS NOT NULL")
+def multi_hot_names_of_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of 0/1 columns that the labels of a table get."""
+    labels = orders(spark, sf_dir).where("o_orderpriority is not null").select(F.col("o_orderpriority").alias("label")).distinct()
+    return labels.select(F.concat(F.lit("wm_"), L.slug(F.col("label"))).alias("name"), "label")
+
+
+@query("leak_guard_by_year", "SELECT year(o_orderdate)::INT AS year, count(*) FILTER (o_orderdate >= TIMESTAMP '1998-06-01') AS n_leaked, count(*) FILTER (o_orderdate >= TIMESTAMP '1998-06-01') > 0 AS refused FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1")
+def leak_guard_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the guard refuses the orders of each year, and how many of them lie beyond the cut."""
+    df = orders(spark, sf_dir).where("o_orderdate is not null").select(F.year("o_orderdate").alias("year"), "o_orderdate")
+    counts = df.groupBy("year").agg(F.count_if(F.col("o_orderdate") >= splits.ntz("1998-06-01 00:00:00")).alias("n_leaked")).collect()  # a row a year
+    rows = []
+    for r in counts:
+        try:
+            splits.assert_no_final_test(df.where(F.col("year") == r.year), "o_orderdate", "1998-06-01 00:00:00")
+            rows.append((r.year, r.n_leaked, False))
+        except splits.FinalTestLeak:
+            rows.append((r.year, r.n_leaked, True))
+    return frame(spark, rows, "year int, n_leaked long, refused boolean")

@@ -5,6 +5,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import url_filters as U
 
 SCHEMA = "page_id long, url string, host string, suffix int, verdict string"
@@ -150,3 +152,14 @@ def test_empty_and_unlabelled(spark):
 def test_no_python_in_the_plan(spark):
     plan = judged(frame(spark, URLS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["_suffix", "_u_host", "_rarity", "_f_depth", "_u_rest", "row", "url", "host", "_end", "_all"]
+    df = spark.createDataFrame([tuple(f"{n}{i}" for n in names) for i in range(3)], ", ".join(f"`{n}` string" for n in names)).withColumn("url", F.lit("http://a.net/x"))
+    statistics = U.suffix_statistics(df)
+    model = U.fit(U.rule_labels(df), statistics)
+    out = U.filter_urls(df, model, statistics)
+    assert out.columns == [n for n in names if n != "host"] + ["host", "path", "rule", "probability", "verdict"]
+    assert sorted(r["_suffix"] + r["_u_host"] + r["_rarity"] + r["_f_depth"] + r["row"] + r["_end"] for r in out.collect()) == [f"_suffix{i}_u_host{i}_rarity{i}_f_depth{i}row{i}_end{i}" for i in range(3)]
+    assert {(r.host, r.rule, r.verdict) for r in out.collect()} == {("a.net", "net/", "block")}

@@ -275,7 +275,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", window: int = WINDO
         raise ValueError("the text column must not have the name of a result, and a window has two words or more")
     spark, block = docs.sparkSession, (window + 1) // 2
     rest = [c for c in docs.columns if c not in (*ADDED, text_col)]
-    rows = docs.select(F.struct(*rest, F.lit(0).alias("_")).alias("row"), F.unhex(F.md5(F.col(text_col))).alias("key"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(*(rest or [F.lit(0)])).alias("row"), F.unhex(F.md5(F.col(text_col))).alias("key"), F.col(text_col).alias("text"))
     keyed = rows.where("text is not null").select("key", "text")
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(spark.sparkContext.defaultParallelism, -(-size // (6 * RECEIVED)))
@@ -308,7 +308,8 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", window: int = WINDO
             yield pa.RecordBatch.from_arrays(columns, names=["row", "text", *ADDED])
 
     out = rows.join(found, "key", "left").select("row", "text", "spans").mapInArrow(cut, schema)
-    return out.select("row.*", F.col("text").alias(text_col), *ADDED).drop("_").select(*[c for c in docs.columns if c not in ADDED], *ADDED)
+    own = [F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in ADDED]
+    return out.select(*own, *ADDED)
 
 
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

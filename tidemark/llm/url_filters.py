@@ -128,12 +128,16 @@ def filter_urls(df: DataFrame, model: Model, statistics: DataFrame, url_col: str
     """df with host, path, rule, probability and verdict (allow or block) for every row.
 
     Null, empty and malformed URLs have an empty host and path, no rule, and the trees' verdict on their features. Repeated
-    rows are judged alike; an empty table gives no rows. Columns of df that bear one of the five names are replaced, all others stay.
+    rows are judged alike; an empty table gives no rows. Columns of df that bear one of the five names are replaced, all others stay, whatever their names:
+    they ride in a struct while features are made.
     """
+    added = ["host", "path", "rule", "probability", "verdict"]
     rule, verdict = rule_of(rules)
-    out = with_parts(model.score(df, statistics, url_col), url_col).withColumn("rule", rule)
+    kept = [c for c in df.columns if c not in added]
+    rows = df.select(F.struct(*(kept or [F.lit(0)])).alias("row"), F.col(url_col).alias("url"))
+    out = with_parts(model.score(rows, statistics)).withColumn("rule", rule)
     judged = F.when(F.col("probability") >= BLOCK_AT, "block").otherwise("allow")
-    return out.withColumn("verdict", F.coalesce(verdict, judged))
+    return out.withColumn("verdict", F.coalesce(verdict, judged)).select(*(F.col("row")[c].alias(c) for c in kept), *added)
 
 
 def rule_labels(df: DataFrame, url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:

@@ -26,6 +26,7 @@ from tidemark.session import table
 from tidemark.sources import artifacts as A
 from tidemark.sources import partitioned, raw
 from tidemark.sources.shared import new_path, stored
+from tidemark.streaming import corrections
 
 ALPHA = 10.0
 FINAL = "2002-01-01 00:00:00"
@@ -742,3 +743,22 @@ def leak_guard_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
         except splits.FinalTestLeak:
             rows.append((r.year, r.n_leaked, True))
     return frame(spark, rows, "year int, n_leaked long, refused boolean")
+
+
+@query(
+    "stream_corrections",
+    """WITH e AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, value FROM events WHERE ts IS NOT NULL), c AS (SELECT start, event_type, count(*) AS k FROM e WHERE event_type IS NOT NULL GROUP BY ALL),
+m AS (SELECT start, first(event_type ORDER BY k DESC, event_type) AS label_mode, string_agg(event_type, '; ' ORDER BY event_type) AS label_set FROM c GROUP BY 1)
+SELECT e.start, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(sum(value), 6) AS total, any_value(label_mode) AS label_mode, any_value(label_set) AS label_set FROM e LEFT JOIN m USING (start) GROUP BY e.start""",
+)
+def stream_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream in two parts, the second of which comes late: windows are corrected, the last batch is merged once more, and the table is that of all events."""
+    source, sink, log = (new_path(spark, name) for name in ("source", "sink", "log"))
+    e = events(spark, sf_dir).select("ts", "event_type", "value", F.col("event_id").alias("id"))
+    for late in (0, 1):
+        e.where((F.col("id") % 7 == 0).cast("int") == late).drop("id").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(e.drop("id").schema).parquet(source)
+        corrections.run_corrections(corrections.corrected_windows(stream, "ts", "60 days", "1 hour", "event_type", "value"), sink, log)
+    last = spark.read.option("basePath", sink).parquet(sink).agg(F.max("batch")).first()[0]
+    corrections.merge(stored(spark.read.parquet(f"{sink}/batch={last}"), "replayed"), last, sink)
+    return corrections.current(spark, sink).withColumn("start", F.col("start").cast("timestamp_ntz"))

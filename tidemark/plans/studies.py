@@ -18,7 +18,7 @@ from tidemark.functions import numbers as N
 from tidemark.operators import collapse, many, quality, ridge, segments, splits
 from tidemark.plans import experiments as X
 from tidemark.plans import policy as P
-from tidemark.plans import scoring, versions
+from tidemark.plans import scoring, training, versions
 from tidemark.plans.baseline import CUT, fit_group_mean, hourly
 from tidemark.plans.catalogue import DAYS, HOURS, days, events, hours, orders, query
 from tidemark.plans.solved import one_hot, solved
@@ -762,3 +762,24 @@ def stream_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = spark.read.option("basePath", sink).parquet(sink).agg(F.max("batch")).first()[0]
     corrections.merge(stored(spark.read.parquet(f"{sink}/batch={last}"), "replayed"), last, sink)
     return corrections.current(spark, sink).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def _train_evaluate_sql() -> str:
+    filled = "coalesce(x, m)"
+    grid = ", ".join(repr(a) for a in ridge.ALPHAS)
+    return f"""WITH {SERIES}, t AS (SELECT * FROM {before("1999-01-01 00:00:00")}), v AS (SELECT * FROM {since("1999-01-01 00:00:00", LAST_YEAR)}), z AS (SELECT * FROM {since(LAST_YEAR)}), mm AS (SELECT quantile_cont(x, 0.5) AS m FROM t),
+f AS (SELECT any_value(m) AS m, count(*) AS k, avg({filled}) AS mx, var_pop({filled}) AS w, covar_pop({filled}, y) AS c, avg(y) AS my, min(y) AS floor FROM t, mm), a AS (SELECT unnest([{grid}])::DOUBLE AS alpha),
+g AS (SELECT alpha, avg(abs(y - (my + k * c / (k + alpha) * ({filled} - mx) / w))) AS mae FROM v, f, a GROUP BY 1), b AS (SELECT alpha FROM g ORDER BY round(mae, 2), alpha LIMIT 1),
+p AS (SELECT month, day_of_week, avg(y) AS bp FROM t GROUP BY ALL), s AS (SELECT z.*, my + k * c / (k + alpha) * ({filled} - mx) / w AS pred, coalesce(bp, my) AS base FROM z LEFT JOIN p USING (month, day_of_week), f, b),
+l AS (SELECT unnest(['ridge', 'baseline']) AS model, unnest([pred, base]) AS p, y, month, day_of_week FROM s), u AS (SELECT model, p, y, unnest(['all', 'month', 'day_of_week']) AS segment, unnest(['all', month::VARCHAR, day_of_week::VARCHAR]) AS value FROM l)
+SELECT model, segment, value, count(*) AS n, round(avg(abs(p - y)), 6) AS mae, round(sqrt(avg((p - y) * (p - y))), 6) AS rmse, round(avg(p - y), 6) AS bias FROM u GROUP BY ALL"""
+
+
+@query("train_evaluate", _train_evaluate_sql())
+def train_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tuned, fitted, stored with a signed policy, loaded again and judged: the errors of the ridge and the baseline over the test rows and by segment."""
+    df = daily(spark, sf_dir)
+    with tempfile.TemporaryDirectory() as at:  # files of the driver alone
+        training.train(DAILY, df, "1999-01-01 00:00:00", LAST_YEAR, at, "now")
+        out = training.evaluate(spark, DAILY, df, LAST_YEAR, at, ["month", "day_of_week"])
+    return out.select("model", "segment", "value", "n", "mae", "rmse", "bias")

@@ -7,6 +7,7 @@ solves many models and expanding windows from one set of them. A model is plain
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict, dataclass, field
 from itertools import combinations
 
@@ -57,7 +58,7 @@ class Ridge:
             out = out + F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * self.weights[c]
         for c in self.categorical:
             if self.levels[c]:
-                table = F.create_map(*(F.lit(x) for kv in sorted(self.levels[c].items()) for x in kv))
+                table = F.from_json(F.lit(json.dumps(self.levels[c], sort_keys=True)), "map<string,double>")  # one constant, whatever the number of levels
                 out = out + F.coalesce(F.try_element_at(table, F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(0.0))
         return out
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar as C
@@ -24,7 +24,7 @@ from tidemark.plans.catalogue import DAYS, HOURS, days, events, hours, orders, q
 from tidemark.plans.solved import one_hot, solved
 from tidemark.session import table
 from tidemark.sources import artifacts as A
-from tidemark.sources import partitioned, raw
+from tidemark.sources import digests, partitioned, raw
 from tidemark.sources.shared import new_path, stored
 from tidemark.streaming import corrections
 
@@ -533,6 +533,63 @@ def checksum_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, [(found, True, refused)], "sha256 string, verified boolean, other_refused boolean")
 
 
+#: Bytes of a range and digests of a node of the two queries below.
+RANGE, NODE = 2048, 8
+_LINE = "o_orderkey || '|' || o_custkey || '|' || {status} || '|' || o_orderpriority || chr(10)"
+
+
+def _ranges_sql(name: str, status: str) -> str:
+    """CTEs that end in `name`: (month, bytes, n_ranges, part, sha256) of a file for each month of orders, a line for each order."""
+    return (
+        f"{name}_f AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, string_agg({_LINE.format(status=status)}, '' ORDER BY o_orderkey) AS body FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1), "
+        f"{name}_n AS (SELECT month, body, length(body)::BIGINT AS bytes, (length(body) + {RANGE - 1}) // {RANGE} AS n_ranges FROM {name}_f), "
+        f"{name} AS (SELECT month, bytes, n_ranges, i AS part, sha256(substr(body, i * {RANGE} + 1, {RANGE})) AS sha256 FROM (SELECT *, unnest(range(n_ranges)) AS i FROM {name}_n))"
+    )
+
+
+def order_files(spark: SparkSession, sf_dir: str, name: str, status: Column) -> str:
+    """A folder with a text file for each month of orders, a line for each order."""
+    o = table(spark, sf_dir, "orders").where("o_orderdate is not null")
+    lines = o.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.concat_ws("|", "o_orderkey", "o_custkey", status, "o_orderpriority").alias("line"))
+    path = new_path(spark, name)
+    lines.repartition("month").sortWithinPartitions("month", "o_orderkey").select("month", "line").write.partitionBy("month").text(path)
+    return path
+
+
+def _of_month(df: DataFrame) -> DataFrame:
+    """Files are named by tasks; their folders name the month."""
+    return df.withColumn("name", F.regexp_extract("name", "month=([^/]+)/", 1))
+
+
+_UP = ", ".join(f"l{i} AS (SELECT month, bytes, n_ranges, ceil(w / {NODE})::BIGINT AS w, part // {NODE} AS part, CASE WHEN w = 1 THEN min(sha256) ELSE sha256(string_agg(sha256, '' ORDER BY part)) END AS sha256 FROM l{i - 1} GROUP BY month, bytes, n_ranges, w, part // {NODE})" for i in range(1, 6))
+
+
+@query(
+    "file_digest_tree",
+    f"""WITH {_ranges_sql("r", "o_orderstatus")}, l0 AS (SELECT *, n_ranges AS w FROM r), {_UP}
+SELECT month, l5.bytes, l5.n_ranges, l5.sha256 AS root, sha256(body) AS whole FROM l5 JOIN r_n USING (month)""",
+)
+def file_digest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every file: the root of the tree over its ranges' digests, and beside it the digest of all its bytes."""
+    path = order_files(spark, sf_dir, "orders-by-month", F.col("o_orderstatus"))
+    tree = digests.roots(digests.record(spark, path, new_path(spark, "ranges"), RANGE), NODE)
+    whole = digests.streamed_sha256(spark, path).select("name", F.col("sha256").alias("whole"))
+    return _of_month(tree.join(whole, "name")).select(F.col("name").alias("month"), "bytes", "n_ranges", "root", "whole")
+
+
+@query(
+    "altered_file_ranges",
+    f"""WITH {_ranges_sql("a", "o_orderstatus")}, {_ranges_sql("b", "CASE WHEN o_totalprice > 400000 THEN 'held' ELSE o_orderstatus END")}
+SELECT month, part, part * {RANGE} AS start, CASE WHEN a.sha256 IS NULL THEN 'added' WHEN b.sha256 IS NULL THEN 'removed' ELSE 'altered' END AS status
+FROM a FULL JOIN b USING (month, part) WHERE a.sha256 IS DISTINCT FROM b.sha256""",
+)
+def altered_file_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files are written again after some orders got another status: the ranges that tell, where bytes moved all those behind."""
+    status = F.when(F.col("o_totalprice") > 400000, "held").otherwise(F.col("o_orderstatus"))
+    sides = [_of_month(digests.record(spark, order_files(spark, sf_dir, n, c), new_path(spark, n), RANGE)) for n, c in (("before", F.col("o_orderstatus")), ("after", status))]
+    return digests.altered(*sides).withColumnRenamed("name", "month")
+
+
 @query("idempotent_write", "SELECT * FROM (VALUES (1, true), (2, false), (3, true)) t(step, wrote)")
 def idempotent_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").count()

@@ -261,64 +261,20 @@ def _named(root: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.stack([np.repeat(_mix(total + size.astype(np.uint64)).view(np.int64), size), ids[rows]], 1)
 
 
-def _bucket_links(rows: DataFrame, bits: int, distance: int, bucket: float, groups: bool = False) -> DataFrame:
-    """(a, b, far, key, fp, free): links inside each key and their distance, with groups also (group, id) of its components, far null; of keys with more than `bucket` rows the rows instead, with b null."""
-    width = bits // 8
-    has_free = "free" in rows.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "far", "key", "fp", "free"]
-        kept: list[pa.Table] = []
-        held, over = 0, None  # rows kept back of the last key; a key that has proved too large
-
-        def spill(t: pa.Table) -> pa.RecordBatch:
-            t = t.combine_chunks()
-            cols = [t.column("id").combine_chunks(), pa.nulls(len(t), pa.int64()), pa.nulls(len(t), pa.int64()), t.column("key").combine_chunks(), t.column("fp").combine_chunks(), t.column("free").combine_chunks() if has_free else pa.nulls(len(t), pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, names=names)
-
-        def links(t: pa.Table) -> pa.RecordBatch:
-            t = t.combine_chunks()
-            fp = _fp_matrix(t.column("fp").combine_chunks(), width)
-            ids = t.column("id").to_numpy()
-            e, far, root, _ = _forest(t.column("key").to_numpy(), fp, distance)
-            e, far = np.sort(ids[e], 1), pa.array(far)
-            if groups:
-                members = _named(root, ids)
-                e, far = np.concatenate([e, members]), pa.concat_arrays([far, pa.nulls(len(members), pa.int64())])
-            none = pa.nulls(len(e), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), far, pa.nulls(len(e), pa.int64()), none, none], names=names)
+def _bucket_links(rows: DataFrame, bits: int, distance: int, groups: bool = False) -> DataFrame:
+    """(a, b, far): links inside each key and their distance, with groups also (group, id) of its components, far null. Keys have been counted: a task gathers one at a time."""
 
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            key = t.column("key").to_numpy()
-            if over is not None:
-                n = int(np.searchsorted(key, over, "right"))
-                if n:
-                    yield spill(t.slice(0, n))
-                    t, key = t.slice(n), key[n:]
-                if not len(key):
-                    continue
-                over = None
-            cut = int(np.searchsorted(key, key[-1], "left")) if len(key) else 0
-            if cut:  # the last key of the batch may go on in the next
-                yield links(pa.concat_tables([*kept, t.slice(0, cut)]))
-                kept, held = [], 0
-            elif kept and len(key) and kept[0].column("key")[0].as_py() != key[0]:
-                yield links(pa.concat_tables(kept))
-                kept, held = [], 0
-            tail = t.slice(cut)
-            kept.append(tail)
-            held += len(tail)
-            if held > bucket:
-                # a first key that is complete may stand before the last one
-                whole = pa.concat_tables(kept)
-                yield spill(whole)
-                kept, held, over = [], 0, key[-1]
-        if kept:
-            yield links(pa.concat_tables(kept))
+    def links(t: pa.Table) -> pa.RecordBatch:
+        ids = t.column("id").to_numpy()
+        e, far, root, _ = _forest(t.column("key").to_numpy(), _fp_matrix(t.column("fp").combine_chunks(), bits // 8), distance)
+        e, far = np.sort(ids[e], 1), pa.array(far)
+        if groups:
+            members = _named(root, ids)
+            e, far = np.concatenate([e, members]), pa.concat_arrays([far, pa.nulls(len(members), pa.int64())])
+        return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), far], names=["a", "b", "far"])
 
-    parts = rows.repartition(F.col("key")).sortWithinPartitions("key", "id")
-    return parts.mapInArrow(run, "a long, b long, far long, key long, fp binary, free binary")
+    parts = rows.select("key", "id", "fp").repartition(F.col("key")).sortWithinPartitions("key", "id")
+    return parts.mapInArrow(lambda batches: _by_key(batches, links), "a long, b long, far long")
 
 
 def _blocks(rows: DataFrame, bucket: int, level: int) -> DataFrame:
@@ -333,8 +289,7 @@ def link(nodes: DataFrame, bits: int = 64, distance: int = 3, radius: int = 3, w
     """Links (a, b, far) between nodes (id unique and not null, fp) within the distance that share a key; they span each key's graph.
     groups: also rows whose far is null: a is a group and b a node of it, the groups being the components of each key's graph.
 
-    Copies must have been made one node before. A key with more than `bucket` fingerprints is not gathered: its rows
-    stream out. Where masks cover the distance they are masked anew over the positions that the key's mask left open, which keeps the
+    Copies must have been made one node before. Keys are counted first, and one with more than `bucket` fingerprints is not gathered. Where masks cover the distance they are masked anew over the positions that the key's mask left open, which keeps the
     guarantee (the pairs differ only there), until keys are small or no position is open, when all fingerprints would be
     equal. Elsewhere further masks would lose pairs that have met, so the rows are dealt into blocks of which every two meet.
     """
@@ -349,14 +304,18 @@ def _link(nodes: DataFrame, bits: int, distance: int, radius: int, words: int, w
     spark, edges, level, left = nodes.sparkSession, None, 0, nodes
     while True:
         keyed = _blocks(left, bucket, level) if level and not covering else _masked(left, bits, words, word_bits, radius)
-        found = materialise(spark, _bucket_links(keyed, bits, distance, bucket, groups), f"links-{level}")
-        some = found.where("b is not null").select("a", "b", "far")
+        large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("key")  # counted within tasks before they are shuffled
+        large = materialise(spark, large, f"large-keys-{level}")
+        last = large.isEmpty()
+        small = keyed if last else keyed.join(large, "key", "left_anti")
+        some = materialise(spark, _bucket_links(small, bits, distance, groups), f"links-{level}")
         edges = some if edges is None else edges.unionByName(some)
-        left = found.where("b is null").select(F.col("a").alias("id"), "fp", "key", "free")
-        if left.isEmpty():
+        if last:
             break
+        left = keyed.join(large, "key")  # a key's rows are never gathered: AQE splits what a join by sorting would put in one task
         if level == 0 and covering:  # the first tables do not carry which positions are open: the mask is found again from the key
             left = _with_free(left, bits, words, word_bits, radius)
+        left = materialise(spark, left, f"large-rows-{level}")
         level += 1
     return edges
 
